@@ -87,7 +87,7 @@ def extractive_articles(reps: DataFrame) -> DataFrame:
 
 def article_problems(a: Column, raw: Column) -> Column:
     """Names of the rules a parsed article breaks; empty when it is valid."""
-    allowed = [f.name for f in schemas.ARTICLE.fields]
+    allowed = schemas.field_names(schemas.ARTICLE)
     extra = F.array_except(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")),
                            F.array(*map(F.lit, allowed)))
     steps = a["resolution_steps"]

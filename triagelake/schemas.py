@@ -5,42 +5,44 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+def field_names(ddl: str) -> list[str]:
+    """Top-level column names of a DDL text (needs a session)."""
+    return T.StructType.fromDDL(ddl).fieldNames()
 
 
+# DDL texts; readers and from_json take them as they are.
 TABLES = {
-    "incidents": _struct(
+    "incidents": (
         "id string, external_id string, source string, severity string, flow string, title string, "
         "description string, host string, service string, raw_payload string, "
         "created_at timestamp, updated_at timestamp"),
-    "pipeline_runs": _struct(
+    "pipeline_runs": (
         "id string, incident_id string, status string, flow string, started_at timestamp, "
         "completed_at timestamp, duration_ms int, meta string"),
-    "pipeline_steps": _struct(
+    "pipeline_steps": (
         "id string, run_id string, agent_num smallint, agent_name string, status string, "
         "started_at timestamp, completed_at timestamp, duration_ms int, summary string, "
         "error string, retry_count smallint"),
-    "enrichments": _struct(
+    "enrichments": (
         "id string, run_id string, agent_num smallint, source string, data string, written_at timestamp"),
-    "resolutions": _struct(
+    "resolutions": (
         "id string, run_id string, incident_id string, root_cause string, root_cause_cat string, "
         "resolution_steps string, confidence int, generated_at timestamp"),
-    "ratings": _struct(
+    "ratings": (
         "id string, resolution_id string, rated_by string, rating smallint, comment string, "
         "rated_at timestamp"),
-    "sessions": _struct(
+    "sessions": (
         "id string, user_id string, title string, created_at timestamp, last_active timestamp"),
-    "messages": _struct(
+    "messages": (
         "id string, session_id string, role string, content string, sources string, "
         "token_count int, created_at timestamp"),
-    "documents": _struct(
+    "documents": (
         "id string, source_type string, source_id string, source_url string, title string, "
         "content string, content_hash string, metadata string, indexed_at timestamp"),
-    "chunks": _struct(
+    "chunks": (
         "id string, document_id string, chunk_index int, content string, "
         "embedding array<float>, token_count int, created_at timestamp"),
-    "synthesized_kb": _struct(
+    "synthesized_kb": (
         "id string, cluster_signature string, version int, is_active boolean, title string, "
         "problem_summary string, root_cause string, "
         "resolution_steps array<struct<step:int,action:string,command:string>>, "
@@ -49,14 +51,14 @@ TABLES = {
         "confidence_score decimal(4,3), llm_self_rating decimal(4,3), cluster_cohesion decimal(4,3), "
         "embedding_title array<double>, embedding_full array<double>, page_id string, "
         "embedding_model_version string, created_at timestamp, retired_at timestamp"),
-    "kb_synthesis_runs": _struct(
+    "kb_synthesis_runs": (
         "run_id string, seq int, started_at timestamp, finished_at timestamp, status string, "
         "window_start date, window_end date, counts map<string,bigint>, "
         "stage_durations map<string,double>, error_message string"),
-    "kb_synthesis_decisions": _struct(
+    "kb_synthesis_decisions": (
         "decision_id string, run_id string, cluster_signature string, decision string, "
         "article_id string, similarity_score decimal(4,3), notes string, created_at timestamp"),
-    "kb_recommendations": _struct(
+    "kb_recommendations": (
         "kb_article_id string, feedback_score double, created_at timestamp"),
 }
 
@@ -91,26 +93,26 @@ FOREIGN = {
 }
 
 # Inbound payloads. Unknown fields stay in the raw text.
-PROBLEM_EVENT = _struct(
+PROBLEM_EVENT = (
     "problemId string, displayName string, severity string, status string, eventType string, "
     "tags array<string>, impactedEntities array<struct<name:string,type:string>>, "
     "deploymentEvent boolean, startTime string, endTime string")
-TICKET_EVENT = _struct(
+TICKET_EVENT = (
     "number string, priority string, short_description string, caller_id string, cmdb_ci string, "
     "state string, category string, subcategory string, assignment_group string, "
     "u_service_tier string, u_hipaa_flag boolean")
 REQUIRED_PROBLEM = ["problemId", "displayName", "severity", "status", "eventType"]
 REQUIRED_TICKET = ["number", "priority", "short_description"]
 
-ARTICLE = _struct(
+ARTICLE = (
     "title string, problem_summary string, root_cause string, "
     "resolution_steps array<struct<step:int,action:string,command:string>>, "
     "keywords array<string>, assignment_group string, category string, subcategory string, "
     "confidence_self_rating double")
-ROOT_CAUSE = _struct(
+ROOT_CAUSE = (
     "root_cause string, root_cause_category string, confidence double, rollback_required boolean, "
     "rollback_target string, resolution_steps array<string>")
-STEP = _struct(
+STEP = (
     "step_num int, action string, owner string, tool string, command string, rationale string")
 
 # Columns of a closed-incident extract and of a live ticket check.

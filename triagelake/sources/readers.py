@@ -31,11 +31,15 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def closed_incident_scan(incidents: DataFrame, start: str, end: str, state: str = "state",
-                         closed_at: str = "closed_at", columns: list[str] | None = None) -> DataFrame:
-    """Closed rows from the start day to the end day inclusive; both filters reach the scan."""
-    c = F.col(closed_at)
-    out = incidents.where((F.col(state) == CLOSED_STATE) & (c >= F.lit(start).cast("timestamp"))
-                          & (c < F.lit(end).cast("timestamp") + F.make_dt_interval(days=F.lit(1))))
+                         closed_at: str = "closed_at", columns: list[str] | None = None,
+                         closed: str = CLOSED_STATE) -> DataFrame:
+    """Closed rows from the start day to the end day inclusive.
+
+    The bounds take the type of the time column, so both filters reach the scan."""
+    c, kind = F.col(closed_at), incidents.schema[closed_at].dataType
+    day_after = F.date_add(F.lit(end).cast("date"), 1)
+    out = incidents.where((F.col(state) == closed) & (c >= F.lit(start).cast(kind))
+                          & (c < day_after.cast(kind)))
     return out.select(*columns) if columns else out
 
 
