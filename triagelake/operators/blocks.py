@@ -117,6 +117,8 @@ class Layout:
         right = (self.corpus.join(load, ["grp", "cell"])
                      .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                      .drop("parts"))
+        # Both sides may stem from one frame; fresh aliases keep the cogroup unambiguous.
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
         keys = ["grp", "cell", "sub", "part"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
@@ -180,6 +182,26 @@ def topk(probes: DataFrame, corpus: DataFrame, k: int, min_score: float) -> Data
                   probes.withColumn("reach", F.lit(reach_of(min_score))), k, min_score)
 
 
+def _within_kernel(min_score: float, schema: pa.Schema):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return schema.empty_table()
+        s = np.round(matrix(left["u"]) @ matrix(right["u"]).T, 12)
+        row, col = np.nonzero(s >= min_score)
+        return pa.table({"pid": left["pid"].take(pa.array(row)), "cid": right["cid"].take(pa.array(col)),
+                         "score": pa.array(s[row, col])}, schema=schema)
+    return run
+
+
+def within(probes: DataFrame, corpus: DataFrame, min_score: float) -> DataFrame:
+    """All (pid, cid, score) at or above min_score. The result is as large as the near pairs."""
+    pid, cid = dict(probes.dtypes)["pid"], dict(corpus.dtypes)["cid"]
+    schema = pa.schema([("pid", _arrow(pid)), ("cid", _arrow(cid)), ("score", pa.float64())])
+    lay = Layout(corpus.select("grp", "cid", "u"))
+    return lay.pairs(probes.withColumn("reach", F.lit(reach_of(min_score)))).applyInArrow(
+        _within_kernel(min_score, schema), f"pid {pid}, cid {cid}, score double")
+
+
 def knn(vectors: DataFrame, k: int, block: int = BLOCK, pivots: int = PIVOTS,
         layout: Layout | None = None) -> DataFrame:
     """k nearest other vectors inside each group of (grp, cid, u): (grp, pid, cid, score, rank).

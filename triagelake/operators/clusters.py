@@ -99,6 +99,7 @@ def _cohesion_large(members: DataFrame, sizes: DataFrame, limit: int, kind: str)
                     F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("j"))
     right = m.select("cluster", "u", "number", F.col("b").alias("j"),
                      F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     pairs = F.col("n") * (F.col("n") - 1) / 2
     state = sizes.select("cluster", F.explode(F.array(
         F.struct(F.lit(0).alias("w"), (F.floor((pairs - 1) / 2)).alias("r")),

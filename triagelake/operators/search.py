@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import scoring, text
 from triagelake.functions.text import nullif_empty
+from triagelake.functions.vectors import dot, unit
 from triagelake.operators import blocks
 
 TOP_K, MIN_SCORE, ATTACH_AT, EXCERPT = 5, 0.60, 0.80, 300     # fixed values
@@ -54,6 +55,16 @@ def search_health(probes: DataFrame, chunks: DataFrame, query_id: str, chunk_id:
 
 # ---- keyword side -----------------------------------------------------------
 
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
+
+
+def dense_scores(df: DataFrame, id_col: str, vec_col: str, query: list[float]) -> DataFrame:
+    """Cosine of every vector to one query vector (a literal)."""
+    q = unit(F.array(*[F.lit(float(x)) for x in query]))
+    return df.select(id_col, dot(unit(F.col(vec_col)), q).alias("score"))
+
+
 def bm25(docs: DataFrame, doc_id: str, content: str, terms: list[str], k1: float = 1.2,
          b: float = 0.75) -> DataFrame:
     """BM25 of every document for one bag of query terms; documents without a term score 0.
@@ -65,8 +76,7 @@ def bm25(docs: DataFrame, doc_id: str, content: str, terms: list[str], k1: float
     w = text.words(F.lower(F.regexp_replace(content, r"(?U)[^\w]+", " ")))
     tf = docs.select(doc_id, w.alias("_w")).select(
         doc_id, F.size("_w").alias("_len"),
-        *[F.size(F.filter("_w", lambda x, t=t: x == F.lit(t))).alias(f"_tf{i}")
-          for i, t in enumerate(terms)])
+        *[F.size(F.filter("_w", _equals(t))).alias(f"_tf{i}") for i, t in enumerate(terms)])
     stats = tf.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_avg"),
                    *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     # Scalar subquery: one row of statistics, computed once by the same job.

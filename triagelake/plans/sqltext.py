@@ -113,9 +113,9 @@ def markers(c: str) -> str:
 
 
 QUALITY = r"""least(round(
-  CASE WHEN n_words >= 50 OR length(close_notes) >= 200 THEN 0.30 WHEN n_words >= 20 OR length(close_notes) >= 80 THEN 0.15 ELSE 0.0 END
-  + CASE WHEN regexp_matches(close_notes, '(?im)(^\s*(?:step\s*\d+|first|then|finally|\d+[\.\)])\b)') THEN 0.20 ELSE 0.0 END
-  + CASE WHEN close_code = 'Solved (Permanently)' THEN 0.20 WHEN starts_with(close_code, 'Solved') THEN 0.10 ELSE 0.0 END, 10), 1.0)"""
+  CASE WHEN n_words >= 50 OR length(close_notes) >= 200 THEN 0.30::DOUBLE WHEN n_words >= 20 OR length(close_notes) >= 80 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN regexp_matches(close_notes, '(?im)(^\s*(?:step\s*\d+|first|then|finally|\d+[\.\)])\b)') THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN close_code = 'Solved (Permanently)' THEN 0.20::DOUBLE WHEN starts_with(close_code, 'Solved') THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END, 10), 1.0)"""
 
 NORMALIZED = f"""{CLOSED}, norm0 AS (SELECT number, doc_id,
   {collapse(strip_markup('short_description'))} AS short_description,
