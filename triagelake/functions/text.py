@@ -20,6 +20,9 @@ SCRUB_RULES = [
     (r"\b\d{3}-\d{2}-\d{4}\b", "[ID REDACTED]"),
     (r"\b(member|patient)\s+\w+\s+\d{6,}\b", "[PATIENT-ID REDACTED]"),
 ]
+SCRUB_NEEDLES = [["mrn"], ["dob"], ["np"], ["cd"], ["pat", "pt", "member"], ["pat", "member"], ["-"],
+                 ["pat", "member"]]
+SCRUB_MARKER = r"\[(?:MRN|DOB|NPI|DIAGNOSIS-CODE|PATIENT-ID|ID) REDACTED\]"
 STEP_MARKER = r"(?im)(^\s*(?:step\s*\d+|first|then|finally|\d+[\.\)])\b)"
 SOLVED_FULLY = "Solved (Permanently)"
 MARKUP_ENTITIES = [
@@ -34,6 +37,7 @@ MARKUP_ENTITIES = [
 # -----------------------------------------------------------------------------
 
 BLANK = r"(?U)\s+"
+WORD = r"(?U)\S+"
 EDGE_BLANK = r"(?U)^\s+|\s+$"
 
 
@@ -70,26 +74,42 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, BLANK), lambda w: w != "")
 
 
+def _may_match(low: Column, needles: list[str]) -> Column:
+    hit = F.contains(low, F.lit(needles[0]))
+    for n in needles[1:]:
+        hit = hit | F.contains(low, F.lit(n))
+    return hit
+
+
 def scrub(c: Column) -> Column:
-    out = c
-    for pattern, marker in SCRUB_RULES:
-        out = F.regexp_replace(out, "(?iU)" + pattern, marker)
+    """Rules in order, each only where its cheap needle occurs in the lower-case text.
+
+    Needles avoid i, k and s, whose Unicode case forms differ, so they never
+    miss a text the rule would change; no marker contains one a later rule needs.
+    """
+    out, low = c, F.lower(c)
+    for (pattern, marker), needles in zip(SCRUB_RULES, SCRUB_NEEDLES):
+        out = F.when(_may_match(low, needles), F.regexp_replace(out, "(?iU)" + pattern, marker)).otherwise(out)
     return out
 
 
-def scrub_count(c: Column) -> Column:
-    """Redactions made by `scrub`: each rule counts on the text the earlier rules left."""
-    out, n = c, F.lit(0)
-    for pattern, marker in SCRUB_RULES:
-        n = n + F.regexp_count(out, F.lit("(?iU)" + pattern))
-        out = F.regexp_replace(out, "(?iU)" + pattern, marker)
+def scrub_count(before: Column, after: Column | None = None) -> Column:
+    """Redactions made: markers after scrubbing less markers before.
+
+    No rule can match a bracket, so markers are never swallowed or split."""
+    after = scrub(before) if after is None else after
+    n = F.regexp_count(after, F.lit(SCRUB_MARKER)) - F.regexp_count(before, F.lit(SCRUB_MARKER))
     return F.coalesce(n, F.lit(0))
 
 
+def word_count(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(WORD))
+
+
 def quality_score(notes: Column, close_code: Column, attributed: Column | None = None,
                   reporter: Column | None = None) -> Column:
     """0..1: length, step markers, closing code, attribution, known reporter."""
-    n_words, n_chars = F.size(words(notes)), F.length(notes)
+    n_words, n_chars = word_count(notes), F.length(notes)
     s = (F.when((n_words >= 50) | (n_chars >= 200), 0.30)
           .when((n_words >= 20) | (n_chars >= 80), 0.15).otherwise(0.0))
     s = s + F.when(F.regexp_like(notes, F.lit(STEP_MARKER)), 0.20).otherwise(0.0)
@@ -113,10 +133,11 @@ def chunk_count(n_words: Column, size: int, overlap: int) -> Column:
              .otherwise(F.ceil((n_words - size) / F.lit(float(step))).cast("int") + 1))
 
 
-def chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:
-    """Overlapping word windows; a text that fits in one window stays as it is."""
+def chunks(text: Column, w: Column, size: int = 400, overlap: int = 50) -> Column:
+    """Overlapping windows over the words `w` of a text; a text that fits in one stays as it is.
+
+    `w` should be a column, not an expression: every window refers to it."""
     step = size - overlap
-    w = words(text)
     n = chunk_count(F.size(w), size, overlap)
     windows = F.transform(
         F.sequence(F.lit(0), n - 1),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from triagelake import schemas
 from triagelake.functions import scoring, text
+from triagelake.functions.evaluate import once
 from triagelake.session import cut_lineage
 
 # ---- Fixed values: the generator's instructions -------------------------------
@@ -108,7 +109,7 @@ def article_problems(a: Column, raw: Column) -> Column:
 
 def validate_articles(generated: DataFrame) -> DataFrame:
     """Adds `article` (struct), `problems` and `valid`."""
-    p = generated.withColumn("article", F.from_json("article_json", schemas.ARTICLE))
+    p = once(generated, {"article": F.from_json("article_json", schemas.ARTICLE)})
     p = p.withColumn("problems", article_problems(F.col("article"), F.col("article_json")))
     return p.withColumn("valid", F.size("problems") == 0)
 
@@ -268,7 +269,7 @@ def leak_scan(articles: DataFrame, key: str, fields: list[Column]) -> DataFrame:
     n = F.lit(0)
     for f in fields:
         n = n + text.scrub_count(f)
-    return articles.select(key, n.alias("leaks")).where(F.col("leaks") > 0)
+    return once(articles, {"leaks": n}, [key]).where(F.col("leaks") > 0)
 
 
 def kb_impact(incidents: DataFrame, hits: DataFrame, runs: DataFrame, articles: DataFrame,

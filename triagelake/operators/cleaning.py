@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import text
+from triagelake.functions.evaluate import once
 from triagelake.functions.text import nullif_empty
 
 SCRUBBED_FIELDS = ["short_description", "description", "close_notes"]
@@ -23,14 +24,12 @@ def _normalized(raw: DataFrame) -> DataFrame:
     """All rows, cleaned, with a flag `_valid` for those normalisation keeps."""
     closed = F.try_to_timestamp(F.col("closed_at"), F.lit("yyyy-M-d H:m:s"))
     extra = [c for c in ("attributed", "caller_id") if c in raw.columns]
-    cleaned = raw.select(
-        "number", _clean("short_description").alias("short_description"),
-        _clean("description").alias("description"), _clean("close_notes").alias("close_notes"),
-        F.coalesce(text.strip_edges(F.col("close_code")), F.lit("")).alias("close_code"),
-        F.coalesce(text.strip_edges(F.col("assignment_group")), F.lit("")).alias("assignment_group"),
-        nullif_empty(F.col("category")).alias("category"),
-        nullif_empty(F.col("subcategory")).alias("subcategory"),
-        closed.alias("closed_at"), *extra)
+    cleaned = once(raw, {
+        **{c: _clean(c) for c in SCRUBBED_FIELDS},
+        "close_code": F.coalesce(text.strip_edges(F.col("close_code")), F.lit("")),
+        "assignment_group": F.coalesce(text.strip_edges(F.col("assignment_group")), F.lit("")),
+        "category": nullif_empty(F.col("category")), "subcategory": nullif_empty(F.col("subcategory")),
+        "closed_at": closed}, ["number", *extra])
     return cleaned.withColumn("_valid", not_excluded(F.col("close_code"))
                               & (F.col("close_notes") != "") & F.col("closed_at").isNotNull())
 
@@ -43,18 +42,19 @@ def normalize_incidents(raw: DataFrame) -> DataFrame:
 
 def scrub_incidents(clean: DataFrame) -> DataFrame:
     """Scrubbed text fields and the number of redactions over all of them."""
+    done = once(clean, {f"_{c}": text.scrub(F.col(c)) for c in SCRUBBED_FIELDS})
     n = F.lit(0)
     for c in SCRUBBED_FIELDS:
-        n = n + text.scrub_count(F.col(c))
-    return clean.withColumn("redactions", n).withColumns(
-        {c: text.scrub(F.col(c)) for c in SCRUBBED_FIELDS})
+        n = n + text.scrub_count(F.col(c), F.col(f"_{c}"))
+    return (done.withColumn("redactions", n).withColumns({c: F.col(f"_{c}") for c in SCRUBBED_FIELDS})
+                .drop(*[f"_{c}" for c in SCRUBBED_FIELDS]))
 
 
 def score_incidents(clean: DataFrame) -> DataFrame:
-    return clean.withColumn("quality", text.quality_score(
+    return once(clean, {"quality": text.quality_score(
         F.col("close_notes"), F.col("close_code"),
         F.col("attributed") if "attributed" in clean.columns else None,
-        F.col("caller_id") if "caller_id" in clean.columns else None))
+        F.col("caller_id") if "caller_id" in clean.columns else None)})
 
 
 def prepare_incidents(raw: DataFrame) -> DataFrame:

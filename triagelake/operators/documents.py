@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import text
+from triagelake.functions.evaluate import once
 from triagelake.operators.keyed import latest_per_key
 
 DOC_KEYS = ["source_type", "source_id"]
@@ -19,7 +20,7 @@ DOC_KEYS = ["source_type", "source_id"]
 
 def page_documents(pages: DataFrame, base_url: str = "https://kb.local") -> DataFrame:
     """Pages to documents: tags become spaces, empty pages are skipped."""
-    body = pages.withColumn("content", text.strip_tags_spaced(F.col("html")))
+    body = once(pages, {"content": text.strip_tags_spaced(F.col("html"))})
     return body.where(F.col("content") != "").select(
         F.lit("confluence").alias("source_type"), F.col("page_id").cast("string").alias("source_id"),
         F.concat(F.lit(f"{base_url}/pages/"), F.col("page_id")).alias("source_url"),
@@ -58,9 +59,12 @@ def document_upsert(log: DataFrame, order: list[str]) -> tuple[DataFrame, DataFr
 def chunk_documents(docs: DataFrame, keys: list[str], content: str = "content", size: int = 400,
                     overlap: int = 50) -> DataFrame:
     """One row per chunk with its index and word count."""
-    c = docs.select(*keys, F.posexplode(text.chunks(F.col(content), size, overlap))
-                    .alias("chunk_index", "chunk"))
-    return c.withColumn("token_count", F.size(text.words(F.col("chunk"))))
+    w = once(docs, {"_w": text.words(F.col(content))}, [*keys, content])
+    c = w.select(*keys, F.size("_w").alias("_n"),
+                 F.posexplode(text.chunks(F.col(content), F.col("_w"), size, overlap))
+                 .alias("chunk_index", "chunk"))
+    left = F.col("_n") - F.col("chunk_index") * (size - overlap)
+    return c.withColumn("token_count", F.least(F.lit(size), left)).drop("_n")
 
 
 def missing_chunks(docs: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelake import schemas
 from triagelake.functions import rules
+from triagelake.functions.evaluate import once
 
 # ---- Fixed values ---------------------------------------------------------------
 NO_MATCHES = "No KB matches."
@@ -47,8 +48,8 @@ def parse_results(raw: DataFrame, value: str = "value") -> DataFrame:
     """Parsed result columns; unreadable text becomes the fallback record.
 
     A step that is not an object is wrapped as the action of its position."""
-    r = raw.withColumn("_r", F.from_json(value, schemas.ROOT_CAUSE)).withColumn(
-        "_bad", F.json_object_keys(value).isNull())
+    r = once(raw, {"_r": F.from_json(value, schemas.ROOT_CAUSE),
+                   "_bad": F.json_object_keys(value).isNull()})
     step = lambda s, i: F.when(F.json_object_keys(s).isNotNull(), F.from_json(s, schemas.STEP)).otherwise(
         F.struct((i + 1).alias("step_num"), s.alias("action"),
                  *[F.lit(None).cast("string").alias(c) for c in ("owner", "tool", "command", "rationale")]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelake import schemas
 from triagelake.functions import rules
+from triagelake.functions.evaluate import once
 from triagelake.operators.keyed import top_per_key
 from triagelake.session import cut_lineage
 
@@ -16,7 +17,7 @@ EVENT_COLUMNS = ["source", "external_id", "severity", "flow", "title", "host", "
 def parse_payloads(raw: DataFrame, schema, required: list[str], value: str = "value",
                    ) -> tuple[DataFrame, DataFrame]:
     """JSON payloads to (valid, rejects); unknown fields stay in the raw text."""
-    parsed = raw.withColumn("p", F.from_json(F.col(value), schema))
+    parsed = once(raw, {"p": F.from_json(F.col(value), schema)})
     ok = F.col("p").isNotNull()
     for name in required:
         ok = ok & F.col(f"p.{name}").isNotNull()

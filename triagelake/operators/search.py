@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import scoring, text
+from triagelake.functions.evaluate import once
 from triagelake.functions.text import nullif_empty
 from triagelake.functions.vectors import dot, unit
 from triagelake.operators import blocks
@@ -74,7 +75,7 @@ def bm25(docs: DataFrame, doc_id: str, content: str, terms: list[str], k1: float
     """
     terms = sorted(set(t.lower() for t in terms))
     w = text.words(F.lower(F.regexp_replace(content, r"(?U)[^\w]+", " ")))
-    tf = docs.select(doc_id, w.alias("_w")).select(
+    tf = once(docs, {"_w": w}, [doc_id]).select(
         doc_id, F.size("_w").alias("_len"),
         *[F.size(F.filter("_w", _equals(t))).alias(f"_tf{i}") for i, t in enumerate(terms)])
     stats = tf.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_avg"),

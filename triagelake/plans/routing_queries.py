@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triagelake.functions import rules
+from triagelake.functions.evaluate import spread
 from triagelake.operators import routing
 from triagelake.plans import sqltext as S
 from triagelake.plans.registry import query
@@ -107,14 +108,14 @@ def assign_flow(spark, sf):
 
 def payloads(spark, sf):
     """Alerts and tickets as JSON texts, as the two webhooks receive them."""
-    p = D.problem_events(spark, sf)
+    p = spread(D.problem_events(spark, sf))
     tag = F.when(F.col("service").isNotNull(), F.concat(F.lit("app:"), "service"))
     a = p.select("event_id", "ts", F.to_json(F.struct(
         F.col("problem_id").alias("problemId"), F.concat(F.lit("Alert "), "event_id").alias("displayName"),
         F.col("kind").alias("severity"), "status", F.lit("PROBLEM").alias("eventType"),
         F.array_compact(F.array(F.lit("env:prod"), tag)).alias("tags"),
         F.array(F.struct(F.col("host").alias("name"))).alias("impactedEntities"))).alias("value"))
-    i = D.incidents(spark, sf)
+    i = spread(D.incidents(spark, sf))
     b = i.select(F.to_json(F.struct(
         F.col("external_id").alias("number"), "priority",
         F.concat(F.lit("Ticket "), "external_id").alias("short_description"),
