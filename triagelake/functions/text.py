@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from triagelake.functions.evaluate import let
+
 # ---- Fixed values: close codes, scrub patterns, quality rules ---------------
 EXCLUDED_CLOSE_CODES = ["Cannot Reproduce", "Duplicate", "User Error - No Action"]
 SCRUB_RULES = [
@@ -38,7 +40,9 @@ MARKUP_ENTITIES = [
 
 BLANK = r"(?U)\s+"
 WORD = r"(?U)\S+"
-EDGE_BLANK = r"(?U)^\s+|\s+$"
+# The characters Python's str.strip removes.
+EDGE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def nullif_empty(c: Column) -> Column:
@@ -47,7 +51,7 @@ def nullif_empty(c: Column) -> Column:
 
 def strip_edges(c: Column) -> Column:
     """Remove any Unicode whitespace at both ends."""
-    return F.regexp_replace(c, EDGE_BLANK, "")
+    return F.btrim(c, F.lit(EDGE_CHARS))
 
 
 def strip_markup(c: Column) -> Column:
@@ -87,10 +91,16 @@ def scrub(c: Column) -> Column:
     Needles avoid i, k and s, whose Unicode case forms differ, so they never
     miss a text the rule would change; no marker contains one a later rule needs.
     """
-    out, low = c, F.lower(c)
-    for (pattern, marker), needles in zip(SCRUB_RULES, SCRUB_NEEDLES):
-        out = F.when(_may_match(low, needles), F.regexp_replace(out, "(?iU)" + pattern, marker)).otherwise(out)
-    return out
+    def steps(low: Column) -> Column:
+        out = c
+        for (pattern, marker), needles in zip(SCRUB_RULES, SCRUB_NEEDLES):
+            out = let(out, _guarded(_may_match(low, needles), pattern, marker))
+        return out
+    return let(F.lower(c), steps)
+
+
+def _guarded(hit: Column, pattern: str, marker: str):
+    return lambda t: F.when(hit, F.regexp_replace(t, "(?iU)" + pattern, marker)).otherwise(t)
 
 
 def scrub_count(before: Column, after: Column | None = None) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake import schemas
 from triagelake.functions import scoring, text
 from triagelake.functions.evaluate import once
+from triagelake.operators import blocks
+from triagelake.operators.keyed import ordinal
 from triagelake.session import cut_lineage
 
 # ---- Fixed values: the generator's instructions -------------------------------
@@ -125,48 +127,53 @@ def article_texts(articles: DataFrame) -> DataFrame:
 
 # ---- dedup inside one run ----------------------------------------------------------
 
-def resolve_new_articles(candidates: DataFrame, near_new: DataFrame) -> DataFrame:
-    """Decisions in signature order, seeing the articles created earlier in the run.
+def first_creates(open_: DataFrame, min_score: float) -> DataFrame:
+    """(pid) of the candidates that become new articles, taken in order of pid.
 
-    candidates: (cluster, signature, article_id, similarity) with the nearest
-    stored article. near_new: (cluster, earlier, similarity) pairs of candidates
-    at or above the review threshold, `earlier` first in signature order; only
-    such pairs can change a decision. A candidate is settled once every earlier
-    neighbour is, so each round settles at least the first open one of every
-    chain; rounds equal the longest chain of near duplicates.
+    open_ is (grp, pid, u). A candidate is new when no earlier new one is near.
+    Each round takes every candidate without an earlier open neighbour and drops
+    the neighbours of those; pids are hash-like, so few rounds are needed even
+    when many candidates are alike. A round emits one row per candidate, never
+    the near pairs.
     """
-    sims = cut_lineage(near_new)
-    open_ = cut_lineage(candidates)
-    done = None
-    while True:
-        settled = done.select("cluster") if done is not None else None
-        waiting = sims.select("cluster", "earlier")
-        if settled is not None:
-            waiting = waiting.join(settled.withColumnRenamed("cluster", "earlier"), "earlier", "left_anti")
-        ready = open_.join(waiting.select("cluster").distinct(), "cluster", "left_anti")
-        if done is not None:
-            made = done.where(F.col("decision") == "create").select(
-                F.col("cluster").alias("earlier"), F.col("signature").alias("made_signature"))
-            # The first of equally near earlier articles, as a search by distance gives.
-            best = (sims.join(made, "earlier").groupBy("cluster").agg(
-                F.max_by(F.struct("earlier", "made_signature", "similarity"),
-                         F.struct("similarity", "made_signature")).alias("n")))
-            ready = ready.join(best, "cluster", "left")
-            nearer = F.col("n.similarity") > F.coalesce("similarity", F.lit(-2.0))
-            ready = ready.select(
-                "cluster", "signature",
-                F.when(nearer, F.col("n.made_signature")).otherwise(F.col("target_signature"))
-                 .alias("target_signature"),
-                F.when(nearer, F.concat(F.lit("new:"), "n.made_signature")).otherwise(F.col("article_id"))
-                 .alias("article_id"),
-                F.when(nearer, F.col("n.similarity")).otherwise(F.col("similarity")).alias("similarity"))
-        step = ready.withColumn("decision", scoring.dedup_decision(F.col("similarity")))
-        step = cut_lineage(step.select("cluster", "signature", "target_signature", "article_id",
-                                       "similarity", "decision"))
-        done = cut_lineage(step if done is None else done.unionByName(step))
-        open_ = cut_lineage(open_.join(step.select("cluster"), "cluster", "left_anti"))
-        if open_.isEmpty():
-            return done
+    made = None
+    open_ = cut_lineage(open_)
+    while not open_.isEmpty():
+        first = blocks.earliest_near(open_, min_score)
+        now = cut_lineage(open_.join(first.where(F.col("first") == F.col("pid")).select("pid"),
+                                     "pid", "left_semi"))
+        made = now if made is None else made.unionByName(now)
+        rest = cut_lineage(open_.join(now.select("pid"), "pid", "left_anti"))
+        if rest.isEmpty():
+            break
+        near = blocks.topk(rest, now.withColumnRenamed("pid", "cid"), 1, min_score).select("pid")
+        open_ = cut_lineage(rest.join(near, "pid", "left_anti"))
+    return open_.select("pid", "u", "grp") if made is None else made.select("pid", "u", "grp")
+
+
+def resolve_new_articles(candidates: DataFrame) -> DataFrame:
+    """Decisions in signature order, where later articles see those created earlier in the run.
+
+    candidates: (signature, u, target_signature, article_id, similarity) with the
+    nearest stored article at or above the review threshold, or nulls.
+    """
+    candidates = cut_lineage(candidates)
+    probes = candidates.where(F.col("u").isNotNull()).select(
+        F.lit("all").alias("grp"), F.col("signature").alias("pid"), "u", "similarity")
+    free = probes.where(F.col("similarity").isNull()).drop("similarity")
+    made = cut_lineage(first_creates(free, scoring.REVIEW_AT))
+    others = cut_lineage(probes.drop("similarity").join(made.select("pid"), "pid", "left_anti"))
+    near = blocks.topk(others, made.withColumnRenamed("pid", "cid"), 1, scoring.REVIEW_AT, earlier_only=True)
+    near = near.select(F.col("pid").alias("signature"), F.col("cid").alias("_new"), F.col("score").alias("_s"))
+    j = candidates.drop("u").join(near, "signature", "left")
+    nearer = F.coalesce(F.col("_s") > F.coalesce("similarity", F.lit(-2.0)), F.lit(False))
+    pick = lambda new, old: F.when(nearer, new).otherwise(old)                      # noqa: E731
+    out = j.select(
+        "signature",
+        pick(F.col("_new"), F.coalesce("target_signature", "signature")).alias("target_signature"),
+        pick(F.concat(F.lit("new:"), "_new"), F.col("article_id")).alias("article_id"),
+        pick(F.col("_s"), F.col("similarity")).alias("similarity"))
+    return cut_lineage(out.withColumn("decision", scoring.dedup_decision(F.col("similarity"))))
 
 
 # ---- versions -------------------------------------------------------------------
@@ -178,10 +185,10 @@ def versioned_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     orders several rows of one signature.
     """
     top = stored.groupBy("cluster_signature").agg(F.max("version").alias("_top"))
-    order = Window.partitionBy("cluster_signature").orderBy("seq")
-    fresh = (incoming.join(top, "cluster_signature", "left")
-             .withColumn("version", (F.coalesce("_top", F.lit(0)) + F.row_number().over(order)).cast("int"))
-             .withColumn("is_active", F.lit(True)).drop("_top", "seq"))
+    numbered = ordinal(incoming, ["cluster_signature"], ["seq"], "_i")
+    fresh = (numbered.join(top, "cluster_signature", "left")
+             .withColumn("version", (F.coalesce("_top", F.lit(0)) + F.col("_i")).cast("int"))
+             .withColumn("is_active", F.lit(True)).drop("_top", "_i", "seq"))
     last = fresh.groupBy("cluster_signature").agg(F.max("version").alias("_last"))
     both = stored.unionByName(fresh.select(*stored.columns)).join(last, "cluster_signature", "left")
     return both.withColumn("is_active", F.when(F.col("_last").isNull(), F.col("is_active"))

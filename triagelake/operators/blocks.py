@@ -79,7 +79,8 @@ class Layout:
     def __init__(self, corpus: DataFrame, block: int = BLOCK, pivots: int = PIVOTS):
         self.block = block
         n = corpus.count()
-        self.pivots = choose_pivots(corpus, pivots) if n > block else None
+        # pivots=0: no pruning, for vectors that are not of unit length.
+        self.pivots = choose_pivots(corpus, pivots) if n > block and pivots else None
         if self.pivots is None:
             placed = corpus.withColumns({"cell": F.lit(0), "ang": F.lit(0.0)})
         else:
@@ -123,16 +124,17 @@ class Layout:
         return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 
-def _topk_kernel(k: int, min_score: float, exclude_self: bool, schema: pa.Schema):
+def _topk_kernel(k: int, min_score: float, exclude_self: bool, schema: pa.Schema,
+                 earlier_only: bool = False):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
         right = right.take(pc.sort_indices(right["cid"]))
         s = np.round(matrix(left["u"]) @ matrix(right["u"]).T, 12)
-        if exclude_self:
+        if exclude_self or earlier_only:
             pid = left["pid"].to_numpy()
             cid = right["cid"].to_numpy()
-            s[pid[:, None] == cid[None, :]] = -np.inf
+            s[(pid[:, None] <= cid[None, :]) if earlier_only else (pid[:, None] == cid[None, :])] = -np.inf
         kk = min(k, s.shape[1])
         best = np.argsort(-s, axis=1, kind="stable")[:, :kk]
         score = np.take_along_axis(s, best, axis=1)
@@ -160,7 +162,7 @@ def prepare(df: DataFrame, id_col: str, vec_col: str, as_id: str, group: str | N
 
 
 def search(layout: Layout, probes: DataFrame, k: int, min_score: float, exclude_self: bool = False,
-           own_cell_only: bool = False) -> DataFrame:
+           own_cell_only: bool = False, earlier_only: bool = False) -> DataFrame:
     """Best k corpus rows per probe of its group; ties by id. Probes carry `reach`."""
     kinds = dict(probes.dtypes)
     cid_kind = dict(layout.corpus.dtypes)["cid"]
@@ -168,7 +170,7 @@ def search(layout: Layout, probes: DataFrame, k: int, min_score: float, exclude_
                         ("cid", _arrow(cid_kind)), ("score", pa.float64())])
     ddl = f"grp {kinds['grp']}, pid {kinds['pid']}, cid {cid_kind}, score double"
     part = layout.pairs(probes.select("grp", "pid", "u", "reach"), own_cell_only).applyInArrow(
-        _topk_kernel(k, min_score, exclude_self, schema), ddl)
+        _topk_kernel(k, min_score, exclude_self, schema, earlier_only), ddl)
     return top_per_key(part, ["grp", "pid"], [F.col("score").desc(), F.col("cid")], k)
 
 
@@ -176,30 +178,36 @@ def reach_of(min_score: float) -> float:
     return math.acos(max(-1.0, min(1.0, min_score)))
 
 
-def topk(probes: DataFrame, corpus: DataFrame, k: int, min_score: float) -> DataFrame:
-    """Exact top-k by cosine at or above min_score for (grp, pid, u) against (grp, cid, u)."""
+def topk(probes: DataFrame, corpus: DataFrame, k: int, min_score: float,
+         earlier_only: bool = False) -> DataFrame:
+    """Exact top-k by cosine at or above min_score for (grp, pid, u) against (grp, cid, u).
+
+    earlier_only counts only corpus rows with a smaller id than the probe."""
     return search(Layout(corpus.select("grp", "cid", "u")),
-                  probes.withColumn("reach", F.lit(reach_of(min_score))), k, min_score)
+                  probes.withColumn("reach", F.lit(reach_of(min_score))), k, min_score,
+                  earlier_only=earlier_only)
 
 
-def _within_kernel(min_score: float, schema: pa.Schema):
+def _first_kernel(min_score: float, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        s = np.round(matrix(left["u"]) @ matrix(right["u"]).T, 12)
-        row, col = np.nonzero(s >= min_score)
-        return pa.table({"pid": left["pid"].take(pa.array(row)), "cid": right["cid"].take(pa.array(col)),
-                         "score": pa.array(s[row, col])}, schema=schema)
+        right = right.take(pc.sort_indices(right["cid"]))
+        near = np.round(matrix(left["u"]) @ matrix(right["u"]).T, 12) >= min_score
+        hit = np.flatnonzero(near.any(axis=1))
+        return pa.table({"pid": left["pid"].take(pa.array(hit)),
+                         "first": right["cid"].take(pa.array(near[hit].argmax(axis=1)))}, schema=schema)
     return run
 
 
-def within(probes: DataFrame, corpus: DataFrame, min_score: float) -> DataFrame:
-    """All (pid, cid, score) at or above min_score. The result is as large as the near pairs."""
-    pid, cid = dict(probes.dtypes)["pid"], dict(corpus.dtypes)["cid"]
-    schema = pa.schema([("pid", _arrow(pid)), ("cid", _arrow(cid)), ("score", pa.float64())])
-    lay = Layout(corpus.select("grp", "cid", "u"))
-    return lay.pairs(probes.withColumn("reach", F.lit(reach_of(min_score)))).applyInArrow(
-        _within_kernel(min_score, schema), f"pid {pid}, cid {cid}, score double")
+def earliest_near(probes: DataFrame, min_score: float) -> DataFrame:
+    """(pid, first): the smallest id within min_score of each row of (grp, pid, u), itself included."""
+    kind = dict(probes.dtypes)["pid"]
+    schema = pa.schema([("pid", _arrow(kind)), ("first", _arrow(kind))])
+    lay = Layout(probes.select("grp", F.col("pid").alias("cid"), "u"))
+    part = lay.pairs(probes.withColumn("reach", F.lit(reach_of(min_score)))).applyInArrow(
+        _first_kernel(min_score, schema), f"pid {kind}, first {kind}")
+    return part.groupBy("pid").agg(F.min("first").alias("first"))
 
 
 def knn(vectors: DataFrame, k: int, block: int = BLOCK, pivots: int = PIVOTS,

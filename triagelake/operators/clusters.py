@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import scoring
 from triagelake.functions.vectors import dot
+from triagelake.operators import blocks
 from triagelake.operators.blocks import matrix
 from triagelake.operators.keyed import top_per_key
 from triagelake.session import cut_lineage
@@ -222,19 +223,40 @@ def spread_days(members: DataFrame, closed_at: str, max_days: int = 60) -> DataF
 def silhouette(members: DataFrame, group: str) -> DataFrame:
     """Mean cosine silhouette per cluster against the other clusters of its group.
 
-    Mean distance of a to cluster C = 1 - a.S(C)/n(C), so sums suffice: each
-    member meets the clusters of its group, not their members.
+    The mean distance of a member to a cluster is one less its product with the
+    cluster mean, so members meet means, in parts; a task emits one row per member.
     """
+    kind = dict(members.dtypes)["cluster"]
     sums = vector_sums(members)
-    of = members.select("cluster", F.col(group).alias("grp")).distinct()
-    other = sums.join(of, "cluster").select("grp", F.col("cluster").alias("oc"), F.col("n").alias("on"),
-                                            F.col("s").alias("os"))
-    j = members.withColumnRenamed(group, "grp").join(other, "grp")
-    own = F.col("cluster") == F.col("oc")
-    d = dot(F.col("u"), F.col("os"))
-    a = F.when(own & (F.col("on") > 1), 1 - (d - dot(F.col("u"), F.col("u"))) / (F.col("on") - 1))
-    b = F.when(~own, 1 - d / F.col("on"))
-    per = j.groupBy("cluster", "number").agg(F.max(a).alias("a"), F.min(b).alias("b"))
+    of = members.select("cluster", F.col(group).cast("string").alias("grp")).distinct()
+    means = cut_lineage(sums.join(of, "cluster").select(
+        "grp", F.col("cluster").alias("cid"), "n", F.transform("s", lambda x: x / F.col("n")).alias("u")))
+    probes = cut_lineage(members.select(F.col(group).cast("string").alias("grp"), F.col("number").alias("pid"),
+                                        F.col("cluster").alias("own"), "u", F.lit(0.0).alias("reach")))
+    pid_kind = dict(probes.dtypes)["pid"]
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([("cluster", arrow[kind]), ("number", arrow[pid_kind]), ("a", pa.float64()),
+                        ("b", pa.float64())])
+
+    def run(l: pa.Table, r: pa.Table) -> pa.Table:
+        if l.num_rows == 0 or r.num_rows == 0:
+            return schema.empty_table()
+        u = matrix(l["u"])
+        d = 1 - u @ matrix(r["u"]).T
+        own = l["own"].to_numpy()[:, None] == r["cid"].to_numpy()[None, :]
+        n = np.broadcast_to(r["n"].to_numpy()[None, :], d.shape)
+        b = np.where(own, np.inf, d).min(axis=1)
+        a = np.full(len(d), np.nan)
+        i, j = np.nonzero(own & (n > 1))
+        # The mean over the others: take the member itself (distance 0) out.
+        a[i] = d[i, j] * n[i, j] / (n[i, j] - 1)
+        return pa.table({"cluster": l["own"], "number": l["pid"],
+                         "a": pa.array(a, from_pandas=True),
+                         "b": pa.array(np.where(np.isfinite(b), b, np.nan), from_pandas=True)}, schema=schema)
+
+    parts = blocks.Layout(means, pivots=0).pairs(probes).applyInArrow(
+        run, f"cluster {kind}, number {pid_kind}, a double, b double")
+    per = parts.groupBy("cluster", "number").agg(F.max("a").alias("a"), F.min("b").alias("b"))
     s = (F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0)
           .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))))
     return per.groupBy("cluster").agg(F.round(F.avg(s), 6).alias("silhouette"))

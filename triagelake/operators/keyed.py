@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.session import cut_lineage
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key; whole-row overwrite, nulls included."""
@@ -38,6 +40,23 @@ def running_sum(df: DataFrame, keys: list[str], slice_col: str, order: list[Colu
                  .withColumn(out, F.col("_base") + F.col("_local")).drop("_base", "_local"))
 
 
+def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Row number from 1 per key in a total order, without sorting a key in one task.
+
+    Rows are range-partitioned by key and order and written once (checkpoint), so
+    the partition of a row is stable. Numbers inside (key, partition) plus the
+    counts of the earlier partitions of the key give the row number.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*keys, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = ranged.withColumn("_local", F.row_number().over(
+        Window.partitionBy(*keys, "_p").orderBy(*order)))
+    return (local.join(offs, [*keys, "_p"]).withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
+                 .drop("_p", "_off", "_local"))
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
                 rank: str = "rank") -> DataFrame:
     """First k rows per key. Spark puts a group limit before the shuffle, so a

@@ -52,15 +52,27 @@ class Settings:
 
 
 class KnowledgeBase:
-    """Snapshot tables of the synthesis: articles, run log, decisions."""
+    """Snapshot tables of the synthesis: articles, their source incidents, run log, decisions.
+
+    Source incidents are rows of a child table, so an article of a very large
+    cluster stays one small row; `with_sources` builds the lists where they are wanted.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         t = schemas.TABLES
         self.articles = SnapshotTable(spark, f"{root}/synthesized_kb", t["synthesized_kb"])
+        self.sources = SnapshotTable(spark, f"{root}/synthesized_kb_sources", t["synthesized_kb_sources"])
         self.runs = SnapshotTable(spark, f"{root}/kb_synthesis_runs", t["kb_synthesis_runs"])
         self.decisions = SnapshotTable(spark, f"{root}/kb_synthesis_decisions", t["kb_synthesis_decisions"])
 
 
+def with_sources(kb: KnowledgeBase, rows: DataFrame) -> DataFrame:
+    """Article rows with their sorted list of source incidents, as an export needs it."""
+    ids = kb.sources.read().join(rows.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    lists = ids.groupBy("article_id").agg(F.array_sort(F.collect_list("incident_id")).alias("source_incident_ids"))
+    return rows.join(lists.withColumnRenamed("article_id", "id"), "id", "left")
+
+
 def latest_runs(kb: KnowledgeBase) -> DataFrame:
     """One row per run: the last state logged."""
     return latest_per_key(kb.runs.read(), ["run_id"], ["seq"])
@@ -82,7 +94,7 @@ def run_synthesis(spark: SparkSession, closed: DataFrame, kb: KnowledgeBase, sta
                   run_id: str | None = None) -> dict[str, int]:
     """Run one window and return its counters. A failure is logged and raised."""
     s = settings or Settings()
-    run_id = run_id or f"run-{start}-{end}"
+    run_id = run_id or f"run-{start}-{end}-{kb.runs.current_version():06d}"
     days = date.fromisoformat(start), date.fromisoformat(end)
     counts = dict.fromkeys(COUNTERS, 0)
     durations: dict[str, float] = {}
@@ -167,14 +179,17 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
     arts = cut_lineage(arts.withColumn("u", unit(F.col("embedding_title"))))
     stored = kb.articles.read()
     decided = _decide(arts, stored)
-    fresh = decided.join(arts, ["cluster", "signature"])
+    fresh = decided.join(arts, "signature")
     outcome = {r["decision"]: r["n"] for r in decided.groupBy("decision").agg(F.count("*").alias("n")).collect()}
     counts["created"] = outcome.get("create", 0)
     counts["updated"] = outcome.get("update", 0)
     counts["flagged_for_review"] = outcome.get("review", 0)
 
-    sources = members.groupBy("cluster").agg(F.array_sort(F.collect_list("number")).alias("ids"))
-    incoming = _article_rows(fresh.where(F.col("decision") != "review").join(sources, "cluster"), s, run_id, as_of)
+    stored_now = fresh.where(F.col("decision") != "review")
+    incoming = _article_rows(stored_now, s, run_id, as_of)
+    links = members.select("cluster", F.col("number").alias("incident_id")).join(
+        stored_now.select("cluster", _article_id(run_id).alias("article_id")), "cluster")
+    kb.sources.commit(kb.sources.read().unionByName(links.select("article_id", "incident_id")))
     merged = cut_lineage(articles.versioned_upsert(stored, incoming))
     _log_decisions(kb, decided, skipped, merged, run_id, as_of)
     lap("upsert_publish")
@@ -185,28 +200,20 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
 
 
 def _decide(arts: DataFrame, stored: DataFrame) -> DataFrame:
-    """(cluster, signature, target_signature, article_id, similarity, decision)."""
-    probes = arts.select(F.lit("all").alias("grp"), F.col("cluster").alias("pid"), "u").where(
+    """(signature, target_signature, article_id, similarity, decision)."""
+    probes = arts.select(F.lit("all").alias("grp"), F.col("signature").alias("pid"), "u").where(
         F.col("u").isNotNull())
     active = blocks.prepare(stored.where("is_active"), "id", "embedding_title", "cid")
     near = blocks.topk(probes, active, 1, scoring.REVIEW_AT).select(
-        F.col("pid").alias("cluster"), F.col("cid").alias("article_id"), F.col("score").alias("similarity"))
+        F.col("pid").alias("signature"), F.col("cid").alias("article_id"), F.col("score").alias("similarity"))
     sig = stored.select(F.col("id").alias("article_id"), F.col("cluster_signature").alias("target_signature"))
-    cand = (arts.select("cluster", "signature").join(near, "cluster", "left")
-                .join(sig, "article_id", "left")
-                .select("cluster", "signature", F.coalesce("target_signature", "signature").alias("target_signature"),
-                        "article_id", "similarity"))
-    # Earlier articles of the run within the review threshold, in signature order.
-    mine = arts.where(F.col("u").isNotNull()).select(F.lit("all").alias("grp"), F.col("cluster").alias("cid"),
-                                                     F.col("u").alias("u"))
-    pairs = blocks.within(probes, mine, scoring.REVIEW_AT)
-    order = arts.select("cluster", "signature")
-    a = order.select(F.col("cluster").alias("pid"), F.col("signature").alias("sa"))
-    b = order.select(F.col("cluster").alias("cid"), F.col("signature").alias("sb"))
-    earlier = (pairs.join(a, "pid").join(b, "cid").where(F.col("sb") < F.col("sa"))
-               .select(F.col("pid").alias("cluster"), F.col("cid").alias("earlier"),
-                       F.col("score").alias("similarity")))
-    return articles.resolve_new_articles(cand, earlier)
+    cand = (arts.select("signature", "u").join(near, "signature", "left").join(sig, "article_id", "left")
+                .select("signature", "u", "target_signature", "article_id", "similarity"))
+    return articles.resolve_new_articles(cand)
+
+
+def _article_id(run_id: str):
+    return F.sha1(F.concat_ws("|", F.lit(run_id), "signature"))
 
 
 def _article_rows(rows: DataFrame, s: Settings, run_id: str, as_of) -> DataFrame:
@@ -217,12 +224,11 @@ def _article_rows(rows: DataFrame, s: Settings, run_id: str, as_of) -> DataFrame
                                F.lit(None).cast("double"))
     dec = lambda c: c.cast("decimal(4,3)")                                          # noqa: E731
     return rows.select(
-        F.sha1(F.concat_ws("|", F.lit(run_id), "signature")).alias("id"), target.alias("cluster_signature"),
+        _article_id(run_id).alias("id"), target.alias("cluster_signature"),
         a["title"].alias("title"), a["problem_summary"].alias("problem_summary"), a["root_cause"].alias("root_cause"),
         a["resolution_steps"].alias("resolution_steps"), a["keywords"].alias("keywords"),
         a["assignment_group"].alias("assignment_group"), a["category"].alias("category"),
-        a["subcategory"].alias("subcategory"), F.col("ids").alias("source_incident_ids"),
-        F.size("ids").alias("source_incident_count"), dec(score).alias("confidence_score"),
+        a["subcategory"].alias("subcategory"), F.col("n").cast("int").alias("source_incident_count"), dec(score).alias("confidence_score"),
         dec(a["confidence_self_rating"]).alias("llm_self_rating"), dec(F.col("cohesion")).alias("cluster_cohesion"),
         F.col("embedding_title").cast("array<double>").alias("embedding_title"),
         F.col("embedding_full").cast("array<double>").alias("embedding_full"),
@@ -232,7 +238,7 @@ def _article_rows(rows: DataFrame, s: Settings, run_id: str, as_of) -> DataFrame
 
 
 def _log_decisions(kb, decided, skipped, merged, run_id, as_of) -> None:
-    new_id = F.sha1(F.concat_ws("|", F.lit(run_id), "signature"))
+    new_id = _article_id(run_id)
     rows = decided.select(
         F.sha1(F.concat_ws("|", F.lit(run_id), F.lit("decision"), "signature")).alias("decision_id"),
         F.lit(run_id).alias("run_id"),

@@ -47,10 +47,11 @@ TABLES = {
         "problem_summary string, root_cause string, "
         "resolution_steps array<struct<step:int,action:string,command:string>>, "
         "keywords array<string>, assignment_group string, category string, subcategory string, "
-        "source_incident_ids array<string>, source_incident_count int, "
+        "source_incident_count int, "
         "confidence_score decimal(4,3), llm_self_rating decimal(4,3), cluster_cohesion decimal(4,3), "
         "embedding_title array<double>, embedding_full array<double>, page_id string, "
         "embedding_model_version string, created_at timestamp, retired_at timestamp"),
+    "synthesized_kb_sources": ("article_id string, incident_id string"),
     "kb_synthesis_runs": (
         "run_id string, seq int, started_at timestamp, finished_at timestamp, status string, "
         "window_start date, window_end date, counts map<string,bigint>, "
