@@ -177,3 +177,87 @@ def test_resolve_new_articles(spark):
     got = {r.signature: (r.decision, r.target_signature) for r in articles.resolve_new_articles(df).collect()}
     assert got == {"s1": ("create", "s1"), "s2": ("update", "s1"), "s3": ("review", "s1"),
                    "s4": ("update", "old"), "s5": ("create", "s5")}
+
+
+def partition(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r.grp, r.label), set()).add(r.number)
+    return sorted((g, tuple(sorted(m))) for (g, _), m in out.items())
+
+
+def top_down(points, edges, min_size):
+    """Clusters by the definition: recursive splits from the top, then the better of node and children."""
+    def comps(pts, es):
+        up = {p: p for p in pts}
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+        for x, y, _ in es:
+            up[find(x)] = find(y)
+        groups = {}
+        for p in pts:
+            groups.setdefault(find(p), set()).add(p)
+        return list(groups.values())
+
+    def walk(pts, es, birth):
+        """(stability, leaves-or-chosen clusters, total) of the cluster that starts with pts."""
+        mass, members = 0.0, set(pts)
+        while True:
+            cut = es[-1]
+            lam = min(1 / cut[2], 1e12) if cut[2] > 0 else 1e12
+            rest = es[:-1]
+            halves = comps(pts, rest)
+            big = [h for h in halves if len(h) >= min_size]
+            if len(big) == 2:
+                mass += lam * len(pts) - birth * len(pts)
+                kids = [walk(h, [e for e in rest if e[0] in h], lam) for h in big]
+                return mass, members, kids
+            lost = len(pts) - sum(len(h) for h in big)
+            mass += (lam - birth) * lost
+            if not big:
+                return mass, members, []
+            pts = big[0]
+            es = [e for e in rest if e[0] in pts]
+
+    def select(node):
+        mass, members, kids = node
+        if not kids:
+            return mass, [members]
+        below = [select(k) for k in kids]
+        total = sum(t for t, _ in below)
+        if total > mass:
+            return total, [m for _, ms in below for m in ms]
+        return mass, [members]
+
+    order = sorted(edges, key=lambda e: (e[2], min(e[:2]), max(e[:2])))
+    _, _, kids = walk(set(points), order, 0.0)
+    return sorted(tuple(sorted(m)) for k in kids for m in select(k)[1])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_condense_by_definition(seed):
+    rng = np.random.default_rng(seed)
+    n = 80
+    centres = rng.normal(size=(5, 4)) * 2
+    u = unit(np.array([centres[i % 5] + rng.choice([0.05, 0.3, 1.0]) * rng.normal(size=4) for i in range(n)]))
+    ids = np.array([f"p{i:03d}" for i in range(n)])
+    a, b, w = density._prim(u, ids, 3)
+    got = {}
+    for p, c in density.condense(a, b, w, 5).items():
+        got.setdefault(c, set()).add(p)
+    assert sorted(tuple(sorted(m)) for m in got.values()) == top_down(ids, list(zip(a, b, w)), 5)
+
+
+def test_label_batches_agree(spark, blobs):
+    """A few edges at a time give the clusters that all edges at once give."""
+    rng = np.random.default_rng(9)
+    extra = unit(np.concatenate([np.eye(16)[i % 4] + rng.choice([0.05, 0.4]) * rng.normal(size=(1, 16)) for i in range(50)]))
+    u = np.concatenate([blobs, extra])
+    grp = ["a" if i % 3 else "b" for i in range(len(u))]
+    tree = density.cut_lineage(density.spanning_tree(prep(spark, u, grp)))
+    for single in (False, True):
+        whole = partition(density.labels_from_tree(tree, 5, single).collect())
+        parts = partition(density.labels_from_tree(tree, 5, single, edge_limit=23).collect())
+        assert whole == parts and whole

@@ -12,8 +12,6 @@ Vectors are (grp, cid, u): team, id, unit vector.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,10 +20,12 @@ from pyspark.sql import functions as F
 
 from triagelake.operators import blocks
 from triagelake.operators.blocks import matrix
+from triagelake.operators.keyed import ordinal
 from triagelake.session import cut_lineage
 
 MIN_CLUSTER_SIZE, MIN_SAMPLES = 5, 3     # fixed values
 TEAM_LIMIT = 2048                        # vectors of a team one task may hold
+EDGE_LIMIT = 1_000_000                   # tree edges of a team one task may hold
 MAX_LAMBDA = 1e12
 DIGITS = 12
 
@@ -236,27 +236,45 @@ def spanning_tree(vectors: DataFrame, min_samples: int = MIN_SAMPLES, team_limit
     return _tree_small(fits, min_samples).unionByName(_tree_large(rest, min_samples, block, pivots))
 
 
-# ---- condensed tree -------------------------------------------------------------
+# ---- cluster tree ----------------------------------------------------------------
+
+class _Part:
+    """A component while edges are merged: its size, its open cluster with the sums
+    of that cluster, and its points as long as it has too few for a cluster."""
+
+    __slots__ = ("size", "cid", "mass", "count", "below", "loose")
+
+    def __init__(self, size, cid, mass, count, below, loose):
+        self.size, self.cid, self.mass, self.count, self.below, self.loose = (
+            size, cid, mass, count, below, loose)
+
+
+LEAF = -1.0      # `below` of a cluster without children
 
-def condense(a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int,
-             allow_single: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, labels) of one team from its tree edges; -1 is noise.
 
-    Bottom-up over edges by weight. A cluster lives while it has min_size
-    members; a merge of two living ones closes both and opens their parent. The
-    stability of a cluster sums, over the points it loses, the density at which
-    they leave minus the density at which the cluster appeared.
+def _settle(part: _Part, birth: float, selectable: bool = True) -> tuple[bool, float]:
+    """(chosen, total) of a cluster that ends downwards at density `birth`.
+
+    Its stability sums, over the points it loses, the density at which they leave
+    less `birth`; it is chosen unless its children's total is larger.
     """
-    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    n = len(ids)
-    x, y = ends[:n - 1], ends[n - 1:]
-    order = np.lexsort((np.maximum(x, y), np.minimum(x, y), w))
-    up = np.arange(n)
-    size = np.ones(n, dtype=np.int64)
-    alive = np.full(n, -1)                    # open cluster of a component root
-    kids, mass, count = [], [], []            # per cluster: children, sum of leave densities, points
-    joined = np.full(n, -1)                   # cluster a point belongs to when it leaves
-    loose = [[i] for i in range(n)]           # points of components that hold no cluster yet
+    stability = part.mass - birth * part.count
+    if part.below == LEAF:
+        return selectable, stability
+    chosen = selectable and part.below <= stability
+    return chosen, stability if chosen else part.below
+
+
+def merge_edges(x, y, w, parts: list[_Part], min_size: int, tag: str):
+    """Merge components along edges in the given order (rising weight).
+
+    A cluster appears when a component first has min_size points. A merge of two
+    components with clusters closes both and opens their parent; any smaller side
+    loses its points to the cluster at that density. Returns the root of every
+    component, (point, cluster) pairs and closed clusters (id, parent, chosen).
+    """
+    up = list(range(len(parts)))
+    joined, closed, made = [], [], 0
 
     def root(i):
         while up[i] != i:
@@ -264,96 +282,174 @@ def condense(a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int,
             i = up[i]
         return i
 
-    def take(c, points, lam):
-        joined[points] = c
-        mass[c] += lam * len(points)
-        count[c] += len(points)
-
-    birth: list[float] = []                   # density at which a cluster splits from its parent
-    for e in order:
-        lam = min(1.0 / w[e], MAX_LAMBDA) if w[e] > 0 else MAX_LAMBDA
-        p, q = root(x[e]), root(y[e])
-        if size[p] < size[q]:
+    for i, j, d in zip(x, y, w):
+        lam = min(1.0 / d, MAX_LAMBDA) if d > 0 else MAX_LAMBDA
+        p, q = root(i), root(j)
+        if parts[p].size < parts[q].size:
             p, q = q, p
-        cp, cq = alive[p], alive[q]
-        if cp >= 0 and cq >= 0:               # a true split, seen from above
-            c = len(kids)
-            kids.append([cp, cq]); mass.append(0.0); count.append(0); birth.append(0.0)
-            for k in (cp, cq):
-                birth[k] = lam
-            mass[c] += lam * (size[p] + size[q])
-            count[c] += size[p] + size[q]
-            alive[p] = c
-        elif cp >= 0 or cq >= 0:
-            c = cp if cp >= 0 else cq
-            other = q if cp >= 0 else p
-            take(c, loose[other], lam)
-            loose[other] = []
-            alive[p] = c
-        elif size[p] + size[q] >= min_size:
-            c = len(kids)
-            kids.append([]); mass.append(0.0); count.append(0); birth.append(0.0)
-            take(c, loose[p] + loose[q], lam)
-            loose[p] = loose[q] = []
-            alive[p] = c
+        a, b = parts[p], parts[q]
+        size = a.size + b.size
+        if a.cid is not None and b.cid is not None:
+            made += 1
+            cid, total = f"{tag}.{made}", 0.0
+            for side in (a, b):
+                chosen, t = _settle(side, lam)
+                closed.append((side.cid, cid, chosen))
+                total += t
+            merged = _Part(size, cid, lam * size, size, total, [])
+        elif a.cid is not None or b.cid is not None:
+            own, lost = (a, b) if a.cid is not None else (b, a)
+            joined += [(point, own.cid) for point in lost.loose]
+            merged = _Part(size, own.cid, own.mass + lam * len(lost.loose), own.count + len(lost.loose),
+                           own.below, [])
+        elif size >= min_size:
+            made += 1
+            cid = f"{tag}.{made}"
+            joined += [(point, cid) for point in a.loose + b.loose]
+            merged = _Part(size, cid, lam * size, size, LEAF, [])
         else:
-            loose[p] = loose[p] + loose[q]
-            loose[q] = []
+            merged = _Part(size, None, 0.0, 0, LEAF, a.loose + b.loose)
         up[q] = p
-        size[p] += size[q]
-
-    m = len(kids)
-    labels = np.full(n, -1, dtype=np.int32)
-    if m == 0:
-        return ids, labels
-    top = int(alive[root(0)])
-    stability = [mass[c] - birth[c] * count[c] for c in range(m)]
-    total, chosen = list(stability), [True] * m
-    for c in range(m):                        # children come before parents
-        if not kids[c]:
-            continue
-        below = sum(total[k] for k in kids[c])
-        if below > stability[c] or (c == top and not allow_single):
-            chosen[c], total[c] = False, below
-    if not kids[top] and not allow_single:
-        chosen[top] = False
-    owner = [-1] * m
-    for c in range(m - 1, -1, -1):
-        if owner[c] < 0 and chosen[c]:
-            owner[c] = c
-        for k in kids[c]:
-            owner[k] = owner[c]
-    names = {c: i for i, c in enumerate(sorted({o for o in owner if o >= 0}))}
-    for i in range(n):
-        if joined[i] >= 0 and owner[joined[i]] >= 0:
-            labels[i] = names[owner[joined[i]]]
-    return ids, labels
-
-
-def labels_from_tree(tree: DataFrame, min_size: int = MIN_CLUSTER_SIZE,
-                     allow_single: bool = False) -> DataFrame:
-    """(grp, number, label) from n - 1 edges per team."""
+        parts[p] = merged
+    return [root(i) for i in range(len(parts))], joined, closed
+
+
+def _in_order(a, b, w):
+    """(ids, x, y, w) of edges sorted by (weight, lower id, upper id)."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[:len(w)], ends[len(w):]
+    o = np.lexsort((np.maximum(x, y), np.minimum(x, y), w))
+    return ids, x[o], y[o], w[o]
+
+
+def condense(a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int,
+             allow_single: bool = False) -> dict:
+    """point -> cluster of one team from all its tree edges; noise is left out."""
+    ids, x, y, w = _in_order(a, b, w)
+    parts = [_Part(1, None, 0.0, 0, LEAF, [i]) for i in ids]
+    roots, joined, closed = merge_edges(x, y, w, parts, min_size, "c")
+    top = parts[roots[0]]
+    if top.cid is None:
+        return {}
+    closed.append((top.cid, None, _settle(top, 0.0, allow_single)[0]))
+    owner: dict = {}
+    for cid, parent, chosen in reversed(closed):          # parents come first
+        owner[cid] = owner.get(parent) or (cid if chosen else None)
+    return {point: owner[cid] for point, cid in joined if owner[cid]}
+
+
+def labels_from_tree(tree: DataFrame, min_size: int = MIN_CLUSTER_SIZE, allow_single: bool = False,
+                     edge_limit: int = EDGE_LIMIT) -> DataFrame:
+    """(grp, number, label) of clustered points from n - 1 edges per team."""
     t = dict(tree.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, lab = condense(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy(),
-                            min_size, allow_single)
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "number": ids, "label": lab})
+        got = condense(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy(), min_size, allow_single)
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * len(got), "number": list(got),
+                             "label": list(got.values())}, dtype=object)
+
+    sizes = tree.groupBy("grp").agg(F.count("*").alias("n"))
+    large = cut_lineage(sizes.where(F.col("n") > edge_limit).select("grp"))
+    ddl = f"grp {t['grp']}, number {t['a']}, label string"
+    if large.isEmpty():
+        return tree.groupBy("grp").applyInPandas(run, ddl)
+    few = tree.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(run, ddl)
+    return few.unionByName(_labels_large(tree.join(large, "grp", "left_semi"), min_size, allow_single,
+                                         edge_limit))
 
-    return tree.groupBy("grp").applyInPandas(run, f"grp {t['grp']}, number {t['a']}, label int")
+
+def _labels_large(tree: DataFrame, min_size: int, allow_single: bool, edge_limit: int) -> DataFrame:
+    """The same for teams of any size: edges in weight order, edge_limit at a time.
+
+    Between batches only components travel: size, open cluster, its sums. A task
+    holds one batch of one team; points are written out as they join a cluster.
+    The final cluster of a point is the highest chosen ancestor of the cluster it
+    joined, found by pointer jumping over the cluster table.
+    """
+    kind = dict(tree.dtypes)
+    pid, grp = kind["a"], kind["grp"]
+    ranked = ordinal(tree.select("grp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w"),
+                     ["grp"], ["w", "a", "b"], "_i")
+    ranked = cut_lineage(ranked.withColumn("batch", F.floor((F.col("_i") - 1) / edge_limit)))
+    batches = ranked.agg(F.max("batch")).first()[0] + 1
+    part_cols = "size bigint, cid string, mass double, count bigint, below double"
+    label = cut_lineage(tree.select("grp", F.explode(F.array("a", "b")).alias("point")).distinct()
+                        .withColumn("comp", F.col("point")))
+    state = tree.sparkSession.createDataFrame([], f"grp {grp}, comp {pid}, {part_cols}, loose array<{pid}>")
+    out_ddl = (f"kind string, grp {grp}, comp {pid}, root {pid}, {part_cols}, loose array<{pid}>, "
+               "parent string, chosen boolean")
+    names = [c.split(" ")[0] for c in out_ddl.split(", ")]
+    joined = closed = None
+
+    def step(key, edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(edges):
+            e = edges.sort_values(["w", "a", "b"], kind="stable")
+            comps, ends = np.unique(np.concatenate([e["ca"], e["cb"]]), return_inverse=True)
+            at = {r.comp: _Part(int(r.size_), r.cid, r.mass, int(r.count_), r.below, list(r.loose))
+                  for r in known.rename(columns={"size": "size_", "count": "count_"}).itertuples()}
+            parts = [at.get(c) or _Part(1, None, 0.0, 0, LEAF, [c]) for c in comps]
+            roots, new, ended = merge_edges(ends[:len(e)], ends[len(e):], e["w"].to_numpy(), parts, min_size,
+                                            f"b{e['batch'].iloc[0]}")
+            g = key[0]
+            for i, r in enumerate(roots):
+                rows.append({"kind": "map", "grp": g, "comp": comps[i], "root": comps[r]})
+            for r in sorted(set(roots)):
+                p = parts[r]
+                rows.append({"kind": "state", "grp": g, "comp": comps[r], "size": p.size, "cid": p.cid,
+                             "mass": p.mass, "count": p.count, "below": p.below, "loose": p.loose})
+            rows += [{"kind": "join", "grp": g, "comp": point, "cid": cid} for point, cid in new]
+            rows += [{"kind": "end", "grp": g, "cid": c, "parent": up, "chosen": bool(ok)} for c, up, ok in ended]
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"size": "Int64", "count": "Int64"}).astype(object).where(out.notna(), None)
+
+    for n in range(batches):
+        e = ranked.where(F.col("batch") == n)
+        la = label.select("grp", F.col("point").alias("a"), F.col("comp").alias("ca"))
+        lb = label.select("grp", F.col("point").alias("b"), F.col("comp").alias("cb"))
+        e = cut_lineage(e.join(la, ["grp", "a"]).join(lb, ["grp", "b"]).select(
+            "grp", "a", "b", "w", "ca", "cb", "batch"))
+        touched = e.select("grp", F.explode(F.array("ca", "cb")).alias("comp")).distinct()
+        mine = state.join(touched, ["grp", "comp"], "left_semi")
+        mine = mine.select(*[F.col(c).alias(c) for c in mine.columns])
+        got = cut_lineage(e.groupBy("grp").cogroup(mine.groupBy("grp")).applyInPandas(step, out_ddl))
+        moved = got.where("kind = 'map'").select("grp", "comp", "root")
+        label = cut_lineage(label.join(moved, ["grp", "comp"], "left").select(
+            "grp", "point", F.coalesce("root", "comp").alias("comp")))
+        state = cut_lineage(state.join(touched, ["grp", "comp"], "left_anti").unionByName(
+            got.where("kind = 'state'").select(*state.columns)))
+        j = got.where("kind = 'join'").select("grp", F.col("comp").alias("number"), "cid")
+        c = got.where("kind = 'end'").select("grp", "cid", "parent", "chosen")
+        joined = j if joined is None else joined.unionByName(j)
+        closed = c if closed is None else closed.unionByName(c)
+
+    # One component per team is left; its cluster is the top one.
+    chosen_top = (F.lit(allow_single) & ((F.col("below") == LEAF) | (F.col("below") <= F.col("mass"))))
+    top = state.where(F.col("cid").isNotNull()).select(
+        "grp", "cid", F.lit(None).cast("string").alias("parent"), chosen_top.alias("chosen"))
+    tops = closed.unionByName(top).select(
+        "grp", "cid", F.col("parent").alias("ptr"), F.when(F.col("chosen"), F.col("cid")).alias("best"))
+    tops = cut_lineage(tops)
+    while not tops.where(F.col("ptr").isNotNull()).isEmpty():
+        above = tops.select("grp", F.col("cid").alias("ptr"), F.col("ptr").alias("ptr2"),
+                            F.col("best").alias("best2"))
+        tops = cut_lineage(tops.join(above, ["grp", "ptr"], "left").select(
+            "grp", "cid", F.col("ptr2").alias("ptr"), F.coalesce("best2", "best").alias("best")))
+    return joined.join(tops.where(F.col("best").isNotNull()), ["grp", "cid"]).select(
+        "grp", "number", F.col("best").alias("label"))
 
 
 def cluster_per_team(vectors: DataFrame, id_col: str, vec_col: str, team_col: str,
                      min_cluster_size: int = MIN_CLUSTER_SIZE, min_samples: int = MIN_SAMPLES,
                      allow_single: bool = False, team_limit: int = TEAM_LIMIT,
-                     block: int = blocks.BLOCK, pivots: int = blocks.PIVOTS) -> DataFrame:
+                     block: int = blocks.BLOCK, pivots: int = blocks.PIVOTS,
+                     edge_limit: int = EDGE_LIMIT) -> DataFrame:
     """(team, number, cluster, u) of clustered rows; noise and small teams are left out."""
     named = vectors.withColumn("_team", F.when(F.length(team_col) > 0, F.col(team_col))
                                .otherwise("_unknown"))
     v = cut_lineage(eligible(blocks.prepare(named, id_col, vec_col, "cid", "_team"), min_cluster_size))
     tree = spanning_tree(v, min_samples, team_limit, block, pivots)
-    lab = labels_from_tree(tree, min_cluster_size, allow_single).where(F.col("label") >= 0)
-    lab = cut_lineage(lab)
+    lab = cut_lineage(labels_from_tree(tree, min_cluster_size, allow_single, edge_limit))
     return (lab.join(v.select("grp", F.col("cid").alias("number"), "u"), ["grp", "number"])
                .select(F.col("grp").alias("team"), "number",
                        F.concat_ws("#", "grp", F.col("label")).alias("cluster"), "u"))
