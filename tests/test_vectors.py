@@ -38,10 +38,11 @@ def test_search_with_cells_and_parts(spark, blobs):
         order = sorted((-s[i, j], ids[j]) for j in range(len(ids)) if s[i, j] >= 0.6)[:3]
         want |= {(ids[i], c, r + 1) for r, (_, c) in enumerate(order)}
     v = prep(spark, blobs)
-    lay = blocks.Layout(v.select("grp", "cid", "u"), block=16, pivots=5)
-    probes = v.select("grp", F.col("cid").alias("pid"), "u").withColumn("reach", F.lit(blocks.reach_of(0.6)))
-    got = blocks.search(lay, probes, 3, 0.6)
-    assert {(r.pid, r.cid, r["rank"]) for r in got.collect()} == want
+    for grouped in (True, False):
+        lay = blocks.Layout(v.select("grp", "cid", "u"), block=16, pivots=5, grouped=grouped)
+        probes = v.select("grp", F.col("cid").alias("pid"), "u").withColumn("reach", F.lit(blocks.reach_of(0.6)))
+        got = blocks.search(lay, probes, 3, 0.6)
+        assert {(r.pid, r.cid, r["rank"]) for r in got.collect()} == want
 
 
 def test_knn_by_group(spark, blobs):

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.rules import lookup
 from triagelake.functions.vectors import unit
 from triagelake.operators.keyed import top_per_key
 from triagelake.session import cut_lineage
@@ -74,10 +75,14 @@ def _place(df: DataFrame, pivots: np.ndarray, keep_all: bool) -> DataFrame:
 
 
 class Layout:
-    """A corpus (grp, cid, u, ...) cut into cells and parts."""
+    """A corpus (grp, cid, u, ...) cut into cells and parts.
 
-    def __init__(self, corpus: DataFrame, block: int = BLOCK, pivots: int = PIVOTS):
-        self.block = block
+    With grouped=False there is one group, so at most `pivots` cells: their
+    statistics become literals and probes meet no table at all.
+    """
+
+    def __init__(self, corpus: DataFrame, block: int = BLOCK, pivots: int = PIVOTS, grouped: bool = True):
+        self.block, self.grouped = block, grouped
         n = corpus.count()
         # pivots=0: no pruning, for vectors that are not of unit length.
         self.pivots = choose_pivots(corpus, pivots) if n > block and pivots else None
@@ -86,19 +91,32 @@ class Layout:
         else:
             placed = _place(corpus, self.pivots, keep_all=False)
         stats = placed.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.max("ang").alias("radius"))
-        self.stats = cut_lineage(stats.withColumn("subs", F.ceil(F.col("n") / block).cast("int")))
-        self.stat_rows = self.stats.count()
-        self.corpus = placed.join(small(self.stats.select("grp", "cell", "subs"), self.stat_rows),
-                                  ["grp", "cell"]).withColumn(
+        stats = stats.withColumn("subs", F.ceil(F.col("n") / block).cast("int"))
+        if grouped:
+            self.stats = cut_lineage(stats)
+            self.stat_rows = self.stats.count()
+            sized = placed.join(small(self.stats.select("grp", "cell", "subs"), self.stat_rows), ["grp", "cell"])
+        else:
+            self.cells = stats.select("cell", "radius", "subs").collect()      # at most `pivots` rows
+            self.stat_rows = len(self.cells)
+            sized = placed.withColumn("subs", lookup(F.col("cell"), {r.cell: r.subs for r in self.cells}, 1))
+        self.corpus = sized.withColumn(
             "sub", F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int")).drop("subs", "ang")
 
     def visits(self, probes: DataFrame, own_cell_only: bool = False) -> DataFrame:
         """Probe rows repeated for every cell within `reach` (an angle) of the probe."""
-        st = small(self.stats.select("grp", F.col("cell").alias("_c"), "radius", "subs"), self.stat_rows)
-        if self.pivots is None:
-            out = probes.join(st, "grp")
+        placed = probes if self.pivots is None else _place(probes, self.pivots, keep_all=True)
+        if self.grouped:
+            st = small(self.stats.select("grp", F.col("cell").alias("_c"), "radius", "subs"), self.stat_rows)
+            out = placed.join(st, "grp")
+        elif not self.cells:
+            return placed.select("*", F.lit(0).alias("cell"), F.lit(0).alias("subs")).where(F.lit(False))
         else:
-            out = _place(probes, self.pivots, keep_all=True).join(st, "grp")
+            cells = F.array(*[F.struct(F.lit(r.cell).alias("_c"), F.lit(r.radius).alias("radius"),
+                                       F.lit(r.subs).alias("subs")) for r in self.cells])
+            out = placed.withColumn("_s", F.explode(cells)).select(
+                *placed.columns, "_s._c", "_s.radius", "_s.subs")
+        if self.pivots is not None:
             out = out.where(F.col("cell") == F.col("_c") if own_cell_only else
                             F.get("pang", F.col("_c")) - F.col("radius")
                             <= F.col("reach") + ANGLE_SLACK)
@@ -108,16 +126,20 @@ class Layout:
     def pairs(self, probes: DataFrame, own_cell_only: bool = False):
         """Cogrouped parts (grp, cell, sub, part): probes left, corpus right."""
         v = self.visits(probes, own_cell_only)
-        load = (v.groupBy("grp", "cell").agg(F.count("*").alias("_n"))
-                 .withColumn("parts", F.ceil(F.col("_n") / self.block).cast("int")).drop("_n"))
-        load = small(load, self.stat_rows)
-        left = (v.join(load, ["grp", "cell"])
-                 .withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int"))
-                 .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-                 .drop("parts", "subs"))
-        right = (self.corpus.join(load, ["grp", "cell"])
-                     .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                     .drop("parts"))
+        need = F.ceil(F.col("_n") / self.block).cast("int").alias("parts")
+        if self.grouped:
+            load = small(v.groupBy("grp", "cell").agg(F.count("*").alias("_n")).select("grp", "cell", need),
+                         self.stat_rows)
+            split = lambda df: df.join(load, ["grp", "cell"])                       # noqa: E731
+        else:
+            load = v.groupBy("cell").agg(F.count("*").alias("_n")).select("cell", need).collect()
+            parts = lookup(F.col("cell"), {r.cell: r.parts for r in load} or {0: 0}, 0)
+            split = lambda df: df.withColumn("parts", parts).where(F.col("parts") > 0)
+        left = (split(v).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int"))
+                .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+                .drop("parts", "subs"))
+        right = (split(self.corpus).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                 .drop("parts"))
         # Both sides may stem from one frame; fresh aliases keep the cogroup unambiguous.
         right = right.select(*[F.col(c).alias(c) for c in right.columns])
         keys = ["grp", "cell", "sub", "part"]
@@ -180,10 +202,10 @@ def reach_of(min_score: float) -> float:
 
 def topk(probes: DataFrame, corpus: DataFrame, k: int, min_score: float,
          earlier_only: bool = False) -> DataFrame:
-    """Exact top-k by cosine at or above min_score for (grp, pid, u) against (grp, cid, u).
+    """Exact top-k by cosine at or above min_score for (grp, pid, u) against (grp, cid, u) of one group.
 
     earlier_only counts only corpus rows with a smaller id than the probe."""
-    return search(Layout(corpus.select("grp", "cid", "u")),
+    return search(Layout(corpus.select("grp", "cid", "u"), grouped=False),
                   probes.withColumn("reach", F.lit(reach_of(min_score))), k, min_score,
                   earlier_only=earlier_only)
 
@@ -204,7 +226,7 @@ def earliest_near(probes: DataFrame, min_score: float) -> DataFrame:
     """(pid, first): the smallest id within min_score of each row of (grp, pid, u), itself included."""
     kind = dict(probes.dtypes)["pid"]
     schema = pa.schema([("pid", _arrow(kind)), ("first", _arrow(kind))])
-    lay = Layout(probes.select("grp", F.col("pid").alias("cid"), "u"))
+    lay = Layout(probes.select("grp", F.col("pid").alias("cid"), "u"), grouped=False)
     part = lay.pairs(probes.withColumn("reach", F.lit(reach_of(min_score)))).applyInArrow(
         _first_kernel(min_score, schema), f"pid {kind}, first {kind}")
     return part.groupBy("pid").agg(F.min("first").alias("first"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,12 @@ def bm25(docs: DataFrame, doc_id: str, content: str, terms: list[str], k1: float
         *[F.size(F.filter("_w", _equals(t))).alias(f"_tf{i}") for i, t in enumerate(terms)])
     stats = tf.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_avg"),
                    *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
-    # Scalar subquery: one row of statistics, computed once by the same job.
-    st = stats.select(F.struct("*").alias("s")).scalar()
+    st = stats.first()                  # one row: two totals and a count per query term
     score = F.lit(0.0)
     for i in range(len(terms)):
-        df_i, n = st.getField(f"_df{i}"), F.col(f"_tf{i}")
-        idf = F.ln(1 + (st.getField("_docs") - df_i + 0.5) / (df_i + 0.5))
-        score = score + idf * n * (k1 + 1) / (
-            n + k1 * (1 - b + b * F.col("_len") / st.getField("_avg")))
+        n, df_i = F.col(f"_tf{i}"), st[f"_df{i}"]
+        idf = math.log(1 + (st["_docs"] - df_i + 0.5) / (df_i + 0.5))
+        score = score + idf * n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("_len") / F.lit(st["_avg"] or 1.0)))
     return tf.select(doc_id, score.alias("bm25"))
 
 
@@ -97,7 +97,7 @@ def recency(age_days: Column, half_life_days: float = 30.0) -> Column:
 
 def hybrid_search(dense: DataFrame, sparse: DataFrame, ages: DataFrame, doc_id: str, k: int) -> DataFrame:
     """0.6 cosine + 0.3 keyword score (scaled by the best one) + 0.1 recency; best k documents."""
-    peak = sparse.agg(F.max("bm25")).scalar()
+    peak = F.lit(sparse.agg(F.max("bm25")).first()[0])
     j = sparse.join(dense, doc_id, "left").join(ages, doc_id, "left")
     total = scoring.hybrid(F.coalesce("score", F.lit(0.0)),
                            F.when(peak > 0, F.col("bm25") / peak).otherwise(0.0),
