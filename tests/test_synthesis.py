@@ -92,7 +92,7 @@ def test_missing_field_is_partial_and_backfill_goes_on(spark, kb):
     done = synthesis.backfill(spark, incidents(spark, 5), kb, "2026-07-03", 2,
                               synthesis.Settings(as_of="2026-06-01 00:00:00", embed=flaky))
     assert [(d["window"], d["status"]) for d in done] == [("2026-05-01", "failed"), ("2026-06-01", "succeeded")]
-    assert {r.status for r in synthesis.latest_runs(kb).collect()} == {"failed", "succeeded"}
+    assert {r.status for r in synthesis.latest_runs(kb).collect()} == {"partial", "failed", "succeeded"}
 
 
 def test_retire_in_run(spark, kb):
@@ -114,3 +114,6 @@ def test_snapshot_commit(spark, tmp_path):
     t.commit(spark.range(3).selectExpr("cast(id as int) a"))
     t.commit(t.read().where("a > 0"))
     assert t.current_version() == 2 and sorted(r.a for r in t.read().collect()) == [1, 2]
+    t.append(spark.range(7, 8).selectExpr("cast(id as int) a"))
+    t.append(spark.range(8, 9).selectExpr("cast(id as int) a"))
+    assert t.current_version() == 4 and sorted(r.a for r in t.read().collect()) == [1, 2, 7, 8]

@@ -21,7 +21,7 @@ from triagelake.functions.vectors import unit
 from triagelake.operators import articles, blocks, cleaning, clusters, density, documents
 from triagelake.operators.keyed import latest_per_key
 from triagelake.session import cut_lineage
-from triagelake.sources.readers import closed_incident_scan
+from triagelake.sources.readers import CLOSED_STATE, closed_incident_scan
 from triagelake.sources.sinks import SnapshotTable
 
 COUNTERS = ["extracted", "filtered", "clustered", "created", "updated", "flagged_for_review", "retired",
@@ -82,7 +82,7 @@ def _log_run(spark, kb, run_id, seq, status, start, end, counts, durations, erro
     now = datetime.strptime(as_of, "%Y-%m-%d %H:%M:%S") if as_of else datetime.now(timezone.utc)
     row = (run_id, seq, now, None if status == "running" else now, status, start, end, counts, durations, error)
     new = spark.createDataFrame([row], schemas.TABLES["kb_synthesis_runs"])
-    kb.runs.commit(kb.runs.read().unionByName(new))
+    kb.runs.append(new)
 
 
 def embed_default(df: DataFrame, text_col: str, out: str, dim: int) -> DataFrame:
@@ -127,11 +127,10 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
     as_of = F.lit(s.as_of).cast("timestamp") if s.as_of else F.current_timestamp()
 
     # 1-4: one pass from the extract to clean, scored rows.
-    raw = closed
-    if "state" in closed.columns:
-        typed = closed.withColumn("_closed", F.try_to_timestamp("closed_at", F.lit("yyyy-M-d H:m:s")))
-        raw = closed_incident_scan(typed, start, end, closed_at="_closed").drop("_closed")
-    raw = cut_lineage(raw)
+    # An extract without a state column holds closed rows only.
+    typed = closed.withColumn("_closed", F.try_to_timestamp("closed_at", F.lit("yyyy-M-d H:m:s")))
+    typed = typed if "state" in closed.columns else typed.withColumn("state", F.lit(CLOSED_STATE))
+    raw = cut_lineage(closed_incident_scan(typed, start, end, closed_at="_closed").drop("_closed"))
     clean = cut_lineage(cleaning.quality_gate(cleaning.prepare_incidents(raw), s.quality_floor))
     counts["extracted"] = raw.count()
     kept = clean.count()
@@ -189,7 +188,7 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
     incoming = _article_rows(stored_now, s, run_id, as_of)
     links = members.select("cluster", F.col("number").alias("incident_id")).join(
         stored_now.select("cluster", _article_id(run_id).alias("article_id")), "cluster")
-    kb.sources.commit(kb.sources.read().unionByName(links.select("article_id", "incident_id")))
+    kb.sources.append(links.select("article_id", "incident_id"))
     merged = cut_lineage(articles.versioned_upsert(stored, incoming))
     _log_decisions(kb, decided, skipped, merged, run_id, as_of)
     lap("upsert_publish")
@@ -255,7 +254,7 @@ def _log_decisions(kb, decided, skipped, merged, run_id, as_of) -> None:
         none.alias("article_id"), F.lit(None).cast("decimal(4,3)").alias("similarity_score"),
         F.coalesce("error", F.concat(F.lit("invalid: "), F.array_join("problems", ","))).alias("notes"),
         as_of.alias("created_at"))
-    kb.decisions.commit(kb.decisions.read().unionByName(rows).unionByName(lost))
+    kb.decisions.append(rows.unionByName(lost))
 
 
 def _retire(kb, recommendations, as_of, s, counts, current) -> None:

@@ -30,8 +30,8 @@ def expire_runs(events: DataFrame, as_of: Column, seconds: int = EXPIRE_SECONDS)
 class SnapshotTable:
     """A mutable table as immutable snapshots under one folder.
 
-    A commit writes a new snapshot and then a pointer entry; readers take the
-    newest pointer, so a failed write leaves the last snapshot in force and no
+    A commit or append writes a new folder and then a pointer entry (one file, the
+    folders of the version); readers take the newest version, so a failed write leaves the last snapshot in force and no
     path is overwritten while it is read. Pointers are tiny parquet rows, written
     by Spark, so any shared file system will do.
     """
@@ -52,24 +52,37 @@ class SnapshotTable:
         v = None if p is None else p.agg(F.max("version")).first()[0]
         return 0 if v is None else int(v)
 
+    def _paths(self, version: int) -> list[str]:
+        rows = self._pointers().where(F.col("version") == version).select("path").collect()
+        return sorted(r["path"] for r in rows)
+
     def read(self) -> DataFrame:
         v = self.current_version()
         if v == 0:
             if self.schema is None:
                 raise FileNotFoundError(f"no snapshot in {self.root}")
             return self.spark.createDataFrame([], self.schema)
-        path = self._pointers().where(F.col("version") == v).first()["path"]
         reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
-        return reader.parquet(path)
+        return reader.parquet(*self._paths(v))
+
+    def _point(self, version: int, paths: list[str]) -> int:
+        (self.spark.createDataFrame([(version, p) for p in paths], "version bigint, path string")
+             .coalesce(1).write.mode("append").parquet(f"{self.root}/_pointer"))
+        return version
 
-    def commit(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
+    def commit(self, df: DataFrame) -> int:
+        """Replace the content."""
         v = self.current_version() + 1
         path = f"{self.root}/v={v:08d}"
-        w = df.write.mode("overwrite")
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-        (self.spark.createDataFrame([(v, path)], "version bigint, path string")
-             .coalesce(1).write.mode("append").parquet(f"{self.root}/_pointer"))
-        return v
+        df.write.mode("overwrite").parquet(path)
+        return self._point(v, [path])
+
+    def append(self, df: DataFrame) -> int:
+        """Add rows; what is stored is pointed to again, not rewritten."""
+        v = self.current_version() + 1
+        path = f"{self.root}/v={v:08d}"
+        df.write.mode("overwrite").parquet(path)
+        return self._point(v, [*(self._paths(v - 1) if v > 1 else []), path])
 
 
 def append_batch(df: DataFrame, batch_id: int, path: str) -> None:
