@@ -247,10 +247,14 @@ def mst_weight_per_team(spark, sf):
     return t.groupBy("grp").agg(F.round(F.sum("w"), 6).alias("weight"), F.count("*").alias("edges"))
 
 
-@query()
+@query("""WITH e AS (SELECT 'team' || (label // 2) AS team, printf('N%06d', vec_id) AS number, label FROM embeddings)
+  SELECT team, number, min(number) OVER (PARTITION BY label) AS first_member, count(*) OVER (PARTITION BY label) AS members FROM e""")
 def cluster_per_team(spark, sf):
+    """Two planted groups per team; the clustering must find exactly those."""
     v = D.team_vectors(spark, sf).withColumn("half", F.concat(F.lit("team"), F.floor(F.col("label") / 2)))
-    return density.cluster_per_team(v, "number", "vec", "half").select("team", "cluster", "number")
+    c = density.cluster_per_team(v, "number", "vec", "half").select("team", "cluster", "number")
+    first = c.groupBy("cluster").agg(F.min("number").alias("first_member"), F.count("*").alias("members"))
+    return c.join(first, "cluster").drop("cluster")
 
 
 @query(f"""WITH {S.VEC}, {S.ART} SELECT number, article_id, round(s, 6) AS similarity FROM vec LEFT JOIN (SELECT v.number, article_id,
