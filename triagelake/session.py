@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -43,17 +41,11 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    It is what the cluster names in spark.checkpoint.dir; only a local session
-    without that setting (a test) gets a folder of its own.
+    It is what the cluster names in spark.checkpoint.dir; where that is unset (in
+    tests), a folder in the warehouse, which is shared as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="triagelake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
