@@ -71,51 +71,58 @@ def _counts(train: DataFrame, order: int) -> DataFrame:
 class Model:
     """Log frequencies by language of words and n-grams; its tables are bounded by WORDS and GRAMS."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], order: int):
-        self.langs, self.words, self.grams, self.order = langs, words, grams, order
+    def __init__(self, langs: list[str], words: dict[str, int], word_rows: np.ndarray, grams: dict[str, int],
+                 gram_rows: np.ndarray, order: int):
+        self.langs, self.words, self.word_rows, self.order = langs, words, word_rows, order
+        self.grams, self.gram_rows = grams, gram_rows
         self.unseen = Generations(200_000)
 
-    def word(self, w: str) -> np.ndarray:
-        row = self.words.get(w)
+    def tables(self) -> tuple:
+        return self.langs, self.words, self.word_rows, self.grams, self.gram_rows, self.order
+
+    def back_off(self, w: str) -> np.ndarray:
+        """Mean over an unseen word's positions of the longest known n-gram there, less what each step down costs."""
+        row = self.unseen.get(w)
         if row is None:
-            row = self.unseen.get(w)
-            if row is None:
-                row = self._back_off(w)
-                self.unseen.put(w, row)
+            padded, found, steps = f"<{w}>", [], 0
+            for i in range(len(padded)):
+                for step, n in enumerate(range(self.order, 0, -1)):
+                    at = self.grams.get(padded[i:i + n]) if i + n <= len(padded) else None
+                    if at is not None:
+                        found.append(at)
+                        steps += step
+                        break
+            row = (self.gram_rows[found].sum(0) + steps * BACKOFF) / len(padded)
+            self.unseen.put(w, row)
         return row
 
-    def _back_off(self, w: str) -> np.ndarray:
-        padded, total = f"<{w}>", np.zeros(len(self.langs))
-        for i in range(len(padded)):
-            for steps, n in enumerate(range(self.order, 0, -1)):
-                row = self.grams.get(padded[i:i + n]) if i + n <= len(padded) else None
-                if row is not None:
-                    total += row + steps * BACKOFF
-                    break
-        return total / len(padded)
-
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior probability under equal priors."""
         words = words_of(text) if text else []
         if not self.langs or not words or not any(any(map(str.isalpha, w)) for w in words):
             return UNDETERMINED, 0.0
-        total = np.zeros(len(self.langs))
-        for i in range(0, len(words), 65_536):
-            total += np.sum([self.word(w) for w in words[i:i + 65_536]], axis=0)
+        at = list(map(self.words.get, words))
+        total = self.word_rows[[i for i in at if i is not None]].sum(0)
+        for w, i in zip(words, at, strict=True):
+            if i is None:
+                total = total + self.back_off(w)
         best = int(np.argmax(total))
         return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def _tables(langs: list[str], rows: list, add: float) -> dict[str, np.ndarray]:
+def _table(langs: list[str], rows: list, add: float) -> tuple[dict[str, int], np.ndarray]:
     """Smoothed log frequencies; kinds are normalised one by one."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[tuple[int, str], np.ndarray] = {}
+    column = {lang: i for i, lang in enumerate(langs)}
+    at: dict[str, int] = {}
+    counts = np.full((len({r["item"] for r in rows}), len(langs)), add)
+    kinds = np.zeros(len(counts), np.int64)
     for r in rows:
-        counts.setdefault((r["kind"], r["item"]), np.full(len(langs), add))[at[r["lang"]]] += r["n"]
-    totals: dict[int, np.ndarray] = {}
-    for (kind, _), c in counts.items():
-        totals[kind] = totals.get(kind, 0) + c
-    return {item: np.log(c / totals[kind]) for (kind, item), c in counts.items()}
+        i = at.setdefault(r["item"], len(at))
+        counts[i, column[r["lang"]]] += r["n"]
+        kinds[i] = r["kind"]
+    for kind in np.unique(kinds):
+        counts[kinds == kind] /= counts[kinds == kind].sum(0)
+    return at, np.log(counts)
 
 
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
@@ -133,8 +140,8 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", sample
             .orderBy(F.desc("_all"), "kind", "item").limit(limit)
         return counts.join(F.broadcast(top), ["kind", "item"]).select("lang", "kind", "item", "n").collect()
 
-    model = Model(langs, _tables(langs, most("kind = 0 and n > 1", words), 0.1),
-                  _tables(langs, most("kind > 0", grams), 0.1), order)
+    model = Model(langs, *_table(langs, most("kind = 0 and n > 1", words), 0.1),
+                  *_table(langs, most("kind > 0", grams), 0.1), order)
     counts.unpersist()
     return model
 
@@ -146,10 +153,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(id, columns of `keep`, lang_pred, score) of every row."""
     schema = pa.schema([(id_col, arrow_type(docs, id_col)), *[(c, arrow_type(docs, c)) for c in keep],
                         ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.tables())
 
     def run(batches: Batches) -> Batches:
-        m = shared.value
+        m = Model(*shared.value)
         for b in batches:
             out = [m.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield batch(schema, *b.columns[:-1], [o[0] for o in out], [o[1] for o in out])

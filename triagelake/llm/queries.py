@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import idfiles, langid, packing, simhash, token_counts
+from triagelake.llm import idfiles, langid, packing, pii, quality, simhash, tiling, token_counts
 from triagelake.llm.common import crc_bucket, documents
 from triagelake.session import checkpoint_root
 
@@ -27,6 +27,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"),
+                        pii.joined_spans(pii.by_place(F.concat("base", "added"))).alias("spans"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    return quality.classify(documents(spark, sf_dir), labels).withColumn("held_out", held_out)
+
+
 @query
 def op3_token_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "ids")
@@ -40,6 +58,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

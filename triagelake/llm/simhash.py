@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import Batches, arrow_type, batch, map_arrow, stored, text_bytes
+from triagelake.llm.common import Batches, arrow_type, batch, map_arrow, stored, text_bytes, text_or_empty
 from triagelake.llm.components import components
 
 SEED = 42
@@ -49,15 +49,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long with the same bits."""
-    schema = pa.schema([(id_col, arrow_type(docs, id_col)), ("fp", pa.int64())])
+    """(id, _h, fp): the fingerprint of every row as a signed long with the same bits; _h is a hash of the text."""
+    schema = pa.schema([(id_col, arrow_type(docs, id_col)), ("_h", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield batch(schema, b.column(0), pa.array(np.array(fps, "<u8").view("<i8")))
+            fps = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
+            yield batch(schema, b.column(0), b.column(1), pa.array(np.array(fps, "<u8").view("<i8")))
 
-    return map_arrow(docs.select(id_col, text_bytes(text_col).alias("_t")), run, schema)
+    return map_arrow(docs.select(id_col, F.xxhash64(text_or_empty(text_col)).alias("_h"),
+                                 text_bytes(text_col).alias("_t")), run, schema)
 
 
 def _masks(bits: int) -> list[int]:
@@ -87,15 +88,31 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             .select(F.col("fp").alias("a"), "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, fingerprint, component_id) of every row."""
-    rows = stored(fingerprints(docs, id_col, text_col, shingle))
+def _named(rows: DataFrame, id_col: str, max_bits: int) -> DataFrame:
+    """(fp, _root, component_id) of every distinct fingerprint."""
     classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("_first")))
     tree = components(links(classes.select("fp"), max_bits))
     rooted = classes.join(tree.select(F.col("a").alias("fp"), F.col("b").alias("_root")), "fp", "left") \
         .select("fp", "_first", F.coalesce("_root", "fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = rooted.join(least, "_root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    return rooted.join(least, "_root").select("fp", "_root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """(id, fingerprint, component_id) of every row."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle))
+    return rows.join(_named(rows, id_col, max_bits), "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest id (null ids last)."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle))
+    winner = F.min(F.struct(F.col(id_col).isNull().alias("_n"), F.col(id_col).alias("_id"), F.col("_h").alias("_g")))
+    best = rows.join(_named(rows, id_col, max_bits), "fp").groupBy("_root").agg(winner.alias("_w"))
+    best = stored(best.select("_w._id", "_w._g").distinct())
+    same = docs[id_col].eqNullSafe(best["_id"]) & (F.xxhash64(text_or_empty(text_col)) == best["_g"])
+    kept = docs.join(best, same)
+    return kept.dropDuplicates(["_id", "_g"]).select(*[docs[c] for c in docs.columns])

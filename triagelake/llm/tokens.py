@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+import tokenizers
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
@@ -68,7 +67,7 @@ class Encoder:
     """ids of whole texts; `path` is a tokenizers file, `cache` the number of cached pieces."""
 
     def __init__(self, path: str, cache: int = 1_000_000):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -146,7 +145,13 @@ class Encoder:
         return np.frombuffer(self.encode_bytes(text), self.dtype)
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, cache: int = 1_000_000) -> Encoder:
-    """One encoder per Python worker."""
-    return Encoder(path, cache)
+    """One encoder for all tasks of a Python worker.
+
+    Task functions travel by value and bring their own copy of this module, so
+    the encoders are kept in a module that every worker has.
+    """
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if (path, cache) not in kept:
+        kept[path, cache] = Encoder(path, cache)
+    return kept[path, cache]
