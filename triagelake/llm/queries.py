@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import idfiles, langid, packing, pii, quality, simhash, tiling, token_counts
+from triagelake.llm import idfiles, langid, packing, pii, quality, simhash, suffixes, tiling, token_counts
 from triagelake.llm.common import crc_bucket, documents
 from triagelake.session import checkpoint_root
 
@@ -63,6 +63,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(documents(spark, sf_dir))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
