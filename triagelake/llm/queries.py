@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import idfiles, langid, packing, pii, quality, simhash, suffixes, tiling, token_counts
-from triagelake.llm.common import crc_bucket, documents
+from triagelake.llm import ann, idfiles, langid, packing, pii, quality, simhash, suffixes, tiling, token_counts
+from triagelake.llm.common import crc_bucket, documents, settings
 from triagelake.session import checkpoint_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
