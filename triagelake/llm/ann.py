@@ -11,8 +11,9 @@ half precision, scaled; it ends when few edges change.
 
 Search. A query starts at its own node, where its vector is indexed, and at the
 nearest of a fixed number of pivots. Each round opens the nearest unopened nodes of
-its beam and adds their neighbours, until all of the beam is opened. Distances are
-Euclidean in double precision on the original vectors.
+its beam and adds their neighbours, until all of the beam is opened. The beam is
+kept in half precision; what is in it at the end is measured in double precision on
+the original vectors.
 
 Rows: vectors that are null, empty, zero, of another length than most (ties: the
 longer), or hold a null or non-finite component take no part, as candidate or as
@@ -32,15 +33,15 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.common import Batches, arrow_type, batch, map_arrow, stored
 
-NEIGHBOURS = 20         # edges of a node
+NEIGHBOURS = 32         # edges of a node
 TREES = 4
 LEAF = 128              # nodes of a leaf, on average
 BLOCK = 512             # nodes of a leaf that meet in one task
 SAMPLE = 20_000         # vectors the trees are cut on
-BUCKET = 64             # neighbours that meet in one local join
-ROUNDS = 6
-CHANGED = 0.01          # share of new edges at which building ends
-BEAM, OPENED = 96, 16   # nodes a query keeps, and opens in a round
+BUCKET = 96             # neighbours that meet in one local join
+ROUNDS = 8
+CHANGED = 0.005         # share of new edges at which building ends
+BEAM, OPENED = 160, 24  # nodes a query keeps, and opens in a round
 PIVOTS = 256
 
 
@@ -49,6 +50,7 @@ class Index:
     members: DataFrame      # (node, id): every indexed row
     nodes: DataFrame        # (node, v, h): vector in double and in scaled half precision
     graph: DataFrame        # (node, nb)
+    scale: float            # of the half precision
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -78,8 +80,8 @@ def vectors_of(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """(node, v, h): distinct vectors named by their smallest id."""
+def _nodes(rows: DataFrame) -> tuple[DataFrame, float]:
+    """(node, v, h), distinct vectors named by their smallest id; and the scale of h."""
     distinct = stored(rows.groupBy("v").agg(F.min("id").alias("node")))
     top = pa.schema([("m", pa.float64())])
 
@@ -96,7 +98,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
             x = (vectors_of(b.column(1), "<f8") / scale).astype("<f2")
             yield batch(schema, b.column(0), b.column(1), [r.tobytes() for r in x])
 
-    return stored(map_arrow(distinct.select("node", "v"), halve, schema))
+    return stored(map_arrow(distinct.select("node", "v"), halve, schema)), scale
 
 
 # ---- first neighbours --------------------------------------------------------------
@@ -205,7 +207,9 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     both = graph.select(F.col("node").alias("u"), F.col("nb").alias("node"), "new") \
         .unionAll(graph.select(F.col("nb").alias("u"), "node", "new")) \
         .groupBy("u", "node").agg(F.max("new").alias("new"))
-    buckets = both.groupBy("u").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"))
+    # Without a new edge a node has nothing new to tell its neighbours.
+    buckets = both.groupBy("u").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"), F.max("new").alias("any")) \
+        .where(F.col("any") > 0).drop("any")
     seen = nodes.select("node", "h").join(radius, "node")
     rows = both.join(buckets, "u").join(seen, "node") \
         .withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets")))
@@ -240,7 +244,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
           trees: int = TREES, rounds: int = ROUNDS) -> Index:
     """Index every usable row."""
     rows = stored(usable(vectors, id_col, vec_col))
-    nodes = _nodes(rows)
+    nodes, scale = _nodes(rows)
     n = nodes.count()
     members = rows.join(nodes.select("node", "v"), "v").select("node", "id")
     graph = stored(_nearest(_first_edges(nodes, max(n, 1), k, trees), k))
@@ -249,7 +253,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         graph = stored(_nearest(known.unionByName(_local_join(graph, nodes, k)), k))
         if graph.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0] <= CHANGED * k * n:
             break
-    return Index(members, nodes, graph.select("node", "nb"))
+    return Index(members, nodes, graph.select("node", "nb"), scale)
 
 
 # ---- search ------------------------------------------------------------------------
@@ -273,22 +277,35 @@ def search(index: Index, queries: DataFrame, k: int = 10, beam: int = BEAM, open
 
     near_schema = pa.schema([("query_id", pa.int64()), ("node", pa.int64()), ("d", pa.float64())])
 
-    def measure(batches: Batches) -> Batches:
+    def measure(kind: str):
+        def run(batches: Batches) -> Batches:
+            for b in batches:
+                if b.num_rows:
+                    x, y = (vectors_of(b.column(i), kind).astype(np.float64) for i in (2, 3))
+                    yield batch(near_schema, b.column(0), b.column(1), np.sqrt(((x - y) ** 2).sum(1)))
+        return run
+
+    def measured(pairs: DataFrame, place: str, kind: str) -> DataFrame:
+        rows = pairs.join(index.nodes.select("node", F.col(place).alias("x")), "node").join(
+            asked.select("query_id", F.col(place).alias("y")), "query_id")
+        return map_arrow(rows.select("query_id", "node", "x", "y"), measure(kind), near_schema)
+
+    def rough(pairs: DataFrame) -> DataFrame:
+        return measured(pairs, "h", "<f2").withColumn("done", F.lit(0))
+
+    def halve(batches: Batches) -> Batches:
         for b in batches:
             if b.num_rows:
-                d = vectors_of(b.column(2), "<f8") - vectors_of(b.column(3), "<f8")
-                yield batch(near_schema, b.column(0), b.column(1), np.sqrt((d * d).sum(1)))
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(index.nodes.select("node", "v"), "node").join(
-            queries.select("query_id", F.col("v").alias("q")), "query_id")
-        return map_arrow(rows.select("query_id", "node", "v", "q"), measure, near_schema).withColumn("done", F.lit(0))
+                x = (vectors_of(b.column(1), "<f8") / scale).astype("<f2")
+                yield batch(asked_schema, b.column(0), b.column(1), [r.tobytes() for r in x])
 
+    scale, asked_schema = index.scale, pa.schema([("query_id", pa.int64()), ("v", pa.binary()), ("h", pa.binary())])
+    asked = stored(map_arrow(queries.select("query_id", "v"), halve, asked_schema))
     own = queries.join(index.nodes.select("node", "v"), "v").select("query_id", "node")
     first = own.unionByName(map_arrow(queries.select("query_id", "v"), starts, start_schema)).distinct()
     links = stored(index.graph.unionByName(index.graph.select(F.col("nb").alias("node"), F.col("node").alias("nb"))))
     by_distance = Window.partitionBy("query_id").orderBy("d", "node")
-    state = stored(measured(first))
+    state = stored(rough(first))
     for _ in range(math.ceil(4 * beam / opened)):
         unopened = state.where("done = 0").withColumn("_r", F.row_number().over(by_distance)) \
             .where(F.col("_r") <= opened).select("query_id", "node")
@@ -296,11 +313,11 @@ def search(index: Index, queries: DataFrame, k: int = 10, beam: int = BEAM, open
             .select("query_id", "node", "d", F.greatest("done", F.coalesce("_o", F.lit(0))).alias("done"))
         found = unopened.join(links, "node").select("query_id", F.col("nb").alias("node")).distinct() \
             .join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        merged = marked.unionByName(measured(found))
+        merged = marked.unionByName(rough(found))
         state = stored(merged.withColumn("_r", F.row_number().over(by_distance)).where(F.col("_r") <= beam).drop("_r"))
         if state.where("done = 0").limit(1).count() == 0:
             break
-    return state.drop("done")
+    return measured(state.select("query_id", "node"), "v", "<f8")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
