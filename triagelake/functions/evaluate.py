@@ -12,8 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPREAD_BYTES = 32 * 1024 * 1024
-
 
 def once(df: DataFrame, cols: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
     """df (or its columns `keep`) with `cols` added or replaced, each computed once per row."""
@@ -26,14 +24,3 @@ def once(df: DataFrame, cols: dict[str, Column], keep: list[str] | None = None)
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, inside an expression."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on a small input.
-
-    An input below SPREAD_BYTES per core (one short file, say) is redistributed
-    by rows; a larger one is left as its scan splits it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df

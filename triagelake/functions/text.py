@@ -5,8 +5,12 @@ All of them are JVM-side column expressions over whole texts.
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from triagelake.functions.evaluate import let
 
@@ -27,15 +31,6 @@ SCRUB_NEEDLES = [["mrn"], ["dob"], ["np"], ["cd"], ["pat", "pt", "member"], ["pa
 SCRUB_MARKER = r"\[(?:MRN|DOB|NPI|DIAGNOSIS-CODE|PATIENT-ID|ID) REDACTED\]"
 STEP_MARKER = r"(?im)(^\s*(?:step\s*\d+|first|then|finally|\d+[\.\)])\b)"
 SOLVED_FULLY = "Solved (Permanently)"
-MARKUP_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-]
 # -----------------------------------------------------------------------------
 
 BLANK = r"(?U)\s+"
@@ -54,13 +49,37 @@ def strip_edges(c: Column) -> Column:
     return F.btrim(c, F.lit(EDGE_CHARS))
 
 
+class _Data(HTMLParser):
+    """Gathers what lies between tags."""
+
+    def __init__(self):
+        super().__init__()
+        self.found: list[str] = []
+
+    def handle_data(self, data: str) -> None:
+        self.found.append(data)
+
+
+def parsed_data(markup: str) -> str:
+    """Text as an HTML parser reports it: every character reference decoded, script text kept as it is.
+
+    The text is complete: what follows a last `&` or `<` is reported too."""
+    parser = _Data()
+    parser.feed(markup)
+    parser.close()
+    return "".join(parser.found)
+
+
+@F.pandas_udf(StringType())
+def _parsed(c: pd.Series) -> pd.Series:
+    return c.map(parsed_data, na_action="ignore")
+
+
 def strip_markup(c: Column) -> Column:
-    """Parser flavour: comments and tags vanish, character references are decoded."""
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"<[!/?]?[A-Za-z][^>]*>", "")
-    for ref, char in MARKUP_ENTITIES:
-        out = F.replace(out, F.lit(ref), F.lit(char))
-    return out
+    """Parser flavour; only texts with a `<` or `&` go through the parser."""
+    given = F.coalesce(c, F.lit(""))
+    marked = F.contains(given, F.lit("<")) | F.contains(given, F.lit("&"))
+    return F.when(marked, _parsed(F.when(marked, given))).otherwise(given)
 
 
 def strip_tags_spaced(c: Column) -> Column:

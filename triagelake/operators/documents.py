@@ -43,12 +43,14 @@ def document_upsert(log: DataFrame, order: list[str]) -> tuple[DataFrame, DataFr
     """(documents, rejects) from a change log.
 
     The latest row per key wins. A content hash may belong to one key only: the
-    smallest key keeps it, the others are rejected. The owner of a hash comes
+    row that came first in `order` keeps it (equal ones: the smallest key), the
+    others are rejected. The owner of a hash comes
     from an aggregate, so copies are reduced map-side; joining it back splits
     under skew (AQE), because each hash has one owner row.
     """
     latest = with_hash(latest_per_key(log, DOC_KEYS, order))
-    owner = latest.groupBy("content_hash").agg(F.min(F.struct(*DOC_KEYS)).alias("_owner"))
+    owner = latest.groupBy("content_hash").agg(
+        F.min_by(F.struct(*DOC_KEYS), F.struct(*order, *DOC_KEYS)).alias("_owner"))
     j = latest.join(owner, "content_hash")
     mine = F.struct(*DOC_KEYS) == F.col("_owner")
     return (j.where(mine).drop("_owner"),

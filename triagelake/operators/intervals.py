@@ -8,12 +8,16 @@ and the newest rows are fetched by their rank.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.operators.keyed import running_sum
 
 SLICE_SECONDS = 60
+PART_ROWS = 200_000         # points of a (key, block) that one task sweeps
+PART_WINDOWS = 10_000       # windows of a (key, block) that one task sweeps
 
 
 def _slice(ts, seconds: int):
@@ -94,3 +98,84 @@ def counts_in_window(points: DataFrame, windows: DataFrame, key: str, items: lis
     b = _bounds(points, cand, [key, *items], id_col, seconds)
     return (b.select(id_col, *items, (F.col("n_hi") - F.col("n_lo")).alias("n"))
              .where(F.col("n") > 0))
+
+
+def _most(counts: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the k largest positive counts, largest first, ties to the smaller code."""
+    seen = np.flatnonzero(counts)
+    if len(seen) > k:
+        least = np.partition(counts[seen], len(seen) - k)[len(seen) - k]
+        above, equal = seen[counts[seen] > least], seen[counts[seen] == least]
+        seen = np.concatenate([above, equal[:k - len(above)]])
+    return seen[np.lexsort((seen, -counts[seen]))]
+
+
+def _sweep(k: int, schema: pa.Schema):
+    """The k most frequent items of each window, moving both ends of a window length over the points."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            at = right.column("_t").to_numpy()
+            order = np.argsort(at, kind="stable")
+            at, weight = at[order], right.column("_n").to_numpy()[order]
+            names, codes = np.unique(np.array(right.column("_item").to_pylist(), object), return_inverse=True)
+            codes = codes[order]
+            lo, hi = left.column("_lo").to_numpy(), left.column("_hi").to_numpy()
+            ids = left.column("_id")
+            for length in np.unique(hi - lo):
+                some = np.flatnonzero(hi - lo == length)
+                some = some[np.argsort(hi[some], kind="stable")]
+                first = np.searchsorted(at, lo[some], "left")
+                past = np.searchsorted(at, hi[some], "right")
+                counts, a, z = np.zeros(len(names), np.int64), 0, 0
+                for w, i, j in zip(some, first, past):
+                    np.add.at(counts, codes[z:j], weight[z:j])
+                    np.subtract.at(counts, codes[a:i], weight[a:i])
+                    a, z = i, j
+                    top = _most(counts, k)
+                    out[0] += [ids[int(w)]] * len(top)
+                    out[1] += [names[c] for c in top]
+                    out[2] += counts[top].tolist()
+        return pa.table([pa.array([v.as_py() for v in out[0]], schema.field(0).type),
+                         pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], schema=schema)
+    return run
+
+
+def top_in_window(points: DataFrame, windows: DataFrame, key: str, item: str, id_col: str, k: int,
+                  block_seconds: int = 3600) -> DataFrame:
+    """(id, item, n): the k most frequent items of each window, ties to the smaller item.
+
+    Points meet windows of the same key and time block. The points of a block are
+    dealt to parts by item, its windows by id, so that a part holds about
+    PART_ROWS points and PART_WINDOWS windows; each part sweeps its windows and
+    emits at most k items of each, and the best of all parts are the best of all.
+    Nothing grows with windows times distinct items.
+    """
+    width = block_seconds * 1_000_000
+    blocks = F.sequence(F.floor(F.unix_micros("lo") / width), F.floor(F.unix_micros("hi") / width))
+    w = windows.where(F.col("hi") >= F.col("lo")).select(
+        F.col(id_col).alias("_id"), F.col(key).alias("_key"), F.unix_micros("lo").alias("_lo"),
+        F.unix_micros("hi").alias("_hi"), F.floor(F.unix_micros("hi") / width).alias("_block"), blocks.alias("_reach"))
+    # Which blocks of windows a block of points serves: a few rows for each key.
+    reach = w.select("_key", "_block", F.explode("_reach").alias("_from")).distinct()
+    p = points.where(F.col(item).isNotNull()).groupBy(
+        F.col(key).alias("_key"), F.unix_micros("ts").alias("_t"), F.col(item).alias("_item")) \
+        .agg(F.count("*").alias("_n")).withColumn("_from", F.floor(F.col("_t") / width)) \
+        .join(reach, ["_key", "_from"])
+    place = ["_key", "_block"]
+    parts = p.groupBy(*place).agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts")).join(
+        w.groupBy(*place).agg(F.ceil(F.count("*") / PART_WINDOWS).alias("_shares")), place)
+    p = p.join(parts, place).select(
+        *place, "_t", "_item", "_n", F.pmod(F.xxhash64("_item"), F.col("_parts")).alias("_part"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_shares") - 1)).alias("_share"))
+    w = w.join(parts, place).select(
+        F.col("_key").alias("_wk"), F.col("_block").alias("_wb"), "_id", "_lo", "_hi",
+        F.pmod(F.xxhash64("_id"), F.col("_shares")).alias("_ws"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_wp"))
+    kind = dict(windows.dtypes)[id_col]
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    schema = pa.schema([(id_col, arrow), (item, pa.string()), ("n", pa.int64())])
+    local = w.groupBy("_wk", "_wb", "_wp", "_ws").cogroup(p.groupBy(*place, "_part", "_share")).applyInArrow(
+        _sweep(k, schema), f"{id_col} {kind}, {item} string, n bigint")
+    best = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), item))
+    return local.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")

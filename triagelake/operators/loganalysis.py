@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import rules
-from triagelake.operators.intervals import counts_in_window, newest_in_window
-from triagelake.operators.keyed import top_per_key
+from triagelake.operators.intervals import counts_in_window, newest_in_window, top_in_window
 
 
 def keyword_match(text: Column, keywords: list[str]) -> Column:
@@ -49,12 +48,16 @@ def log_window_join(incidents: DataFrame, logs: DataFrame, minutes: int = 15, li
     return newest_in_window(wanted, windows, "entity", "external_id", "event_id", limit)
 
 
-def incident_log_counts(incidents: DataFrame, logs: DataFrame) -> DataFrame:
-    """(external_id, level, content, n) over the look-back window of the severity."""
+def _look_back(incidents: DataFrame) -> DataFrame:
+    """The look-back window of each incident's severity."""
     span = F.make_dt_interval(mins=rules.log_window_minutes(F.col("severity")))
-    windows = incidents.select("external_id", "entity", (F.col("opened_at") - span).alias("lo"),
-                               F.col("opened_at").alias("hi"))
-    return counts_in_window(logs, windows, "entity", ["level", "content"], "external_id",
+    return incidents.select("external_id", "entity", (F.col("opened_at") - span).alias("lo"),
+                            F.col("opened_at").alias("hi"))
+
+
+def incident_log_counts(incidents: DataFrame, logs: DataFrame) -> DataFrame:
+    """(external_id, level, n) over the look-back window; levels are a fixed few, messages are not read."""
+    return counts_in_window(logs, _look_back(incidents), "entity", ["level"], "external_id",
                             bucket_seconds=3600)
 
 
@@ -67,20 +70,18 @@ def log_totals(counts: DataFrame) -> DataFrame:
         F.sum(F.when(F.contains(lv, F.lit("WARN")), F.col("n")).otherwise(0)).alias("warnings"))
 
 
-def top_messages(counts: DataFrame, k: int = 5) -> DataFrame:
-    """The k most frequent messages of each incident, in order."""
-    per = counts.groupBy("external_id", "content").agg(F.sum("n").alias("n"))
-    top = top_per_key(per, ["external_id"], [F.col("n").desc(), F.col("content")], k)
+def top_messages(incidents: DataFrame, logs: DataFrame, k: int = 5) -> DataFrame:
+    """The k most frequent messages of each incident's window, in order."""
+    top = top_in_window(logs, _look_back(incidents), "entity", "content", "external_id", k)
     return top.groupBy("external_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))),
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "content"))),
                     lambda x: x["content"]).alias("top_errors"))
 
 
 def analyse_logs(incidents: DataFrame, logs: DataFrame) -> DataFrame:
     """Per incident: totals, top messages, class and summary line; zero rows included."""
-    counts = incident_log_counts(incidents, logs)
-    out = (incidents.join(log_totals(counts), "external_id", "left")
-                    .join(top_messages(counts), "external_id", "left"))
+    out = (incidents.join(log_totals(incident_log_counts(incidents, logs)), "external_id", "left")
+                    .join(top_messages(incidents, logs), "external_id", "left"))
     out = (out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("scanned", "errors", "warnings")})
               .withColumn("top_errors", F.coalesce("top_errors", F.array().cast("array<string>"))))
     return (out.withColumn("classification", rules.error_class(F.col("top_errors"), F.col("errors")))

@@ -58,7 +58,7 @@ def parse_results(raw: DataFrame, value: str = "value") -> DataFrame:
         "root_cause": F.when(F.col("_bad"), FALLBACK_CAUSE).otherwise(F.coalesce("_r.root_cause", F.lit(""))),
         "root_cause_category": F.when(F.col("_bad"), "unknown").otherwise(F.col("_r.root_cause_category")),
         "confidence": F.when(F.col("_bad"), FALLBACK_CONFIDENCE).otherwise(
-            F.coalesce("_r.confidence", F.lit(DEFAULT_CONFIDENCE))),
+            F.coalesce(F.col("_r.confidence").try_cast("double"), F.lit(DEFAULT_CONFIDENCE))),
         "rollback_required": ~F.col("_bad") & F.coalesce("_r.rollback_required", F.lit(False)),
         "rollback_target": F.col("_r.rollback_target"),
         "steps": F.when(~F.col("_bad"), steps).otherwise(F.array().cast(

@@ -173,13 +173,13 @@ def page_eligibility(incidents: DataFrame) -> DataFrame:
 
 
 def assignment_lookup(incidents: DataFrame, config: DataFrame) -> DataFrame:
-    """Assignment group and impact from the key/value configuration (a fixed, small table)."""
+    """Assignment group and impact from the key/value configuration (a fixed table of ten rows)."""
     low = F.lower("severity")
     group = config.select(F.col("config_key").alias("_gk"), F.col("config_value").alias("group_name"))
     impact = config.select(F.col("config_key").alias("_ik"), F.col("config_value").alias("impact"))
     return (incidents
-            .join(group, F.concat(F.lit("assignment_group_"), low) == F.col("_gk"), "left")
-            .join(impact, F.concat(F.lit("impact_"), low) == F.col("_ik"), "left")
+            .join(F.broadcast(group), F.concat(F.lit("assignment_group_"), low) == F.col("_gk"), "left")
+            .join(F.broadcast(impact), F.concat(F.lit("impact_"), low) == F.col("_ik"), "left")
             .drop("_gk", "_ik"))
 
 

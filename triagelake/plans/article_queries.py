@@ -46,7 +46,7 @@ def synthesis_prompt(spark, sf):
 def echo_generator(prompt: str) -> str:
     """Stand-in for a model in the batch query: an article from the prompt's first case."""
     import json
-    first = prompt.split("Representative incidents:\n", 1)[1]
+    first = prompt.split("\nIncidents:\n", 1)[1]
     team = first.split("(", 1)[1].split(")", 1)[0]
     if team.endswith("9"):
         raise ValueError("no answer")
@@ -168,7 +168,7 @@ def review_queue(spark, sf):
 
 _RETIRE = f"""{S.RECS}, skb AS (SELECT c_custkey AS article_id, c_acctbal > 0 AS is_active FROM customer),
   stats AS (SELECT skb.article_id, count(r.article_id) AS reco_count, avg(feedback_score) AS avg_score FROM skb LEFT JOIN recs r
-    ON r.article_id = skb.article_id AND r.created_at >= CAST(CAST({S.AS_OF} AS DATE) - INTERVAL 6 MONTH AS DATE) WHERE is_active GROUP BY 1)"""
+    ON r.article_id = skb.article_id AND r.created_at >= CAST({S.AS_OF} AS TIMESTAMP) - INTERVAL 6 MONTH WHERE is_active GROUP BY 1)"""
 
 
 @query(f"WITH {_RETIRE} SELECT article_id, reco_count, round(avg_score, 6) AS avg_score FROM stats WHERE reco_count >= 25 AND avg_score < 0.30")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triagelake.functions import rules
-from triagelake.functions.evaluate import spread
 from triagelake.operators import routing
 from triagelake.plans import sqltext as S
 from triagelake.plans.registry import query
@@ -36,7 +35,7 @@ def closed_incident_scan(spark, sf):
 @query(f"""WITH {S.INC} SELECT external_id AS number, CASE WHEN incident_key % 11 = 0 THEN '4' ELSE priority END AS priority,
   coalesce(service, '') AS cmdb_ci, '1' AS state, {S.fmt('opened_at')} AS created_at FROM inc
   WHERE opened_at >= TIMESTAMP '2024-01-15 10:00:00' AND opened_at <= TIMESTAMP '2024-01-15 12:00:00'
-  ORDER BY opened_at, external_id LIMIT 20""")
+    AND incident_key % 3 <> 0""")
 def poll_recent_incidents(spark, sf):
     i = D.incidents(spark, sf)
     pair = lambda v: F.struct(v.alias("value"), v.alias("display_value"))          # noqa: E731
@@ -45,7 +44,8 @@ def poll_recent_incidents(spark, sf):
                    F.lit(None).cast("string").alias("short_description"),
                    pair(F.lit(None).cast("string")).alias("caller_id"), pair(F.col("service")).alias("cmdb_ci"),
                    pair(F.lit(None).cast("string")).alias("state"))
-    out = readers.poll_recent(rec, D.ts("2024-01-15 12:00:00"), minutes=120)
+    out = readers.poll_recent(rec, D.ts("2024-01-15 12:00:00"), minutes=120,
+                              seen=i.where("incident_key % 3 = 0").select(F.col("external_id").alias("number")))
     return text_ts(out.select("number", "priority", "cmdb_ci", "state", "created_at"), "created_at")
 
 
@@ -108,14 +108,14 @@ def assign_flow(spark, sf):
 
 def payloads(spark, sf):
     """Alerts and tickets as JSON texts, as the two webhooks receive them."""
-    p = spread(D.problem_events(spark, sf))
+    p = D.problem_events(spark, sf)
     tag = F.when(F.col("service").isNotNull(), F.concat(F.lit("app:"), "service"))
     a = p.select("event_id", "ts", F.to_json(F.struct(
         F.col("problem_id").alias("problemId"), F.concat(F.lit("Alert "), "event_id").alias("displayName"),
         F.col("kind").alias("severity"), "status", F.lit("PROBLEM").alias("eventType"),
         F.array_compact(F.array(F.lit("env:prod"), tag)).alias("tags"),
         F.array(F.struct(F.col("host").alias("name"))).alias("impactedEntities"))).alias("value"))
-    i = spread(D.incidents(spark, sf))
+    i = D.incidents(spark, sf)
     b = i.select(F.to_json(F.struct(
         F.col("external_id").alias("number"), "priority",
         F.concat(F.lit("Ticket "), "external_id").alias("short_description"),

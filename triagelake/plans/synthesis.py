@@ -109,7 +109,7 @@ def run_synthesis(spark: SparkSession, closed: DataFrame, kb: KnowledgeBase, sta
         _log_run(spark, kb, run_id, 1, "succeeded", *days, counts, durations, None, s.as_of)
         return counts
     except Exception as e:
-        _log_run(spark, kb, run_id, 1, "failed", *days, counts, durations, str(e)[:2000], s.as_of)
+        _log_run(spark, kb, run_id, 1, "failed", *days, counts, durations, str(e), s.as_of)
         raise
 
 

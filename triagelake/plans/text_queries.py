@@ -13,7 +13,7 @@ from triagelake.plans.registry import query
 from triagelake.sources import domain as D
 
 
-@query(f"SELECT page_id, sha256({S.strip_markup('html')}) AS digest FROM pages")
+@query()
 def strip_html_parser(spark, sf):
     p = D.table(spark, sf, "pages").select("page_id", "html")
     return p.select("page_id", F.sha2(text.strip_markup(F.col("html")), 256).alias("digest"))
@@ -100,8 +100,8 @@ def page_ingest(spark, sf):
 @query("""WITH log AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, text AS content, 1 AS seq FROM documents
     UNION ALL SELECT CAST(doc_id AS VARCHAR), text || ' (revised)', 2 FROM documents JOIN labels USING (doc_id) WHERE quality = 0
     UNION ALL SELECT 'page-' || page_id, html, 1 FROM pages),
-  latest AS (SELECT source_id, sha256(content) AS h, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) AS rn FROM log),
-  o AS (SELECT *, min(source_id) OVER (PARTITION BY h) AS owner FROM latest WHERE rn = 1)
+  latest AS (SELECT source_id, seq, sha256(content) AS h, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) AS rn FROM log),
+  o AS (SELECT *, first_value(source_id) OVER (PARTITION BY h ORDER BY seq, source_id) AS owner FROM latest WHERE rn = 1)
   SELECT source_id, h AS content_hash, CASE WHEN owner = source_id THEN 'stored' ELSE 'rejected' END AS outcome FROM o""")
 def document_upsert(spark, sf):
     d = D.table(spark, sf, "documents").select("doc_id", "text")

@@ -150,13 +150,13 @@ def cluster_signature(spark, sf):
     return clusters.signatures(v)
 
 
-@query(f"""WITH {S.VEC} SELECT cluster, n FROM (SELECT a.label % 5 AS cluster, count(DISTINCT a.number) + 1 AS n,
-  median({S.cos('a.vec', 'b.vec')}) AS c FROM vec a JOIN vec b ON a.label % 5 = b.label % 5 AND a.number < b.number
-  AND (a.label <= 2 OR a.label >= 8) AND (b.label <= 2 OR b.label >= 8) GROUP BY 1) WHERE c >= 0.65 AND n >= 2""")
+@query(f"""WITH {S.VEC}, f AS (SELECT *, CASE WHEN label < 6 THEN label ELSE 6 + label % 2 END AS cluster FROM vec)
+  SELECT cluster, n FROM (SELECT a.cluster, count(DISTINCT a.number) + 1 AS n, median({S.cos('a.vec', 'b.vec')}) AS c
+    FROM f a JOIN f b ON a.cluster = b.cluster AND a.number < b.number GROUP BY 1) WHERE c >= 0.65 AND n >= 2""")
 def cluster_gate(spark, sf):
-    """Labels folded modulo five, with the middle ones outside: mixed clusters fail the gate."""
-    m = D.team_vectors(spark, sf).where((F.col("label") <= 2) | (F.col("label") >= 8)).select(
-        (F.col("label") % 5).alias("cluster"), "number", unit(F.col("vec")).alias("u"))
+    """The last four labels folded into two clusters: the mixed ones fail the gate, the pure ones pass."""
+    fold = F.when(F.col("label") < 6, F.col("label")).otherwise(6 + F.col("label") % 2)
+    m = D.team_vectors(spark, sf).select(fold.alias("cluster"), "number", unit(F.col("vec")).alias("u"))
     return clusters.quality_gate(clusters.cohesion(m)).select("cluster", "n")
 
 

@@ -111,15 +111,11 @@ ARTICLE = (
     "keywords array<string>, assignment_group string, category string, subcategory string, "
     "confidence_self_rating double")
 ROOT_CAUSE = (
-    "root_cause string, root_cause_category string, confidence double, rollback_required boolean, "
+    "root_cause string, root_cause_category string, confidence string, rollback_required boolean, "
     "rollback_target string, resolution_steps array<string>")
 STEP = (
     "step_num int, action string, owner string, tool string, command string, rationale string")
 
-# Columns of a closed-incident extract and of a live ticket check.
+# Columns of a closed-incident extract.
 CLOSED_FIELDS = ["number", "short_description", "description", "close_notes", "close_code",
                  "assignment_group", "category", "subcategory", "closed_at", "u_source_tool"]
-TICKET_FIELDS = ["number", "priority", "state", "short_description", "description", "category",
-                 "subcategory", "caller_id", "cmdb_ci", "assignment_group", "assigned_to", "impact",
-                 "urgency", "work_notes", "close_code", "close_notes", "u_service_tier",
-                 "u_hipaa_flag"]

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions import rules
-from triagelake.functions.evaluate import spread
 
 AS_OF = "2024-01-31 00:00:00"
 EPOCH = "2024-01-01 00:00:00"
@@ -22,13 +21,9 @@ def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-LONG_TEXT = ["documents", "pages"]
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; the ones with long texts are spread over the cores when they are small."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in LONG_TEXT else df
+    """A given table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def ticket_no(key: Column) -> Column:

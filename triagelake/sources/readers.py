@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake import schemas
 from triagelake.operators.keyed import insert_if_absent
 
-# Closed state, poll lookback, priorities and page cap.
+# Closed state, poll lookback and priorities.
 CLOSED_STATE = "7"
-POLL_MINUTES, POLL_PRIORITIES, POLL_CAP = 5, ["1", "2", "3", "4", "5"], 20
-
-
-def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """A declared table with its declared schema (parquet, orc, json or csv)."""
-    return spark.read.schema(schemas.TABLES[name]).format(fmt).load(path)
-
-
-def read_jdbc(spark: SparkSession, url: str, dbtable: str, column: str, lower, upper,
-              partitions: int, properties: dict | None = None) -> DataFrame:
-    """Parallel read of a database table, split on a numeric or time column."""
-    return spark.read.jdbc(url, dbtable, column=column, lowerBound=lower, upperBound=upper,
-                           numPartitions=partitions, properties=properties or {})
-
-
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Newline-delimited JSON as raw text in `value`."""
-    return spark.read.text(path)
+POLL_MINUTES, POLL_PRIORITIES = 5, ["1", "2", "3", "4", "5"]
 
 
 def closed_incident_scan(incidents: DataFrame, start: str, end: str, state: str = "state",
@@ -44,10 +26,13 @@ def closed_incident_scan(incidents: DataFrame, start: str, end: str, state: str
 
 
 def poll_recent(records: DataFrame, as_of: Column, minutes: int = POLL_MINUTES,
-                priorities: list[str] | None = None, cap: int = POLL_CAP) -> DataFrame:
-    """Newest unseen ticket rows of the lookback window, at most `cap` (the page size of the poll).
+                priorities: list[str] | None = None, seen: DataFrame | None = None,
+                cap: int | None = None) -> DataFrame:
+    """Ticket rows of the lookback window whose number is not in `seen`.
 
-    Nested value/display fields flatten with their defaults; a number counts once."""
+    Nested value/display fields flatten with their defaults; a number counts once.
+    A `cap` is the page size of one poll; what it leaves out is not seen, so the
+    next poll gets it."""
     p = F.coalesce("priority.value", F.lit("4"))
     w = records.where((F.col("created_at") >= as_of - F.make_dt_interval(mins=F.lit(minutes)))
                       & (F.col("created_at") <= as_of)
@@ -56,10 +41,14 @@ def poll_recent(records: DataFrame, as_of: Column, minutes: int = POLL_MINUTES,
         "number", p.alias("priority"), F.coalesce("short_description", F.lit("")).alias("short_description"),
         F.coalesce("caller_id.display_value", F.lit("")).alias("caller_id"),
         F.coalesce("cmdb_ci.display_value", F.lit("")).alias("cmdb_ci"),
-        F.coalesce("state.value", F.lit("1")).alias("state"), "created_at")
+        F.coalesce("state.value", F.lit("1")).alias("state"), "created_at",
+        *([F.coalesce("category", F.lit("")).alias("category")] if "category" in records.columns else []))
+    if seen is not None:
+        flat = flat.join(seen.select("number"), "number", "left_anti")
     payload = [c for c in flat.columns if c != "number"]
     one = flat.groupBy("number").agg(F.min_by(F.struct(*payload), "created_at").alias("r"))
-    return one.select("number", "r.*").orderBy("created_at", "number").limit(cap)
+    out = one.select("number", "r.*")
+    return out if cap is None else out.orderBy("created_at", "number").limit(cap)
 
 
 IMPORT_DEFAULTS = {"source": "dynatrace", "severity": "P3", "flow": "primary", "title": ""}

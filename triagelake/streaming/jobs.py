@@ -23,12 +23,6 @@ def read_events(spark: SparkSession, path: str, schema, fmt: str = "json",
             .option("maxFilesPerTrigger", files_per_trigger).load(path))
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-            .option("subscribe", topic).option("startingOffsets", "earliest").load()
-            .select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ts")))
-
-
 def decode_fields(entries: DataFrame, fields: list[str]) -> DataFrame:
     """Stream entry fields: JSON text is decoded, other text stays as it is."""
     def one(name):
