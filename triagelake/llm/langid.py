@@ -36,9 +36,10 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _grams(word: str, order: int) -> list[str]:
+def _grams(word: str, order: int) -> set[str]:
+    """n-grams of a word, each once, so that one endless word has no more weight than its kinds of grams."""
     padded = f"<{word}>"
-    return [padded[i:i + n] for n in range(1, order + 1) for i in range(len(padded) - n + 1)]
+    return {padded[i:i + n] for n in range(1, order + 1) for i in range(len(padded) - n + 1)}
 
 
 def _counts(train: DataFrame, order: int) -> DataFrame:
@@ -110,18 +111,24 @@ class Model:
         return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def _table(langs: list[str], rows: list, add: float) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies; kinds are normalised one by one."""
+def _table(langs: list[str], rows: list) -> tuple[dict[str, int], np.ndarray]:
+    """Log frequencies by kind and language; what a language lacks has one floor in all languages.
+
+    The floor is a tenth of one occurrence in the language with the most, so that
+    a language is not preferred for having been seen less.
+    """
     column = {lang: i for i, lang in enumerate(langs)}
     at: dict[str, int] = {}
-    counts = np.full((len({r["item"] for r in rows}), len(langs)), add)
+    counts = np.zeros((len({r["item"] for r in rows}), len(langs)))
     kinds = np.zeros(len(counts), np.int64)
     for r in rows:
         i = at.setdefault(r["item"], len(at))
         counts[i, column[r["lang"]]] += r["n"]
         kinds[i] = r["kind"]
     for kind in np.unique(kinds):
-        counts[kinds == kind] /= counts[kinds == kind].sum(0)
+        total = counts[kinds == kind].sum(0)
+        counts[kinds == kind] /= np.maximum(total, 1)
+        counts[kinds == kind] += 0.1 / total.max()
     return at, np.log(counts)
 
 
@@ -140,8 +147,8 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", sample
             .orderBy(F.desc("_all"), "kind", "item").limit(limit)
         return counts.join(F.broadcast(top), ["kind", "item"]).select("lang", "kind", "item", "n").collect()
 
-    model = Model(langs, *_table(langs, most("kind = 0 and n > 1", words), 0.1),
-                  *_table(langs, most("kind > 0", grams), 0.1), order)
+    model = Model(langs, *_table(langs, most("kind = 0 and n > 1", words)),
+                  *_table(langs, most("kind > 0", grams)), order)
     counts.unpersist()
     return model
 
