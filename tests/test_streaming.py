@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from triagelake.operators import routing, runstate
 from triagelake.streaming import jobs
 
@@ -79,14 +81,24 @@ def test_run_state_equals_batch(spark, tmp_path):
     last = {}
     for r in got:
         if not r.closed:
-            last[r.run_id] = (r.status, {(a.agent_num, a.status) for a in r.agents})
+            last[r.run_id] = (r.status, {(a.agent_num, a.status, a.started_us, a.completed_us, a.errors) for a in r.agents})
     batch = spark.read.schema(EVENT).json(src)
     steps = {}
-    for r in runstate.fold_steps(batch).collect():
-        steps.setdefault(r.run_id, set()).add((r.agent_num, r.status))
+    us = [F.unix_micros(c).alias(c) for c in ("started_at", "completed_at")]
+    for r in runstate.fold_steps(batch).select("run_id", "agent_num", "status", "errors", *us).collect():
+        steps.setdefault(r.run_id, set()).add((r.agent_num, r.status, r.started_at, r.completed_at, r.errors))
     status = {r.run_id: r.status for r in runstate.fold_runs(batch).collect()}
     assert last == {k: (status[k], steps[k]) for k in status}
-    assert last[1][1] == {(1, "completed"), (2, "failed")}
+    assert {a[:2] for a in last[1][1]} == {(1, "completed"), (2, "failed")}
+
+
+def test_run_state_ties(spark, tmp_path):
+    """Equal instants: the larger event id wins, whatever the order of arrival."""
+    rows = [{"event_id": i, "ts": at(0), "run_id": 1, "event": e, "agent_num": 0}
+            for i, e in ((5, "pipeline_error"), (4, "pipeline_complete"))]
+    src = files(tmp_path / "in", [rows[:1], rows[1:]])
+    got = drain(jobs.run_state(jobs.read_events(spark, src, EVENT, files_per_trigger=1)), tmp_path, "update")
+    assert [r.status for r in got if not r.closed][-1] == "failed"
 
 
 def test_volume_and_sink(spark, tmp_path):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import rules, scoring
 from triagelake.operators import articles, audit, clusters, loganalysis, rootcause, search
+from triagelake.operators.keyed import ordinal
 from triagelake.plans import sqltext as S
 from triagelake.plans.registry import query
 from triagelake.plans.state_queries import ANALYSED, RES
@@ -141,12 +142,11 @@ _STORED = """stored AS (SELECT 'sig-' || o_custkey AS cluster_signature, CAST(ro
   SELECT *, version = max(version) OVER (PARTITION BY cluster_signature) AS is_active FROM both_""")
 def versioned_upsert(spark, sf):
     """Finished orders as stored versions of their customer's article, open orders as new ones."""
-    from pyspark.sql import Window
     o = D.table(spark, sf, "orders").select(
         F.concat(F.lit("sig-"), "o_custkey").alias("cluster_signature"), "o_orderkey", "o_orderdate", "o_orderstatus",
         F.col("o_orderpriority").alias("title"))
-    w = Window.partitionBy("cluster_signature").orderBy("o_orderdate", "o_orderkey")
-    stored = o.where(F.col("o_orderstatus") == "F").withColumn("version", F.row_number().over(w))
+    stored = ordinal(o.where(F.col("o_orderstatus") == "F"), ["cluster_signature"], ["o_orderdate", "o_orderkey"], "version")
+    stored = stored.withColumn("version", F.col("version").cast("int"))
     last = stored.groupBy("cluster_signature").agg(F.max("version").alias("_m"))
     stored = stored.join(last, "cluster_signature").select(
         "cluster_signature", "version", (F.col("version") == F.col("_m")).alias("is_active"), "title")

@@ -37,7 +37,7 @@ class Settings:
     min_cohesion: float = scoring.MIN_COHESION
     allow_single_cluster: bool = False
     representatives: int = 4
-    parallel_calls: int = 10
+    parallel_calls: int | None = None
     model_version: str = "hashed-64"
     dim: int = 64
     retire_months: int = 6
@@ -188,13 +188,13 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
     incoming = _article_rows(stored_now, s, run_id, as_of)
     links = members.select("cluster", F.col("number").alias("incident_id")).join(
         stored_now.select("cluster", _article_id(run_id).alias("article_id")), "cluster")
-    kb.sources.append(links.select("article_id", "incident_id"))
     merged = cut_lineage(articles.versioned_upsert(stored, incoming))
-    _log_decisions(kb, decided, skipped, merged, run_id, as_of)
     lap("upsert_publish")
 
-    # 13: retire
+    # 13: retire; commits the articles before anything that names them
     _retire(kb, recommendations, as_of, s, counts, merged)
+    kb.sources.append(links.select("article_id", "incident_id"))
+    _log_decisions(kb, decided, skipped, merged, run_id, as_of)
     lap("retire")
 
 

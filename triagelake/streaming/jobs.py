@@ -85,23 +85,27 @@ RUN_OF = {"pipeline_started": "running", "pipeline_complete": "completed", "pipe
 def run_state(events: DataFrame, idle_seconds: int = IDLE_SECONDS, watermark: str = "10 minutes") -> DataFrame:
     """Run status and step states, updated as events arrive.
 
-    An older event never replaces a newer step state; an idle run is closed and
-    its state freed by an event-time timer."""
-    out = ("run_id bigint, status string, agents array<struct<agent_num:int,status:string>>, "
-           "last_event_us bigint, closed boolean")
-    kept = "run_at bigint, run_status string, agents string, seen bigint"
+    Steps carry the times of their last start and end and their number of errors.
+    An older event never replaces a newer state, of equal instants the larger event
+    id wins, as in the batch fold; an idle run is closed and its state freed by an
+    event-time timer."""
+    out = ("run_id bigint, status string, agents array<struct<agent_num:int,status:string,started_us:bigint,"
+           "completed_us:bigint,errors:bigint>>, last_event_us bigint, closed boolean")
+    kept = "run_at bigint, run_id_at bigint, run_status string, agents string, seen bigint"
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
         import json
-        run_at, run_status, agents, seen = (-1, "running", {}, -1)
+        # An agent is [instant, event id, status, started, completed, errors].
+        run_at, run_event, run_status, agents, seen = (-1, -1, "running", {}, -1)
         if state.exists:
-            run_at, run_status, packed, seen = state.get
-            agents = {int(a): tuple(v) for a, v in json.loads(packed).items()}
+            run_at, run_event, run_status, packed, seen = state.get
+            agents = {int(a): v for a, v in json.loads(packed).items()}
 
         def row(closed):
             return pd.DataFrame({
                 "run_id": [key[0]], "status": [run_status],
-                "agents": [[{"agent_num": a, "status": agents[a][1]} for a in sorted(agents)]],
+                "agents": [[dict(zip(("agent_num", "status", "started_us", "completed_us", "errors"),
+                                     (a, *agents[a][2:]), strict=True)) for a in sorted(agents)]],
                 "last_event_us": [seen], "closed": [closed]})
 
         if state.hasTimedOut:
@@ -112,11 +116,19 @@ def run_state(events: DataFrame, idle_seconds: int = IDLE_SECONDS, watermark: st
             for at, eid, ev, agent in zip(pdf["ts"], pdf["event_id"], pdf["event"], pdf["agent_num"]):
                 us = int(at.value // 1000)
                 seen = max(seen, us)
-                if ev in STEP_OF and (us, int(eid)) >= tuple(agents.get(int(agent), (-1, "", -1))[0::2]):
-                    agents[int(agent)] = (us, STEP_OF[ev], int(eid))
-                elif ev in RUN_OF and us >= run_at:
-                    run_at, run_status = us, RUN_OF[ev]
-        state.update((run_at, run_status, json.dumps(agents), seen))
+                if ev in STEP_OF:
+                    one = agents.setdefault(int(agent), [-1, -1, "", None, None, 0])
+                    if (us, int(eid)) >= (one[0], one[1]):
+                        one[:3] = us, int(eid), STEP_OF[ev]
+                    if ev == "agent_start":
+                        one[3] = max(us, one[3] or us)
+                    elif ev == "agent_done":
+                        one[4] = max(us, one[4] or us)
+                    else:
+                        one[5] += 1
+                elif ev in RUN_OF and (us, int(eid)) >= (run_at, run_event):
+                    run_at, run_event, run_status = us, int(eid), RUN_OF[ev]
+        state.update((run_at, run_event, run_status, json.dumps(agents), seen))
         due = seen // 1000 + idle_seconds * 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield row(False)
