@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.evaluate import once
 from triagelake.functions.rules import lookup
 from triagelake.functions.vectors import unit
 from triagelake.operators.keyed import top_per_key
@@ -178,9 +179,9 @@ def prepare(df: DataFrame, id_col: str, vec_col: str, as_id: str, group: str | N
             extra: list[str] | None = None) -> DataFrame:
     """(grp, id, u): unit vectors in double precision; zero and null vectors are dropped."""
     g = F.col(group) if group else F.lit("all")
-    return (df.select(g.alias("grp"), F.col(id_col).alias(as_id), unit(F.col(vec_col)).alias("u"),
-                      *(extra or []))
-              .where(F.col("u").isNotNull()))
+    named = df.select(g.alias("grp"), F.col(id_col).alias(as_id), F.col(vec_col).alias("_v"), *(extra or []))
+    # The vector is normalised once, not in the filter and in the projection.
+    return once(named, {"u": unit(F.col("_v"))}, ["grp", as_id, *(extra or [])]).where(F.col("u").isNotNull())
 
 
 def search(layout: Layout, probes: DataFrame, k: int, min_score: float, exclude_self: bool = False,

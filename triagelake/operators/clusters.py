@@ -12,6 +12,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,29 +166,39 @@ def _sorted(fn):
 def signatures(members: DataFrame, team: str = "team") -> DataFrame:
     """(cluster, signature): team and the first 12 hex digits of the member list's SHA-1.
 
-    The digest runs over the sorted members as they stream by, so no list of a
-    large cluster is ever built.
+    Members are sorted by ranges of (cluster, number), so a large cluster spreads
+    over tasks, which join their numbers to texts. The digest, which is defined over
+    the whole list, then runs over a few ready texts for each cluster.
     """
     kind = dict(members.dtypes)["cluster"]
     flow = (members.select("cluster", F.col(team).alias("team"), "number")
-            .repartition("cluster").sortWithinPartitions("cluster", "number"))
+            .repartitionByRange("cluster", "number").sortWithinPartitions("cluster", "number"))
 
-    def run(frames):
-        now = digest = label = None
+    def join(frames):
+        part = TaskContext.get().partitionId()
+        for seq, pdf in enumerate(frames):
+            texts = pdf.groupby("cluster", sort=True).agg(team=("team", "first"), text=("number", ",".join)).reset_index()
+            yield texts.assign(part=part, seq=seq)
+
+    texts = flow.mapInPandas(join, f"cluster {kind}, team string, text string, part int, seq int")
+    ready = texts.repartition("cluster").sortWithinPartitions("cluster", "part", "seq")
+
+    def digest(frames):
+        now = run = label = None
         for pdf in frames:
-            for cl, tm, no in zip(pdf["cluster"], pdf["team"], pdf["number"]):
-                if digest is None or cl != now:
-                    if digest is not None:
-                        yield pd.DataFrame({"cluster": [now],
-                                            "signature": [f"{label}_{digest.hexdigest()[:12]}"]})
-                    now, label = cl, tm
-                    digest = hashlib.sha1(f"{tm}:{no}".encode())
-                else:
-                    digest.update(f",{no}".encode())
-        if digest is not None:
-            yield pd.DataFrame({"cluster": [now], "signature": [f"{label}_{digest.hexdigest()[:12]}"]})
-
-    return flow.mapInPandas(run, f"cluster {kind}, signature string")
+            done = []
+            for cl, tm, text in zip(pdf["cluster"], pdf["team"], pdf["text"]):
+                if run is not None and cl == now:
+                    run.update(f",{text}".encode())
+                    continue
+                if run is not None:
+                    done.append((now, f"{label}_{run.hexdigest()[:12]}"))
+                now, label, run = cl, tm, hashlib.sha1(f"{tm}:{text}".encode())
+            yield pd.DataFrame(done, columns=["cluster", "signature"])
+        if run is not None:
+            yield pd.DataFrame({"cluster": [now], "signature": [f"{label}_{run.hexdigest()[:12]}"]})
+
+    return ready.mapInPandas(digest, f"cluster {kind}, signature string")
 
 
 def quality_gate(clusters: DataFrame, min_cohesion: float = scoring.MIN_COHESION,

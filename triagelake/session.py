@@ -25,6 +25,8 @@ def build_session(app: str = "triagelake", master: str | None = None,
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # Checkpoint files go when nothing refers to them any more.
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in {**RUNTIME_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     return b.getOrCreate()
