@@ -202,11 +202,11 @@ def reach_of(min_score: float) -> float:
 
 
 def topk(probes: DataFrame, corpus: DataFrame, k: int, min_score: float,
-         earlier_only: bool = False) -> DataFrame:
+         earlier_only: bool = False, **layout) -> DataFrame:
     """Exact top-k by cosine at or above min_score for (grp, pid, u) against (grp, cid, u) of one group.
 
     earlier_only counts only corpus rows with a smaller id than the probe."""
-    return search(Layout(corpus.select("grp", "cid", "u"), grouped=False),
+    return search(Layout(corpus.select("grp", "cid", "u"), grouped=False, **layout),
                   probes.withColumn("reach", F.lit(reach_of(min_score))), k, min_score,
                   earlier_only=earlier_only)
 

@@ -18,12 +18,14 @@ TOP_K, MIN_SCORE, ATTACH_AT, EXCERPT = 5, 0.60, 0.80, 300     # fixed values
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str,
                 query_vec: str = "vec", chunk_vec: str = "vec", k: int = TOP_K,
-                min_score: float = MIN_SCORE, source_type: str | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): best chunks per query, score rounded to 4 digits."""
+                min_score: float = MIN_SCORE, source_type: str | None = None, **layout) -> DataFrame:
+    """(query_id, chunk_id, score, rank): best chunks per query, score rounded to 4 digits.
+
+    `layout` sets the size of a block and the number of pivots."""
     if source_type is not None:
         chunks = chunks.where(F.col("source_type") == source_type)
     hits = blocks.topk(blocks.prepare(queries, query_id, query_vec, "pid"),
-                       blocks.prepare(chunks, chunk_id, chunk_vec, "cid"), k, min_score)
+                       blocks.prepare(chunks, chunk_id, chunk_vec, "cid"), k, min_score, **layout)
     return hits.select(F.col("pid").alias(query_id), F.col("cid").alias(chunk_id),
                        F.round("score", 4).alias("score"), "rank")
 

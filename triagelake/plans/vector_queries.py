@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from triagelake.functions.vectors import unit
 from triagelake.operators import blocks, clusters, density, search
 from triagelake.plans import sqltext as S
-from triagelake.plans.registry import query
+from triagelake.plans.registry import ORACLES, query
 from triagelake.sources import domain as D
 
 
@@ -26,6 +26,27 @@ def vector_topk(spark, sf):
                               v.select(F.col("number").alias("chunk_id"), "vec"), "query_id", "chunk_id")
 
 
+@query(ORACLES["vector_topk"])
+def vector_topk_cells(spark, sf):
+    """The same by pruned cells: small blocks and few pivots, so that small tables take the partitioned path."""
+    v = D.team_vectors(spark, sf)
+    return search.vector_topk(v.select(F.col("number").alias("query_id"), "vec"),
+                              v.select(F.col("number").alias("chunk_id"), "vec"), "query_id", "chunk_id",
+                              block=64, pivots=12)
+
+
+@query(f"""WITH {S.VEC}, p AS (SELECT a.number AS query_id, b.number AS chunk_id, {S.cos('a.vec', 'b.vec')} AS s FROM vec a, vec b
+    WHERE b.label < 5)
+  SELECT query_id, chunk_id, round(s, 4) AS score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY s DESC, chunk_id) AS rn FROM p WHERE s >= 0.80) WHERE rn <= 3""")
+def near_matches_cells(spark, sf):
+    """Close matches among half of the labels, by pruned cells with a narrow reach."""
+    v = D.team_vectors(spark, sf)
+    return search.vector_topk(v.select(F.col("number").alias("query_id"), "vec"),
+                              v.where("label < 5").select(F.col("number").alias("chunk_id"), "vec"), "query_id",
+                              "chunk_id", k=3, min_score=0.8, block=32, pivots=12)
+
+
 @query(f"""WITH {S.VEC}, {S.ART}, p AS (SELECT a.number AS query_id, label_b, {S.cos('a.vec', 'b.vec')} AS s, article_id
     FROM vec a, (SELECT *, label AS label_b FROM art) b WHERE b.category = 'cat1')
   SELECT query_id, article_id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, article_id) AS rn
