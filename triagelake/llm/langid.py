@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.llm.common import Batches, arrow_type, batch, map_arrow
-from triagelake.llm.tokens import Generations
 
 UNDETERMINED = "und"
 ORDER = 4
 BACKOFF = float(np.log(0.4))
 SAMPLE_ROWS = 20_000          # bound of the labelled rows that the model is fitted on
-WORDS, GRAMS = 60_000, 40_000  # bounds of the model's tables
+WORDS, GRAMS = 150_000, 40_000 # bounds of the model's tables
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
 
@@ -76,39 +75,56 @@ class Model:
                  gram_rows: np.ndarray, order: int):
         self.langs, self.words, self.word_rows, self.order = langs, words, word_rows, order
         self.grams, self.gram_rows = grams, gram_rows
-        self.unseen = Generations(200_000)
 
     def tables(self) -> tuple:
         return self.langs, self.words, self.word_rows, self.grams, self.gram_rows, self.order
 
-    def back_off(self, w: str) -> np.ndarray:
-        """Mean over an unseen word's positions of the longest known n-gram there, less what each step down costs."""
-        row = self.unseen.get(w)
-        if row is None:
-            padded, found, steps = f"<{w}>", [], 0
+    def back_off(self, words: list[str]) -> np.ndarray:
+        """For each unseen word the mean over its positions of the longest known n-gram there, less what steps down cost."""
+        known, none = self.grams.get, len(self.gram_rows)
+        found, starts, steps, sizes = [], [], [], []
+        lengths = list(enumerate(range(self.order, 0, -1)))
+        for w in words:
+            padded, cost = f"<{w}>", 0
+            starts.append(len(found))
             for i in range(len(padded)):
-                for step, n in enumerate(range(self.order, 0, -1)):
-                    at = self.grams.get(padded[i:i + n]) if i + n <= len(padded) else None
+                for step, n in lengths:
+                    # Near the end a slice is a shorter n-gram already.
+                    at = known(padded[i:i + n])
                     if at is not None:
                         found.append(at)
-                        steps += step
+                        cost += max(step, self.order - len(padded) + i)
                         break
-            row = (self.gram_rows[found].sum(0) + steps * BACKOFF) / len(padded)
-            self.unseen.put(w, row)
-        return row
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior probability under equal priors."""
-        words = words_of(text) if text else []
-        if not self.langs or not words or not any(any(map(str.isalpha, w)) for w in words):
-            return UNDETERMINED, 0.0
-        at = list(map(self.words.get, words))
-        total = self.word_rows[[i for i in at if i is not None]].sum(0)
-        for w, i in zip(words, at, strict=True):
-            if i is None:
-                total = total + self.back_off(w)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+            found.append(none)                      # a row of zeros, so that no word is without any
+            steps.append(cost)
+            sizes.append(len(padded))
+        rows = np.concatenate([self.gram_rows, np.zeros((1, len(self.langs)))])
+        sums = np.add.reduceat(rows[found], starts) if words else np.zeros((0, len(self.langs)))
+        return (sums + np.array(steps)[:, None] * BACKOFF) / np.array(sizes)[:, None]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its posterior probability under equal priors."""
+        known, base, unseen, at = self.words.get, len(self.word_rows), {}, []
+        for text in texts:
+            words = words_of(text) if text else []
+            if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
+                at.append(None)
+                continue
+            rows = list(map(known, words))
+            if None in rows:
+                rows = [unseen.setdefault(w, base + len(unseen)) if i is None else i
+                        for w, i in zip(words, rows, strict=True)]
+            at.append(np.array(rows))
+        table = np.concatenate([self.word_rows, self.back_off(list(unseen))]) if unseen else self.word_rows
+        out = []
+        for rows in at:
+            if rows is None:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = table[rows].sum(0)
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(1.0 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def _table(langs: list[str], rows: list) -> tuple[dict[str, int], np.ndarray]:
@@ -165,7 +181,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Batches) -> Batches:
         m = Model(*shared.value)
         for b in batches:
-            out = [m.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            out = m.predict(b.column(b.num_columns - 1).to_pylist())
             yield batch(schema, *b.columns[:-1], [o[0] for o in out], [o[1] for o in out])
 
     return map_arrow(docs.select(id_col, *keep, F.col(text_col).alias("_t")), run, schema)
