@@ -382,8 +382,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield batch(schema, g, b.column(0).take(pa.array(text)), place.astype(np.int32))
 
     all_anchors = map_arrow(texts.where(F.octet_length("t") >= length).select("k", "t"), scan, schema)
-    grams = all_anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1") \
-        .select("gram", (F.col("n") > FREQUENT).cast("int").alias("frequent"))
+    # Stored, so that both sides of the join below come from a shuffle of their own and a hot gram is split.
+    grams = stored(all_anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+                   .select("gram", (F.col("n") > FREQUENT).cast("int").alias("frequent")))
     found = stored(all_anchors.join(grams, "gram").select(
         "k", (F.col("place") * 2 + F.col("frequent")).alias("v")).groupBy("k").agg(F.collect_list("v").alias("at")))
     total = found.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
