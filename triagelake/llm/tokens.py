@@ -66,7 +66,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """ids of whole texts; `path` is a tokenizers file, `cache` the number of cached pieces."""
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 700_000):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -145,7 +145,7 @@ class Encoder:
         return np.frombuffer(self.encode_bytes(text), self.dtype)
 
 
-def encoder(path: str, cache: int = 1_000_000) -> Encoder:
+def encoder(path: str, cache: int = 700_000) -> Encoder:
     """One encoder for all tasks of a Python worker.
 
     Task functions travel by value and bring their own copy of this module, so
