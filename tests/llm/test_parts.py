@@ -33,6 +33,36 @@ def test_disclosing_terms(spark):
     assert all(out[i] == t for i, t in docs if i >= 10)
 
 
+def test_terms_of_an_entity_seen_once(spark):
+    """A name far from the only address, and in another document without it, is replaced; common words stay."""
+    far = " ".join(["the text of the office"] * 5)
+    docs = [(0, f"Zorro wrote. {far} zed@corp.example {far}"), (1, "the office of zorro is the text")]
+    docs += [(10 + i, f"the text of the office {i}") for i in range(2000)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == f"[TERM] [TERM]. {far} [EMAIL] {far}" and out[1] == "the office of [TERM] is the text"
+    assert all(out[i] == t for i, t in docs if i >= 10)
+
+
+def test_disclosures_against_brute_force(spark):
+    rnd = random.Random(9)
+    docs = [" ".join(rnd.choices([f"w{c}" if c > "m" else c * 3 for c in "abcdefghijklmnopqrst"], k=4))
+            + rnd.choice(["", "", "", " a@b.c", " d@e.f and a@b.c", " 1.2.3.4"]) for _ in range(150)]
+    docs += docs[:30] + [f"only here {docs[0]} x@y.z q@y.z"]
+    rows = [({t[s:e] for s, _, e in X.personal(t)}, {w for w in t.split() if w.isalpha()}) for t in docs]
+    want, n, z, least = {}, len(rows), 1.0, 0.3
+    for c in set().union(*(e for e, _ in rows)):
+        n_c = sum(c in e for e, _ in rows)
+        for t in set().union(*(w for e, w in rows if c in e)):
+            p, n_t = sum(c in e and t in w for e, w in rows) / n_c, sum(t in w for _, w in rows)
+            low = (p + z * z / (2 * n_c) - z * (p * (1 - p) / n_c + z * z / (4 * n_c * n_c)) ** 0.5) / (1 + z * z / n_c)
+            share = float(np.log(n * low / n_t) / np.log(n / n_c))
+            if share >= least:
+                want[pii._key(t)] = max(share, want.get(pii._key(t), 0.0))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.term: r.disclosure for r in pii.disclosures(df, pii._scan(df, "doc_id", "text"), least=least).collect()}
+    assert want and got == pytest.approx(want)
+
+
 def test_replaced_overlaps():
     spans = [{"kind": "card", "start": 0, "end": 5}, {"kind": "ip", "start": 3, "end": 8}, {"kind": "removed", "start": 9, "end": 10}]
     assert pii.replaced("abcdefghijk", spans) == "[CARD]ik"
