@@ -251,6 +251,21 @@ def test_neighbours(spark):
     assert [i for _, i in found[7]] == [1000 + i for i in range(10)] and found[7][0][0] == 0.0
 
 
+def test_neighbours_of_large_and_near_equal_vectors(spark):
+    """One vector of 1e8 and 2,000 near copies among usual ones: all keep their nearest."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(400, 8)), 1 + 1e-4 * rng.normal(size=(2000, 8)), np.full((1, 8), 1e8)])
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.neighbours(df, df.where("vec_id % 40 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_neighbours(rows, set(range(0, 2401, 40)), 10)
+    assert set(found) == set(want)
+    for some in (range(0, 400, 40), range(400, 2400, 40)):
+        assert sum(len(found[q] & {i for _, i in want[q]}) for q in some) >= 0.95 * 10 * len(some)
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_few_vectors(spark, n):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<float>")

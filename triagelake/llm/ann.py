@@ -6,14 +6,12 @@ a bounded sample, all nodes sorted in). Then, round by round, every node joins i
 neighbours, forward and reverse, with each other: a neighbour of a neighbour that is
 nearer than a node's worst neighbour takes its place. Only pairs with an edge that
 is new since the last round are looked at, and only improvements are shuffled. A
-node with many reverse neighbours is split into buckets. Building uses vectors in
-half precision, scaled; it ends when few edges change.
+node with many reverse neighbours is split into buckets. Distances are sums of
+squared differences in double precision; building ends when few edges change.
 
 Search. A query starts at its own node, where its vector is indexed, and at the
 nearest of a fixed number of pivots. Each round opens the nearest unopened nodes of
-its beam and adds their neighbours, until all of the beam is opened. The beam is
-kept in half precision; what is in it at the end is measured in double precision on
-the original vectors.
+its beam and adds their neighbours, until all of the beam is opened.
 
 Rows: vectors that are null, empty, zero, of another length than most (ties: the
 longer), or hold a null or non-finite component take no part, as candidate or as
@@ -48,9 +46,8 @@ PIVOTS = 256
 @dataclass
 class Index:
     members: DataFrame      # (node, id): every indexed row
-    nodes: DataFrame        # (node, v, h): vector in double and in scaled half precision
+    nodes: DataFrame        # (node, v): vector in double precision
     graph: DataFrame        # (node, nb)
-    scale: float            # of the half precision
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -80,25 +77,9 @@ def vectors_of(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _nodes(rows: DataFrame) -> tuple[DataFrame, float]:
-    """(node, v, h), distinct vectors named by their smallest id; and the scale of h."""
-    distinct = stored(rows.groupBy("v").agg(F.min("id").alias("node")))
-    top = pa.schema([("m", pa.float64())])
-
-    def largest(batches: Batches) -> Batches:
-        for b in batches:
-            if b.num_rows:
-                yield batch(top, [float(np.abs(vectors_of(b.column(0), "<f8")).max())])
-
-    scale = map_arrow(distinct.select("v"), largest, top).agg(F.max("m")).first()[0] or 1.0
-    schema = pa.schema([("node", arrow_type(distinct, "node")), ("v", pa.binary()), ("h", pa.binary())])
-
-    def halve(batches: Batches) -> Batches:
-        for b in batches:
-            x = (vectors_of(b.column(1), "<f8") / scale).astype("<f2")
-            yield batch(schema, b.column(0), b.column(1), [r.tobytes() for r in x])
-
-    return stored(map_arrow(distinct.select("node", "v"), halve, schema)), scale
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(node, v), distinct vectors named by their smallest id."""
+    return stored(rows.groupBy("v").agg(F.min("id").alias("node")).select("node", "v"))
 
 
 # ---- first neighbours --------------------------------------------------------------
@@ -114,7 +95,7 @@ def _cut_tree(x: np.ndarray, smallest: int, rng: np.random.Generator) -> list[tu
             leaves += 1
             return -leaves
         a, b = rng.choice(at, 2, replace=False)
-        direction = (x[a] - x[b]).astype(np.float32)
+        direction = x[a] - x[b]
         place = x[at] @ direction
         middle = float(np.median(place))
         low, high = at[place < middle], at[place >= middle]
@@ -147,41 +128,45 @@ def _leaves(tree: list[tuple], x: np.ndarray) -> np.ndarray:
     return at
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of paired rows, as sums of squared differences."""
+    d = x - y
+    return np.einsum("...j,...j->...", d, d)
+
+
 def _distances(x: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows to each other."""
-    s = (x * x).sum(1)
-    d = s[:, None] + s[None, :] - 2 * (x @ x.T)
-    np.maximum(d, 0, out=d)
+    """Squared distances of all rows to each other, a row at a time: no product of large components is subtracted."""
+    d = np.stack([_squares(x, r) for r in x])
     np.fill_diagonal(d, np.inf)
     return d
 
 
-_EDGES = pa.schema([("node", pa.int64()), ("nb", pa.int64()), ("d", pa.float32()), ("new", pa.int32())])
+_EDGES = pa.schema([("node", pa.int64()), ("nb", pa.int64()), ("d", pa.float64()), ("new", pa.int32())])
 
 
 def _first_edges(nodes: DataFrame, n: int, k: int, trees: int) -> DataFrame:
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < max(1, min(1_000_000, 1_000_000 * SAMPLE // n)))
-    x = np.array([np.frombuffer(r["h"], "<f2") for r in sample.select("h").collect()], np.float32)
+    x = np.array([np.frombuffer(r["v"], "<f8") for r in sample.select("v").collect()])
     rng = np.random.default_rng(11)
     smallest = max(8, LEAF * len(x) // n)
     forest = [_cut_tree(x, smallest, rng) for _ in range(trees)] if len(x) > 1 else [[]]
-    schema = pa.schema([("node", pa.int64()), ("h", pa.binary()), ("tree", pa.int32()), ("leaf", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("v", pa.binary()), ("tree", pa.int32()), ("leaf", pa.int64())])
 
     def descend(batches: Batches) -> Batches:
         for b in batches:
             if not b.num_rows:
                 continue
-            some = vectors_of(b.column(1), "<f2").astype(np.float32)
+            some = vectors_of(b.column(1), "<f8")
             for t, tree in enumerate(forest):
                 yield batch(schema, b.column(0), b.column(1), np.full(len(some), t, np.int32), _leaves(tree, some))
 
-    placed = map_arrow(nodes.select("node", "h"), descend, schema)
+    placed = map_arrow(nodes.select("node", "v"), descend, schema)
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocks = placed.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
     def meet(t: pa.Table) -> pa.Table:
         ids = t.column("node").to_numpy()
-        d = _distances(vectors_of(t.column("h"), "<f2").astype(np.float32))
+        d = _distances(vectors_of(t.column("v"), "<f8"))
         m = min(k, len(ids) - 1)
         if m < 1:
             return _EDGES.empty_table()
@@ -189,7 +174,7 @@ def _first_edges(nodes: DataFrame, n: int, k: int, trees: int) -> DataFrame:
         return pa.table([np.repeat(ids, m), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel(),
                          np.ones(near.size, np.int32)], schema=_EDGES)
 
-    return blocks.groupBy("tree", "leaf", "block").applyInArrow(meet, "node long, nb long, d float, new int")
+    return blocks.groupBy("tree", "leaf", "block").applyInArrow(meet, "node long, nb long, d double, new int")
 
 
 # ---- NN-descent --------------------------------------------------------------------
@@ -210,19 +195,19 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     # Without a new edge a node has nothing new to tell its neighbours.
     buckets = both.groupBy("u").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"), F.max("new").alias("any")) \
         .where(F.col("any") > 0).drop("any")
-    seen = nodes.select("node", "h").join(radius, "node")
+    seen = nodes.select("node", "v").join(radius, "node")
     rows = both.join(buckets, "u").join(seen, "node") \
         .withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets")))
-    groups = rows.groupBy("u", "bucket").agg(F.collect_list(F.struct("node", "new", "radius", "h")).alias("g"))
+    groups = rows.groupBy("u", "bucket").agg(F.collect_list(F.struct("node", "new", "radius", "v")).alias("g"))
 
     def join(batches: Batches) -> Batches:
         for b in batches:
             cols: list[list] = [[], [], []]
             ends = b.column(0).offsets.to_numpy()
             flat = b.column(0).flatten()            # of this batch only
-            ids, new, radii, h = (flat.field(i) for i in range(4))
+            ids, new, radii, v = (flat.field(i) for i in range(4))
             ids, new = ids.to_numpy(), new.to_numpy() > 0
-            radii, x = radii.to_numpy(), vectors_of(h, "<f2").astype(np.float32)
+            radii, x = radii.to_numpy(), vectors_of(v, "<f8")
             ends = ends - ends[0]
             for a, z in zip(ends[:-1], ends[1:], strict=True):
                 if z - a < 2 or not new[a:z].any():
@@ -244,7 +229,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
           trees: int = TREES, rounds: int = ROUNDS) -> Index:
     """Index every usable row."""
     rows = stored(usable(vectors, id_col, vec_col))
-    nodes, scale = _nodes(rows)
+    nodes = _nodes(rows)
     n = nodes.count()
     members = rows.join(nodes.select("node", "v"), "v").select("node", "id")
     graph = stored(_nearest(_first_edges(nodes, max(n, 1), k, trees), k))
@@ -253,7 +238,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         graph = stored(_nearest(known.unionByName(_local_join(graph, nodes, k)), k))
         if graph.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0] <= CHANGED * k * n:
             break
-    return Index(members, nodes, graph.select("node", "nb"), scale)
+    return Index(members, nodes, graph.select("node", "nb"))
 
 
 # ---- search ------------------------------------------------------------------------
@@ -277,35 +262,23 @@ def search(index: Index, queries: DataFrame, k: int = 10, beam: int = BEAM, open
 
     near_schema = pa.schema([("query_id", pa.int64()), ("node", pa.int64()), ("d", pa.float64())])
 
-    def measure(kind: str):
-        def run(batches: Batches) -> Batches:
-            for b in batches:
-                if b.num_rows:
-                    x, y = (vectors_of(b.column(i), kind).astype(np.float64) for i in (2, 3))
-                    yield batch(near_schema, b.column(0), b.column(1), np.sqrt(((x - y) ** 2).sum(1)))
-        return run
-
-    def measured(pairs: DataFrame, place: str, kind: str) -> DataFrame:
-        rows = pairs.join(index.nodes.select("node", F.col(place).alias("x")), "node").join(
-            asked.select("query_id", F.col(place).alias("y")), "query_id")
-        return map_arrow(rows.select("query_id", "node", "x", "y"), measure(kind), near_schema)
-
-    def rough(pairs: DataFrame) -> DataFrame:
-        return measured(pairs, "h", "<f2").withColumn("done", F.lit(0))
-
-    def halve(batches: Batches) -> Batches:
+    def measure(batches: Batches) -> Batches:
         for b in batches:
             if b.num_rows:
-                x = (vectors_of(b.column(1), "<f8") / scale).astype("<f2")
-                yield batch(asked_schema, b.column(0), b.column(1), [r.tobytes() for r in x])
+                x, y = (vectors_of(b.column(i), "<f8") for i in (2, 3))
+                yield batch(near_schema, b.column(0), b.column(1), np.sqrt(_squares(x, y)))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(index.nodes.select("node", F.col("v").alias("x")), "node").join(
+            asked.select("query_id", F.col("v").alias("y")), "query_id")
+        return map_arrow(rows.select("query_id", "node", "x", "y"), measure, near_schema).withColumn("done", F.lit(0))
 
-    scale, asked_schema = index.scale, pa.schema([("query_id", pa.int64()), ("v", pa.binary()), ("h", pa.binary())])
-    asked = stored(map_arrow(queries.select("query_id", "v"), halve, asked_schema))
+    asked = stored(queries.select("query_id", "v"))
     own = queries.join(index.nodes.select("node", "v"), "v").select("query_id", "node")
     first = own.unionByName(map_arrow(queries.select("query_id", "v"), starts, start_schema)).distinct()
     links = stored(index.graph.unionByName(index.graph.select(F.col("nb").alias("node"), F.col("node").alias("nb"))))
     by_distance = Window.partitionBy("query_id").orderBy("d", "node")
-    state = stored(rough(first))
+    state = stored(measured(first))
     for _ in range(math.ceil(4 * beam / opened)):
         unopened = state.where("done = 0").withColumn("_r", F.row_number().over(by_distance)) \
             .where(F.col("_r") <= opened).select("query_id", "node")
@@ -313,11 +286,11 @@ def search(index: Index, queries: DataFrame, k: int = 10, beam: int = BEAM, open
             .select("query_id", "node", "d", F.greatest("done", F.coalesce("_o", F.lit(0))).alias("done"))
         found = unopened.join(links, "node").select("query_id", F.col("nb").alias("node")).distinct() \
             .join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        merged = marked.unionByName(rough(found))
+        merged = marked.unionByName(measured(found))
         state = stored(merged.withColumn("_r", F.row_number().over(by_distance)).where(F.col("_r") <= beam).drop("_r"))
         if state.where("done = 0").limit(1).count() == 0:
             break
-    return measured(state.select("query_id", "node"), "v", "<f8")
+    return state.select("query_id", "node", "d")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
