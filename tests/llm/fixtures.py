@@ -1,6 +1,7 @@
 """A small table with every awkward row, and brute-force versions of the operators."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -131,3 +132,54 @@ def classes(prints, bits):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def words_covered(all_texts, length):
+    """(words, removed, sha256 of the rest) of each text."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in all_texts]
+    seen = Counter(tuple(w[i:i + length]) for w in split for i in range(len(w) - length + 1))
+    out = []
+    for w in split:
+        mark = bytearray(len(w))
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i:i + length])] > 1:
+                mark[i:i + length] = b"\1" * length
+        kept = " ".join(x for x, m in zip(w, mark) if not m)
+        out.append((len(w), sum(mark), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def resampled(docs, target):
+    """(id, features, weight, score, rank) of (id, text) rows, straight from the definition."""
+    def buckets(text):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        return [zlib.crc32(w.encode()) % 10000 for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)]
+    own = [buckets(t) for _, t in docs]
+    s, t = Counter(b for f in own for b in f), Counter(b for x in target for b in buckets(x))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log(float(t[b] + 1) * (big_s + 10000) / (float(s[b] + 1) * (big_t + 10000)))) for b in s}
+    rows = []
+    for (i, _), f in zip(docs, own):
+        weight = math.floor(sum(gain[b] for b in f) / len(f)) if f else 0
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    order = sorted((r for r in rows if r[1] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(order[:len(order) * 10 // 100], 1):
+        r[4] = rank
+    return [tuple(r) for r in rows]
+
+
+def filled(i, text):
+    """(n, form, prefix, middle, output) of one document."""
+    text = text or ""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()
+    h = [int(digest[8 * k:8 * k + 8], 16) for k in range(4)]
+    n = len(lines)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(lines[:a]), "".join(lines[a:b]), "".join(lines[b:])
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")):
+        return n, "plain", None, None, text
+    if h[3] % 100 < 50:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures as X
-from triagelake.llm import ann, components, idfiles, packing, pii, quality, simhash, suffixes, tiling, tokens
+from triagelake.llm import ann, automata, components, idfiles, packing, pii, quality, resampling, simhash, suffixes, tiling, tokens
 
 
 @given(st.text(alphabet="a1.@-+ _%()9é", max_size=60))
@@ -270,3 +270,46 @@ def test_neighbours_of_large_and_near_equal_vectors(spark):
 def test_few_vectors(spark, n):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<float>")
     assert ann.neighbours(df, df).groupBy("query_id").count().where(F.col("count") != n - 1).count() == 0
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=1, max_size=14), st.integers(1, 2)),
+                min_size=1, max_size=6), st.integers(1, 6))
+@settings(max_examples=300, deadline=None)
+def test_matching_statistics(strings, least):
+    """Where a string of `least` words that occurs twice ends, the statistic says so, and nowhere else."""
+    seen = {}
+    for words, times in strings:
+        for i in range(len(words) - least + 1):
+            key = tuple(words[i:i + least])
+            seen[key] = seen.get(key, 0) + times
+    made = automata.Automaton.build(strings, least)
+    assert (made is None) == (max(seen.values(), default=0) < 2)
+    if made:
+        back = automata.Automaton.from_bytes(made.to_bytes())
+        for words, _ in [*strings, ([b"a", b"x", *strings[0][0], b"b", b"c", b"a", b"b"], 1)]:
+            want = [e >= least and seen.get(tuple(words[e - least:e]), 0) > 1 for e in range(1, len(words) + 1)]
+            assert [n >= least for n in back.statistics(words)] == want
+
+
+def test_regions_cover_every_window_once(monkeypatch):
+    rnd = random.Random(8)
+    texts = [b" ".join(rnd.choice([b"a", b"bb", b"c"]) for _ in range(n)) + b"\n\t" for n in (0, 5, 34, 35, 36, 400, 3000)]
+    monkeypatch.setattr(automata, "SEGMENT", 128)
+    monkeypatch.setattr(automata, "_powers", {})
+    found = automata.regions(texts, 35, 12)
+    windows, grams = [], {}
+    for t, g, _, first, size in zip(*(c.tolist() for c in found)):
+        words = texts[t].split()
+        for s in range(first, first + size - 34):
+            windows.append((t, s))
+            assert grams.setdefault(tuple(words[s:s + 35]), g) == g
+    assert sorted(windows) == [(i, s) for i, t in enumerate(texts) for s in range(len(t.split()) - 34)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_overlapped_spans(n):
+    text = resampling.collapsed("Élan  vital! a-b, C3 \n x".encode())
+    words = text.decode().split(" ")
+    assert words == ["Élan".replace("É", "É"), "vital", "a", "b", "c3", "x"]
+    want = [" ".join(words[i:i + k]) for k in range(1, n + 1) for i in range(len(words) - k + 1)]
+    assert [m[0].decode() for m in resampling.spans(text, n)] == want

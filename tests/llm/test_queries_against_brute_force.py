@@ -1,8 +1,10 @@
 """Each registered query on a table of awkward rows, against a brute-force version."""
 
 import hashlib
+import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -10,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import fixtures as X
-from triagelake.llm import queries, suffixes
+from triagelake.llm import automata, queries, suffixes
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +136,46 @@ def test_op10(spark, folder):
     assert by_row(got, "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
 
 
+def lined(rnd):
+    """Texts of lines for the fill-in-middle query: sentinels, carriage returns, empty lines, no last line feed."""
+    out = [(i, "".join(rnd.choice(["a line\n", "\n", "öß<\n", "x\r\n", "中 <S\n", "tail >"]) for _ in range(rnd.randint(0, 12))))
+           for i in range(100, 200)]
+    return out + [(300, "one <P> mark\nx"), (301, "l\n" * 50_000), (302, "y" * 300_000 + "\n$1 \\2\n"), (303, "\n"), (304, "\U0001F600\n\U0001F600")]
+
+
+@pytest.mark.parametrize("wide, shard_words, wave_bytes", [(1000, 100_000, 1 << 20), (0, 50, 1), (2, 500, 4000)])
+def test_op11(spark, folder, monkeypatch, wide, shard_words, wave_bytes):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = sorted(((r[0], *w) for r, w in zip(X.rows(), X.words_covered([r[1] for r in X.rows()], 35))), key=repr)
+    got = automata.dedup(docs, wide=wide, shard_words=shard_words, wave_bytes=wave_bytes).collect()
+    assert by_row(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert by_row(result(spark, "op11_substring_dedup", folder), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_op12(spark, folder):
+    target = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    got = result(spark, "op12_importance_resampling", folder)
+    want = X.resampled([(r[0], r[1]) for r in X.rows()], target)
+    assert by_row(got, "doc_id", "n_features", "weight", "score", "rank") == sorted(want, key=repr)
+    assert sum(r.rank is not None for r in got) == sum(w[1] >= 20 for w in want) // 10 > 2
+
+
+def test_op13(spark, folder, tmp_path):
+    more = [(i, t, "en", "s", len(t), *"xy", 7, *"zqlab") for i, t in lined(random.Random(3))]
+    for d, rows in ((folder, X.rows()), (X.folder(spark, tmp_path, more + X.rows()), more + X.rows())):
+        want = []
+        for r in rows:
+            n, form, p, m, out = X.filled(r[0], r[1])
+            want.append((r[0], n, form, p, m, hashlib.sha256(out.encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+        got = result(spark, "op13_fill_in_middle", d)
+        cols = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+        assert by_row(got, *cols) == sorted(want, key=repr)
+        duck = duckdb.connect()
+        duck.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+        assert sorted(duck.execute(f"select {', '.join(cols)} from ({queries.ORACLES['op13_fill_in_middle']})").fetchall(),
+                      key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op5_nn_descent"}))
 def test_empty_tables(spark, empty, name):
     assert result(spark, name, empty) == []

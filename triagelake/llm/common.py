@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,28 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text: 128 bits of its SHA-256, so that no two texts share them."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+@contextmanager
+def distinct_texts(docs: DataFrame, text_col: str):
+    """(k, t, n) of the distinct texts as bytes with their numbers of rows, in buckets of k; dropped at the end.
+
+    The joins with texts that follow move no text. A copy of a text meets the
+    others in the map-side aggregate.
+    """
+    spark, name = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
+    rows = docs.select(text_bytes(text_col).alias("t")).select(text_key(F.col("t")).alias("k"), "t")
+    rows.groupBy("k").agg(F.first("t").alias("t"), F.count("*").alias("n")).write.option("compression", "zstd").bucketBy(
+        shuffle_partitions(spark), "k").saveAsTable(name)
+    try:
+        yield spark.table(name).select("k", "t", "n")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def arrow_type(df: DataFrame, col: str) -> pa.DataType:
     return to_arrow_type(df.schema[col].dataType)
 
