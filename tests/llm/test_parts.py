@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -34,33 +35,74 @@ def test_disclosing_terms(spark):
 
 
 def test_terms_of_an_entity_seen_once(spark):
-    """A name far from the only address, and in another document without it, is replaced; common words stay."""
+    """A name far from the only address that spells it, and in another document without it, is replaced; no other word."""
     far = " ".join(["the text of the office"] * 5)
-    docs = [(0, f"Zorro wrote. {far} zed@corp.example {far}"), (1, "the office of zorro is the text")]
+    docs = [(0, f"Zorro wrote. {far} zorro.d@corp.example {far}"), (1, "the office of zorro is the text")]
     docs += [(10 + i, f"the text of the office {i}") for i in range(2000)]
     out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert out[0] == f"[TERM] [TERM]. {far} [EMAIL] {far}" and out[1] == "the office of [TERM] is the text"
+    assert out[0] == f"[TERM] wrote. {far} [EMAIL] {far}" and out[1] == "the office of [TERM] is the text"
     assert all(out[i] == t for i, t in docs if i >= 10)
 
 
+def test_rare_ordinary_words_stay(spark):
+    """1,000 words of one or two rows each, beside addresses seen once and beside copies of one text, tell nothing."""
+    rnd = random.Random(12)
+    rare = ["".join(rnd.choice("abcdefghiklmnoprstuvw") for _ in range(9)) for _ in range(1000)]
+    docs = [(i, f"the text {' '.join(rare[10 * i:10 * i + 10])} of box{i}q@corp.example is here") for i in range(100)]
+    docs += [(200 + i, f"once more {i}, " + docs[3][1]) for i in range(6)]                  # near copies
+    docs += [(300 + i, f"the text of {' '.join(rnd.sample(rare, 2))} is here") for i in range(500)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i] == " ".join("[EMAIL]" if "@" in w else w for w in t.split()) for i, t in docs)
+
+
+def g_squared(n, n_c, n_t, n_ct):
+    cells = [(n_ct, n_c, n_t), (n_c - n_ct, n_c, n - n_t), (n_t - n_ct, n - n_c, n_t), (n - n_c - n_t + n_ct, n - n_c, n - n_t)]
+    return 2 * sum(x * np.log(x * n / (r * c)) for x, r, c in cells if x > 0)
+
+
 def test_disclosures_against_brute_force(spark):
     rnd = random.Random(9)
     docs = [" ".join(rnd.choices([f"w{c}" if c > "m" else c * 3 for c in "abcdefghijklmnopqrst"], k=4))
-            + rnd.choice(["", "", "", " a@b.c", " d@e.f and a@b.c", " 1.2.3.4"]) for _ in range(150)]
-    docs += docs[:30] + [f"only here {docs[0]} x@y.z q@y.z"]
-    rows = [({t[s:e] for s, _, e in X.personal(t)}, {w for w in t.split() if w.isalpha()}) for t in docs]
-    want, n, z, least = {}, len(rows), 1.0, 0.3
-    for c in set().union(*(e for e, _ in rows)):
-        n_c = sum(c in e for e, _ in rows)
-        for t in set().union(*(w for e, w in rows if c in e)):
-            p, n_t = sum(c in e and t in w for e, w in rows) / n_c, sum(t in w for _, w in rows)
+            + rnd.choice(["", "", "", " a@b.c", " dd.eee@e.f and a@b.c", " 1.2.3.4 eee"]) for _ in range(300)]
+    docs += docs[:30] + [f"only here {docs[0]} zzz zzz.k@y.z q@y.z"]
+    rows = [({t[s:e] for s, _, e in X.personal(t)}, {w for w in t.split() if w.isalpha()},
+             tuple(t[max(0, s - 40):e + 40] for s, _, e in X.personal(t))) for t in docs]
+    n, z, least, error = len(rows), 1.0, 0.3, 0.05
+    sources = {}
+    for c, t, k in rows:
+        if c:
+            sources.setdefault(k, [c, t, 0])[2] += 1
+    judged = sum(len(c) * len(t) for c, t, _ in sources.values())
+    want, signed = {}, 0
+    anywhere = [set(re.findall("[a-z]+", t)) for t in docs]
+    for c in set().union(*(e for e, _, _ in sources.values())):
+        n_c = sum(c in e for e, _, _ in sources.values())
+        for t in set().union(*(w for e, w, _ in sources.values() if c in e)):
+            both = [m for e, w, m in sources.values() if c in e and t in w]
+            n_ct = len(both)
+            n_t = max(n_ct, sum(t in w for w in anywhere) - sum(both) + n_ct)
+            p = n_ct / n_c
             low = (p + z * z / (2 * n_c) - z * (p * (1 - p) / n_c + z * z / (4 * n_c * n_c)) ** 0.5) / (1 + z * z / n_c)
             share = float(np.log(n * low / n_t) / np.log(n / n_c))
-            if share >= least:
+            sign = "@" in c and t in [w for w in c.split("@")[0].split(".") if len(w) > 2]
+            evident = n_ct > 1 and g_squared(n, n_c, n_t, n_ct) >= 2 * np.log(judged / error)
+            if share >= least and (sign or evident):
                 want[pii._key(t)] = max(share, want.get(pii._key(t), 0.0))
+                signed += sign
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {r.term: r.disclosure for r in pii.disclosures(df, pii._scan(df, "doc_id", "text"), least=least).collect()}
-    assert want and got == pytest.approx(want)
+    assert want and signed and got == pytest.approx(want)
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' own keep their values, and one row of a group stays."""
+    docs = spark.createDataFrame([(1, "some words to keep jo@corp.example", i, i, "a", "b", "c") for i in range(3)],
+                                 "doc_id long, text string, _id long, _g long, _h string, _t string, _spans string")
+    safe = pii.sanitise(docs)
+    assert safe.columns == docs.columns
+    assert sorted(map(tuple, safe.collect())) == [(1, "some words to keep [EMAIL]", i, i, "a", "b", "c") for i in range(3)]
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == 1
 
 
 def test_replaced_overlaps():

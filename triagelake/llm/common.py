@@ -56,6 +56,16 @@ def distinct_texts(docs: DataFrame, text_col: str):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores behind them as it takes to differ from all columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def arrow_type(df: DataFrame, col: str) -> pa.DataType:
     return to_arrow_type(df.schema[col].dataType)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import Batches, arrow_type, batch, map_arrow, stored, text_bytes, text_or_empty
+from triagelake.llm.common import Batches, arrow_type, batch, fresh, map_arrow, stored, text_bytes, text_or_empty
 from triagelake.llm.components import components
 
 SEED = 42
@@ -110,9 +110,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest id (null ids last)."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle))
-    winner = F.min(F.struct(F.col(id_col).isNull().alias("_n"), F.col(id_col).alias("_id"), F.col("_h").alias("_g")))
+    key, own = fresh(docs, "_id", "_g")
+    winner = F.min(F.struct(F.col(id_col).isNull().alias("_n"), F.col(id_col).alias(key), F.col("_h").alias(own)))
     best = rows.join(_named(rows, id_col, max_bits), "fp").groupBy("_root").agg(winner.alias("_w"))
-    best = stored(best.select("_w._id", "_w._g").distinct())
-    same = docs[id_col].eqNullSafe(best["_id"]) & (F.xxhash64(text_or_empty(text_col)) == best["_g"])
+    best = stored(best.select(f"_w.{key}", f"_w.{own}").distinct())
+    same = docs[id_col].eqNullSafe(best[key]) & (F.xxhash64(text_or_empty(text_col)) == best[own])
     kept = docs.join(best, same)
-    return kept.dropDuplicates(["_id", "_g"]).select(*[docs[c] for c in docs.columns])
+    return kept.dropDuplicates([key, own]).select(*[docs[c] for c in docs.columns])
