@@ -147,7 +147,7 @@ class Layout:
         return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 
-def _topk_kernel(k: int, min_score: float, exclude_self: bool, schema: pa.Schema,
+def topk_kernel(k: int, min_score: float, exclude_self: bool, schema: pa.Schema,
                  earlier_only: bool = False):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -193,7 +193,7 @@ def search(layout: Layout, probes: DataFrame, k: int, min_score: float, exclude_
                         ("cid", _arrow(cid_kind)), ("score", pa.float64())])
     ddl = f"grp {kinds['grp']}, pid {kinds['pid']}, cid {cid_kind}, score double"
     part = layout.pairs(probes.select("grp", "pid", "u", "reach"), own_cell_only).applyInArrow(
-        _topk_kernel(k, min_score, exclude_self, schema, earlier_only), ddl)
+        topk_kernel(k, min_score, exclude_self, schema, earlier_only), ddl)
     return top_per_key(part, ["grp", "pid"], [F.col("score").desc(), F.col("cid")], k)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triagelake.functions.vectors import unit
-from triagelake.operators import blocks, clusters, density, search
+from triagelake.operators import blocks, clusters, density, ivf, postings, search
 from triagelake.plans import sqltext as S
 from triagelake.plans.registry import ORACLES, query
+from triagelake.session import scratch
 from triagelake.sources import domain as D
 
 
@@ -35,15 +36,14 @@ def vector_topk_cells(spark, sf):
                               block=64, pivots=12)
 
 
-@query(f"""WITH {S.VEC}, p AS (SELECT a.number AS query_id, b.number AS chunk_id, {S.cos('a.vec', 'b.vec')} AS s FROM vec a, vec b
-    WHERE b.label < 5)
+@query(f"""WITH {S.VEC}, p AS (SELECT a.number AS query_id, b.number AS chunk_id, {S.cos('a.vec', 'b.vec')} AS s FROM vec a, vec b)
   SELECT query_id, chunk_id, round(s, 4) AS score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
   ORDER BY s DESC, chunk_id) AS rn FROM p WHERE s >= 0.80) WHERE rn <= 3""")
 def near_matches_cells(spark, sf):
-    """Close matches among half of the labels, by pruned cells with a narrow reach."""
+    """Close matches by pruned cells with a narrow reach."""
     v = D.team_vectors(spark, sf)
     return search.vector_topk(v.select(F.col("number").alias("query_id"), "vec"),
-                              v.where("label < 5").select(F.col("number").alias("chunk_id"), "vec"), "query_id",
+                              v.select(F.col("number").alias("chunk_id"), "vec"), "query_id",
                               "chunk_id", k=3, min_score=0.8, block=32, pivots=12)
 
 
@@ -58,6 +58,25 @@ def vector_topk_by_source(spark, sf):
     return search.vector_topk(v, a, "query_id", "article_id", k=2, min_score=0.0, source_type="cat1").drop("rank")
 
 
+def _ivf(spark, sf, cells=None, visits=None):
+    v = D.team_vectors(spark, sf)
+    index = ivf.build(blocks.prepare(v, "number", "vec", "cid"), scratch(spark, "ivf"), cells)
+    hits = ivf.search(index, blocks.prepare(v, "number", "vec", "pid"), search.TOP_K, search.MIN_SCORE, visits)
+    return hits.select(F.col("pid").alias("query_id"), F.col("cid").alias("chunk_id"), F.round("score", 4).alias("score"), "rank")
+
+
+@query(ORACLES["vector_topk"])
+def vector_topk_ivf_all(spark, sf):
+    """The inverted file with as many visits as cells: exact."""
+    return _ivf(spark, sf, cells=12, visits=12)
+
+
+@query()
+def vector_topk_ivf(spark, sf):
+    """The inverted file as it is used: the nearest cells only."""
+    return _ivf(spark, sf)
+
+
 @query(f"""WITH {S.VEC}, {S.ART}, p AS (SELECT a.number, a.label % 2 = 0 AS has_ticket, article_id, round({S.cos('a.vec', 'b.vec')}, 4) AS score,
     {S.cos('a.vec', 'b.vec')} AS s FROM vec a, art b),
   h AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY s DESC, article_id) AS rn, count(*) OVER (PARTITION BY number) AS hits
@@ -125,6 +144,39 @@ def hybrid_search(spark, sf):
     return search.hybrid_search(dense, search.bm25(d, "doc_id", "text", TERMS), ages, "doc_id", 20)
 
 
+_MANY = f"""dw AS (SELECT doc_id AS doc, {_BM_WORDS} AS w FROM documents), qw AS (SELECT item_id AS query, {_BM_WORDS} AS w FROM benchmark),
+  asked AS (SELECT DISTINCT query, unnest(w) AS term FROM qw),
+  post AS (SELECT term, doc, count(*) AS n FROM (SELECT doc, unnest(w) AS term FROM dw) GROUP BY ALL),
+  st AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM dw), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+  found AS (SELECT query, doc, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean))), 9) AS score
+    FROM asked JOIN post USING (term) JOIN df USING (term) JOIN dw USING (doc), st GROUP BY query, doc),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rn FROM found)"""
+
+
+def _keyword_index(spark, sf):
+    return postings.build(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", scratch(spark, "postings"))
+
+
+@query(f"WITH {_MANY} SELECT query, doc, round(score, 6) AS score, CAST(rn AS INT) AS rank FROM ranked WHERE rn <= 10")
+def bm25_table(spark, sf):
+    """Every benchmark item as a query against all documents, by postings."""
+    hits = postings.scores(_keyword_index(spark, sf), D.table(spark, sf, "benchmark"), "item_id", "text", 10)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_MANY}, {S.VEC}, near AS (SELECT *, max(score) OVER (PARTITION BY query) AS peak FROM ranked WHERE rn <= 30),
+  t AS (SELECT query, doc, round(0.6 * coalesce(list_cosine_similarity(d.vec, q.vec), 0) + 0.3 * score / peak + 0.1 * pow(0.5, (doc % 90) / 30.0), 6) AS final_score
+    FROM near LEFT JOIN vec d ON d.vec_id = doc LEFT JOIN vec q ON q.vec_id = query)
+  SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY final_score DESC, doc) AS INT) AS rank FROM t QUALIFY rank <= 5""")
+def hybrid_search_table(spark, sf):
+    """The 30 best documents of every benchmark item by keywords, reranked with vectors and age."""
+    v = D.team_vectors(spark, sf).select(F.col("vec_id").alias("id"), "vec")
+    asked = D.table(spark, sf, "benchmark").join(v, F.col("item_id") == F.col("id"), "left").select("item_id", "text", "vec")
+    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc")).join(
+        v, F.col("doc") == F.col("id"), "left").select("doc", "vec", (F.col("doc") % 90).alias("age_days"))
+    return postings.hybrid(_keyword_index(spark, sf), asked, docs, "item_id", "text", "vec", 5, 30)
+
+
 @query(f"""WITH {S.VEC}, {S.ART}, p AS (SELECT number, article_id, {S.cos('a.vec', 'b.vec')} AS s FROM vec a, art b
     WHERE is_active AND confidence >= 0.40)
   SELECT number, article_id, round(s, 4) AS score, CAST(rn AS INT) AS rank, 0.8::DOUBLE AS tier_bonus FROM (SELECT *, row_number() OVER (
