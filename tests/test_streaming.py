@@ -123,3 +123,30 @@ def test_field_decoding(spark):
 def test_sources_are_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert jobs.read_events(spark, str(tmp_path / "in"), EVENT).isStreaming
+
+
+def test_forward_once(spark, tmp_path):
+    """A number is forwarded once over many batches, also long after the watermark passed its first row."""
+    polls = [[("A", 0), ("A", 20), ("B", 100)], [("B", 100), ("C", 900)], [("A", 2000), ("D", 2000)], [("A", 4000), ("D", 4100), ("C", 4200)],
+             [("E", 200_000)], [("F", 200_100)], [("A", 200_200)]]
+    src = files(tmp_path / "in", [[{"number": n, "created_at": at(s), "s": s} for n, s in g] for g in polls])
+    e = jobs.read_events(spark, src, "number string, created_at timestamp, s int", files_per_trigger=1)
+    got = drain(jobs.forward_once(e), tmp_path)
+    # A comes back after more than a day and is new again.
+    assert sorted((r.number, r.s) for r in got) == [("A", 0), ("A", 200_200), ("B", 100), ("C", 900), ("D", 2000), ("E", 200_000), ("F", 200_100)]
+
+
+def test_live_counters_equal_batch(spark, tmp_path):
+    import random
+    rnd = random.Random(4)
+    kinds = ["pipeline_complete", "pipeline_error", "pipeline_started", "agent_done"]
+    rows = [{"event_id": i, "ts": at(rnd.randint(0, 3600 * (5 + i // 40))), "run_id": i % 50, "event": rnd.choice(kinds), "agent_num": 1}
+            for i in range(600)]
+    src = files(tmp_path / "in", [rows[i:i + 60] for i in range(0, 600, 60)])
+    e = jobs.read_events(spark, src, EVENT, files_per_trigger=1)
+    want = {r.bucket: (r.completed_total, r.active)
+            for r in runstate.live_counters(spark.read.schema(EVENT).json(src), 200).collect()}
+    last = {r.bucket: (r.completed_total, r.active) for r in drain(jobs.live_counters(e, 200), tmp_path, "update")}
+    assert last == want and min(a for _, a in want.values()) == 0
+    few = drain(jobs.live_counters(e, 200, open_buckets=3), tmp_path, "update", "few")
+    assert max((r.bucket, r.completed_total, r.active) for r in few)[1:] == max((b, *v) for b, v in want.items())[1:]

@@ -75,10 +75,13 @@ def test_cohesion_paths_agree(spark, blobs):
     for c in ("one", "two"):
         x = blobs[[i for i in range(len(cl)) if cl[i] == c]]
         want[c] = np.median((x @ x.T)[np.triu_indices(len(x), 1)])
+    seen = []
     for limit in (2048, 16):                   # one task per cluster; block pairs with histograms
         got = {r.cluster: r.cohesion for r in clusters.cohesion(m, limit).collect()}
         for c in want:
             assert got[c] == pytest.approx(want[c], abs=1e-9), limit
+        seen.append(got)
+    assert seen[0] == seen[1]                  # the very same numbers
     single = clusters.cohesion(members(spark, blobs[:1], ["x"])).first()
     assert single.cohesion == 1.0 and single.n == 1
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import scoring
@@ -26,6 +26,7 @@ from triagelake.session import cut_lineage
 GROUP_LIMIT = 2048        # rows one task may hold of one cluster
 BINS = 4096
 PASSES = 3                # 4096^3 steps over [-1, 1]: 3e-11 per step
+DIGITS = 12               # of a cosine, so that its value does not depend on the block it came from
 
 
 # ---- vector sums and medoid --------------------------------------------------
@@ -79,7 +80,7 @@ def cohesion(members: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
 
     def one(t: pa.Table) -> pa.Table:
         u = matrix(t["u"])
-        m = 1.0 if len(u) < 2 else float(np.median((u @ u.T)[np.triu_indices(len(u), k=1)]))
+        m = 1.0 if len(u) < 2 else float(np.median(_cosines(u, u, True)))
         return pa.table({"cluster": t["cluster"].slice(0, 1), "cohesion": [m]}, schema=schema)
 
     fits = sizes.where(F.col("n") <= limit)
@@ -91,9 +92,16 @@ def cohesion(members: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     return sizes.join(out, "cluster")
 
 
+def _cosines(a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
+    """Cosines of all pairs of two blocks, of one block each pair once."""
+    s = np.round(a @ b.T, DIGITS)
+    return s[np.triu_indices(len(s), k=1)] if same else s.ravel()
+
+
 def _cohesion_large(members: DataFrame, sizes: DataFrame, limit: int, kind: str) -> DataFrame:
-    """Median by histogram selection over block pairs: each pass narrows the two
-    middle ranks to one bin of the last one. Tasks emit counts, never pairs."""
+    """Exact median by selection over block pairs: each pass narrows the two middle
+    ranks to one bin of the last one, and a last pass counts what lies below the final
+    bins and the values in them, of which rounding leaves few. Tasks emit counts, never pairs."""
     nb = F.ceil(F.col("n") / limit).cast("int")
     m = members.select("cluster", "number", "u").join(sizes.withColumn("nb", nb).drop("n"), "cluster")
     m = m.withColumn("b", F.pmod(F.xxhash64("number"), F.col("nb")).cast("int"))
@@ -114,8 +122,7 @@ def _cohesion_large(members: DataFrame, sizes: DataFrame, limit: int, kind: str)
     def count(l: pa.Table, r: pa.Table) -> pa.Table:
         if l.num_rows == 0 or r.num_rows == 0:
             return schema.empty_table()
-        s = matrix(l["u"]) @ matrix(r["u"]).T
-        v = s[np.triu_indices(len(s), k=1)] if l["i"][0].as_py() == l["j"][0].as_py() else s.ravel()
+        v = _cosines(matrix(l["u"]), matrix(r["u"]), l["i"][0].as_py() == l["j"][0].as_py())
         rows = {"w": [], "bin": [], "c": []}
         for w in (0, 1):
             lo, hi = l[f"lo{w}"][0].as_py(), l[f"hi{w}"][0].as_py()
@@ -128,14 +135,34 @@ def _cohesion_large(members: DataFrame, sizes: DataFrame, limit: int, kind: str)
         names = [l["cluster"][0].as_py()] * len(rows["w"])
         return pa.table({"cluster": names, **rows}, schema=schema)
 
-    for _ in range(PASSES):
-        state = cut_lineage(state)
+    exact = pa.schema([("cluster", pa_kind), ("w", pa.int32()), ("v", pa.float64()), ("c", pa.int64())])
+
+    def values(l: pa.Table, r: pa.Table) -> pa.Table:
+        """Counts of the values within lo..hi, and of all smaller ones as null."""
+        if l.num_rows == 0 or r.num_rows == 0:
+            return exact.empty_table()
+        v = _cosines(matrix(l["u"]), matrix(r["u"]), l["i"][0].as_py() == l["j"][0].as_py())
+        rows = {"w": [], "v": [], "c": []}
+        for w in (0, 1):
+            lo, hi = l[f"lo{w}"][0].as_py(), l[f"hi{w}"][0].as_py()
+            found, n = np.unique(v[(v >= lo) & (v <= hi)], return_counts=True)
+            rows["w"] += [w] * (1 + len(found))
+            rows["v"] += [None, *found.tolist()]
+            rows["c"] += [int((v < lo).sum()), *n.tolist()]
+        return pa.table({"cluster": [l["cluster"][0].as_py()] * len(rows["w"]), **rows}, schema=exact)
+
+    def over_pairs(fn, ddl: str, margin: float = 0.0) -> DataFrame:
         span = state.groupBy("cluster").agg(*[
-            F.max(F.when(F.col("w") == w, F.col(c))).alias(f"{c}{w}") for w in (0, 1) for c in ("lo", "hi")])
+            F.max(F.when(F.col("w") == w, F.col(c) + m)).alias(f"{c}{w}")
+            for w in (0, 1) for c, m in (("lo", -margin), ("hi", margin))])
         # Rows of one block share number order, so the diagonal takes each pair once.
-        l = left.join(span, "cluster")
-        hist = (l.groupBy("cluster", "i", "j").cogroup(right.groupBy("cluster", "i", "j"))
-                .applyInArrow(_sorted(count), f"cluster {kind}, w int, bin int, c bigint"))
+        return left.join(span, "cluster").groupBy("cluster", "i", "j").cogroup(right.groupBy("cluster", "i", "j")) \
+            .applyInArrow(_sorted(fn), f"cluster {kind}, {ddl}")
+
+    ranks = state.select("cluster", "w", F.col("r").alias("rank"))
+    for _ in range(PASSES):
+        state = cut_lineage(state)
+        hist = over_pairs(count, "w int, bin int, c bigint")
         hist = hist.groupBy("cluster", "w", "bin").agg(F.sum("c").alias("c"))
         per = hist.groupBy("cluster", "w").agg(                   # at most BINS entries
             F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("h"))
@@ -152,7 +179,13 @@ def _cohesion_large(members: DataFrame, sizes: DataFrame, limit: int, kind: str)
             "cluster", "w", F.col("p.left").alias("r"),
             (F.col("lo") + F.col("p.bin") * F.col("step")).alias("lo"),
             (F.col("lo") + (F.col("p.bin") + 1) * F.col("step")).alias("hi"))
-    return state.groupBy("cluster").agg(F.avg((F.col("lo") + F.col("hi")) / 2).alias("cohesion"))
+    state = cut_lineage(state)
+    found = over_pairs(values, "w int, v double, c bigint", margin=1e-11).groupBy("cluster", "w", "v").agg(F.sum("c").alias("c"))
+    # The bins span some 50 steps of the rounding, so this window holds few rows; nulls (all below) come first.
+    upto = F.sum("c").over(Window.partitionBy("cluster", "w").orderBy(F.col("v").asc_nulls_first()))
+    at = found.withColumn("upto", upto).join(ranks, ["cluster", "w"]).where(F.col("v").isNotNull() & (F.col("upto") > F.col("rank")))
+    middle = at.groupBy("cluster", "w").agg(F.min("v").alias("v"))
+    return middle.groupBy("cluster").agg((F.sum("v") / 2).alias("cohesion"))
 
 
 def _sorted(fn):

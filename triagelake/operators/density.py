@@ -340,7 +340,13 @@ def condense(a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int,
 
 def labels_from_tree(tree: DataFrame, min_size: int = MIN_CLUSTER_SIZE, allow_single: bool = False,
                      edge_limit: int = EDGE_LIMIT) -> DataFrame:
-    """(grp, number, label) of clustered points from n - 1 edges per team."""
+    """(grp, number, label) of clustered points from n - 1 edges per team; a cluster is named by its smallest member."""
+    found = cut_lineage(_labels(tree, min_size, allow_single, edge_limit))
+    first = found.groupBy("grp", "label").agg(F.min("number").cast("string").alias("_first"))
+    return found.join(first, ["grp", "label"]).select("grp", "number", F.col("_first").alias("label"))
+
+
+def _labels(tree: DataFrame, min_size: int, allow_single: bool, edge_limit: int) -> DataFrame:
     t = dict(tree.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,8 @@ from triagelake.functions.evaluate import once
 from triagelake.operators import articles, cleaning, documents
 from triagelake.plans import sqltext as S
 from triagelake.plans.registry import query
+from triagelake.plans.page_sync import PageStore, sync_pages
+from triagelake.session import scratch
 from triagelake.sources import domain as D
 
 
@@ -97,6 +99,21 @@ def page_ingest(spark, sf):
     return c.select("source_url", "chunk_index", "token_count", F.sha2("chunk", 256).alias("digest"))
 
 
+@query(f"""WITH p AS (SELECT page_id, {S.strip_edges("regexp_replace(html, '<[^>]+>', ' ', 'g')")} AS content FROM pages),
+  own AS (SELECT page_id, content, {S.words('content')} AS w FROM p WHERE content <> ''
+    QUALIFY row_number() OVER (PARTITION BY content ORDER BY (page_id % 3 = 0)::INT, CAST(page_id AS VARCHAR)) = 1)
+  SELECT page_id, chunk_index, token_count, sha256(chunk) AS digest, token_count > 0 AS embedded
+  FROM ({S.chunk_rows('own', 'page_id', 'content')})""")
+def page_sync(spark, sf):
+    """Stored chunks after two runs of the page job: two thirds of the pages, then all of them."""
+    store, pages = PageStore(spark, scratch(spark, "pages")), D.table(spark, sf, "pages")
+    sync_pages(store, pages.where("page_id % 3 <> 0"))
+    sync_pages(store, pages)
+    return store.current_chunks().select(
+        F.col("source_id").cast(pages.schema["page_id"].dataType).alias("page_id"), "chunk_index", "token_count",
+        F.sha2("chunk", 256).alias("digest"), F.exists("embedding", lambda x: x != 0).alias("embedded"))
+
+
 @query("""WITH log AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, text AS content, 1 AS seq FROM documents
     UNION ALL SELECT CAST(doc_id AS VARCHAR), text || ' (revised)', 2 FROM documents JOIN labels USING (doc_id) WHERE quality = 0
     UNION ALL SELECT 'page-' || page_id, html, 1 FROM pages),

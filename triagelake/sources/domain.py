@@ -22,8 +22,14 @@ def ts(text: str) -> Column:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table.
+
+    A Parquet file of one row group is one task. A caller with few such files of long
+    texts sets spark.triagelake.textPartitions to deal the documents out first.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    parts = spark.conf.get("spark.triagelake.textPartitions", None) if name == "documents" else None
+    return df.repartition(int(parts), "doc_id") if parts else df
 
 
 def ticket_no(key: Column) -> Column:

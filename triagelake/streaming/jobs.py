@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,9 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from triagelake import schemas
 from triagelake.operators import routing
+from triagelake.operators.runstate import RUN_OF_EVENT
 from triagelake.sources.sinks import append_batch
 
 TTL_SECONDS, IDLE_SECONDS = 300, 3600       # fixed values: lock time, context expiry
+SEEN_SECONDS = 24 * 3600                    # how long a polled number stays known
 
 
 def read_events(spark: SparkSession, path: str, schema, fmt: str = "json",
@@ -78,6 +82,86 @@ def dedup_loose(events: DataFrame, key: str, ts: str = "ts", window: str = "5 mi
     return events.withWatermark(ts, window).dropDuplicatesWithinWatermark([key])
 
 
+def forward_once(records: DataFrame, key: str = "number", ts: str = "created_at", keep_seconds: int = SEEN_SECONDS,
+                 watermark: str = "5 minutes") -> DataFrame:
+    """The first row of each key; its number stays seen until `keep_seconds` after it was last polled.
+
+    The state is one instant per key, so a number that comes back long after the
+    watermark has passed its first row is still known. Of the rows of a key in a
+    micro-batch one is held at a time. An event-time timer frees the state."""
+    fields = records.schema
+
+    def step(k, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last = None, state.get[0] if state.exists else 0
+        for pdf in frames:
+            at = pdf[ts].idxmin()
+            if first is None or pdf.at[at, ts] < first[ts].iloc[0]:
+                first = pdf.loc[[at]]
+            last = max(last, int(pdf[ts].max().value // 1000))
+        known = state.exists
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        if not known:
+            yield first
+
+    return (records.withWatermark(ts, watermark).groupBy(key)
+            .applyInPandasWithState(step, fields, "last bigint", "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def live_counters(events: DataFrame, active_at_start: int, bucket_minutes: int = 60, open_buckets: int = 48) -> DataFrame:
+    """(bucket, completed_total, active) of each bucket that changes, as in the batch form.
+
+    A task sends one row per bucket; only these meet at the one counter. Its state is
+    the totals of the `open_buckets` newest buckets, and the sum of all before them: an
+    event of an older bucket counts from the oldest open one on."""
+    width = bucket_minutes * 60_000_000
+    ended = list(RUN_OF_EVENT)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: Counter = Counter()
+        all_ended: Counter = Counter()
+        for pdf in frames:
+            at = pdf["us"] // width
+            done.update(at[pdf["event"] == "pipeline_complete"].tolist())
+            all_ended.update(dict.fromkeys(at.tolist(), 0))
+            all_ended.update(at[pdf["event"].isin(ended)].tolist())
+        yield pd.DataFrame({"one": 0, "at": list(all_ended), "done": [done[b] for b in all_ended],
+                            "ended": list(all_ended.values())})
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        base, open_ = [0, 0], {}
+        if state.exists:
+            base, packed = [state.get[0], state.get[1]], state.get[2]
+            open_ = {int(b): v for b, v in json.loads(packed).items()}
+        changed = None
+        oldest = min(open_) if len(open_) >= open_buckets else None
+        for pdf in frames:
+            for at, done, ended_ in zip(pdf["at"].tolist(), pdf["done"].tolist(), pdf["ended"].tolist(), strict=True):
+                at = at if oldest is None else max(at, oldest)
+                one = open_.setdefault(at, [0, 0])
+                one[0] += done
+                one[1] += ended_
+                changed = at if changed is None else min(changed, at)
+        rows, total = [], list(base)
+        for at in sorted(open_):
+            total = [total[0] + open_[at][0], total[1] + open_[at][1]]
+            if changed is not None and at >= changed:
+                rows.append((pd.Timestamp(at * width, unit="us"), total[0], max(0, active_at_start - total[1])))
+        for at in sorted(open_)[:-open_buckets]:
+            done, all_ended = open_.pop(at)
+            base = [base[0] + done, base[1] + all_ended]
+        state.update((*base, json.dumps(open_)))
+        yield pd.DataFrame(rows, columns=["bucket", "completed_total", "active"])
+
+    small = events.select(F.unix_micros("ts").alias("us"), "event").mapInPandas(partial, "one int, at bigint, done bigint, ended bigint")
+    return small.groupBy("one").applyInPandasWithState(
+        step, "bucket timestamp, completed_total bigint, active bigint", "done bigint, ended bigint, open string", "update",
+        GroupStateTimeout.NoTimeout)
+
+
 STEP_OF = {"agent_start": "running", "agent_done": "completed", "agent_error": "failed"}
 RUN_OF = {"pipeline_started": "running", "pipeline_complete": "completed", "pipeline_error": "failed"}
 
@@ -94,7 +178,6 @@ def run_state(events: DataFrame, idle_seconds: int = IDLE_SECONDS, watermark: st
     kept = "run_at bigint, run_id_at bigint, run_status string, agents string, seen bigint"
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        import json
         # An agent is [instant, event id, status, started, completed, errors].
         run_at, run_event, run_status, agents, seen = (-1, -1, "running", {}, -1)
         if state.exists:
