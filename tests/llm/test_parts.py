@@ -5,13 +5,15 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm import fixtures as X
-from triagelake.llm import ann, automata, components, idfiles, packing, pii, quality, resampling, simhash, suffixes, tiling, tokens
+from triagelake.llm import ann, automata, components, idfiles, langid, packing, pii, quality, resampling, simhash, suffixes, tiling, tokens
 
 
 @given(st.text(alphabet="a1.@-+ _%()9é", max_size=60))
@@ -355,3 +357,26 @@ def test_overlapped_spans(n):
     assert words == ["Élan".replace("É", "É"), "vital", "a", "b", "c3", "x"]
     want = [" ".join(words[i:i + k]) for k in range(1, n + 1) for i in range(len(words) - k + 1)]
     assert [m[0].decode() for m in resampling.spans(text, n)] == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_letter_as_the_library(name):
+    """Every character of the basic plane, and letters beyond, before a mark, before 're and inside a word."""
+    path = public_tokenizers.path(name)
+    library, ours = Tokenizer.from_file(path), tokens.Encoder(path, 2000)
+    chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10400, 0x10450), *range(0x1D400, 0x1D440),
+                              *range(0x1F600, 0x1F620), *range(0x20000, 0x20010), *range(0x1E900, 0x1E944)]]
+    for c in chars:
+        t = f"{c}. A{c}, x a{c}b {c}'re 1{c}1 x{c}! {c}"
+        assert ours.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    """A language with a hundredth of the rows has tables of its own; copies of one text are thinned with the sample."""
+    rnd = random.Random(6)
+    rows = [(X.prose(rnd, 40), "en") for _ in range(400)] + [(X.prose(rnd, 40, "äöüßchgn"), "de") for _ in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), words=200, grams=60)
+    assert [p[0] for p in model.predict([X.prose(rnd, 8, "äöüßchgn") for _ in range(20)])] == ["de"] * 20
+    copies = spark.createDataFrame(rows + rows[:1] * 2000, "text string, lang string")
+    few = langid.fit(copies, sample_rows=500)
+    assert few.langs and few.predict([rows[1][0]])[0][0] == "en"

@@ -16,7 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.llm.common import Batches, arrow_type, batch, map_arrow
@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 ORDER = 4
 BACKOFF = float(np.log(0.4))
 SAMPLE_ROWS = 20_000          # bound of the labelled rows that the model is fitted on
-WORDS, GRAMS = 150_000, 40_000 # bounds of the model's tables
+WORDS, GRAMS = 40_000, 10_000 # bounds of the model's tables, for each language
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
 
@@ -150,17 +150,23 @@ def _table(langs: list[str], rows: list) -> tuple[dict[str, int], np.ndarray]:
 
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
         order: int = ORDER, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """Fit on labelled rows; beyond `sample_rows` of them, on a sample of that expected size by a hash of the text."""
+    """Fit on labelled rows; beyond `sample_rows` of them, on a sample of that expected size.
+
+    The sample is drawn by row, so copies of a text are thinned like others. Each language has
+    tables of its own size: a large one does not crowd out a rare one.
+    """
     train = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = train.count()
     if n > sample_rows:
-        train = train.where(F.pmod(F.xxhash64(text_col, lang_col), F.lit(1_000_000)) < 1_000_000 * sample_rows // n)
+        row = F.xxhash64(text_col, lang_col, F.monotonically_increasing_id())
+        train = train.where(F.pmod(row, F.lit(1_000_000)) < 1_000_000 * sample_rows // n)
     counts = _counts(train.select(lang_col, text_col), order).persist()
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
 
     def most(kind: str, limit: int) -> list:
-        top = counts.where(kind).groupBy("kind", "item").agg(F.sum("n").alias("_all")) \
-            .orderBy(F.desc("_all"), "kind", "item").limit(limit)
+        order = Window.partitionBy("lang").orderBy(F.desc("n"), "kind", "item")
+        top = counts.where(kind).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit) \
+            .select("kind", "item").distinct()
         return counts.join(F.broadcast(top), ["kind", "item"]).select("lang", "kind", "item", "n").collect()
 
     model = Model(langs, *_table(langs, most("kind = 0 and n > 1", words)),

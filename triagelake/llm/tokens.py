@@ -81,6 +81,7 @@ class Encoder:
             self.pattern = None
         self._line_feed = self._library("\n")
         self._marks = {m: self._library(m) for m in ".,;:!?"} if self.pattern else {}
+        self._agreed: dict[str, bool] = {}
         # led: pieces after a space, kept without it; first: those at the start of a text.
         self.led, self.first = Generations(cache), Generations(1 + cache // 4)
 
@@ -89,20 +90,36 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return array(self.dtype.char, [t.id for t in self.model.tokenize(word)]).tobytes()
 
+    def _same(self, c: str) -> bool:
+        """Whether the library and this module put a character beyond ASCII into the same class.
+
+        Their Unicode tables are of different versions. A vocabulary in lower case also
+        decomposes letters, so only Latin-1 ones, which it keeps, are the same there.
+        """
+        known = self._agreed.get(c)
+        if known is None:
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            known = not (self.lower and c >= "\u0100") and all(
+                (len(split(x + c + x)) == 1) == (len(self.pattern.findall(x + c + x)) == 1) for x in "a1.") and (
+                c.isalpha() == (len(split("a" + c + "a")) == 1))
+            self._agreed[c] = known
+        return known
+
+    def _plain(self, piece: str) -> bool:
+        """Whether a piece may be cut here as the library would cut it."""
+        return piece.isascii() or all(self._same(c) for c in piece if c > "\x7f")
+
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _piece(self, piece: str, led: bool) -> bytes:
         """ids of one piece: by its pre-tokens where the pattern is known, else by the library's whole path."""
+        if self.pattern is None or not self._plain(piece) or "<" in piece and any(s in piece for s in self.special):
+            return self._library(" " + piece if led else piece)
         mark = self._marks.get(piece[-1:])
         if mark and piece[:-1].isalpha():
             return self.lookup(piece[:-1], led) + mark
-        if self.pattern is None or "<" in piece and any(s in piece for s in self.special):
-            return self._library(" " + piece if led else piece)
         if self.lower:
-            # Latin-1 letters have one plain lower case and no decomposed form.
-            if piece and max(piece) >= "\u0100":
-                return self._library(piece)
             small = piece.lower()
             if small.isalpha():
                 return self._pre_token(small) if small == piece else self.lookup(small)
@@ -121,7 +138,7 @@ class Encoder:
         ids = cache.get(piece)
         if ids is None:
             ids = self._piece(piece, led)
-            if not (piece[-1:] in self._marks and piece[:-1].isalpha()):
+            if not (piece[-1:] in self._marks and piece[:-1].isalpha() and self._plain(piece)):
                 cache.put(piece, ids)
         return ids
 
@@ -137,7 +154,7 @@ class Encoder:
                         p = rest[i]
                         mark = self._marks.get(p[-1:])
                         v = mark and known(p[:-1])      # a word and a mark behind it
-                        ids[i] = v + mark if v and p[:-1].isalpha() else self.lookup(p)
+                        ids[i] = v + mark if v and p[:-1].isalpha() and self._plain(p) else self.lookup(p)
             out.append(self.lookup(first, led=False) + b"".join(ids))
         return self._line_feed.join(out)
 
