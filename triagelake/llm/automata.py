@@ -12,7 +12,8 @@ the corpus itself, reduced to what can repeat and cut into shards:
 2. A shard is a range of the hash of grams, of about `shard_words` words of distinct
    regions (copies of a region meet in the map-side aggregate). One task builds the
    suffix automaton of a shard and keeps the states that occur twice and lead to a
-   repeated string of `length` words: all others tell nothing about a repeat.
+   repeated string of `length` words: all others tell nothing about a repeat. A region
+   that is the only one of its gram repeats in its copies alone and is kept as it is.
 3. Shards are broadcast a wave at a time, at most `wave_bytes` of them (checked), and
    the regions of all documents in those shards stream past them without a shuffle,
    so a passage that a third of all documents share is no burden to any one task. The
@@ -33,25 +34,26 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import Batches, batch, distinct_texts, map_arrow, stored, text_bytes, text_key
+from triagelake.llm.common import Batches, batch, distinct_texts, map_arrow, shuffle_partitions, stored, text_bytes, text_key
 from triagelake.llm.suffixes import merged, sliding_min
 from triagelake.session import checkpoint_root
 
 LENGTH, GRAM = 35, 12
 WIDE = 1000                     # distinct regions from which a gram's windows are taken one by one
 SHARD_WORDS = 100_000
-WAVE_SHARDS, WAVE_BYTES = 32, 48 << 20
+WAVE_SHARDS, WAVE_BYTES = 48, 16 << 20
 SEGMENT = 1 << 19               # bytes, and words, hashed at once
-REMEMBERED = 20_000             # regions a task remembers
+REMEMBERED = 20_000             # regions of a shard a task remembers
 _PLACE = np.uint64((1 << 24) - 1)
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -146,29 +148,48 @@ def regions(texts: list[bytes], length: int, gram: int):
 class Automaton:
     """The part of a suffix automaton that leads to strings of `length` words that occur twice.
 
-    moves maps state * number of words + word to a state; link and length are those of
-    the kept states, state 0 is the empty string.
+    step, link and length are those of the kept states; state 0 is the empty string.
     """
 
-    def __init__(self, words: dict[bytes, int], moves: dict[int, int], link: list[int], length: list[int]):
-        self.words, self.moves, self.link, self.length = words, moves, link, length
+    def __init__(self, step: list[dict[bytes, int]], link: list[int], length: list[int]):
+        self.step, self.link, self.length = step, link, length
 
     @classmethod
     def build(cls, strings: list[tuple[list[bytes], int]], least: int) -> Automaton | None:
         """Of strings with numbers of occurrences; None if no string of `least` words occurs twice."""
-        names: dict[bytes, int] = {}
         step, link, length, count = [{}], [-1], [0], [0]
         for words, times in strings:
             last = 0
             for w in words:
-                last = _extend(step, link, length, count, last, names.setdefault(w, len(names)))
-                count[last] += times
+                at = step[last].get(w)
+                if at is None:
+                    new = len(step)
+                    step.append({})
+                    length.append(length[last] + 1)
+                    link.append(0)
+                    count.append(times)
+                    while last >= 0 and (at := step[last].get(w)) is None:
+                        step[last][w] = new
+                        last = link[last]
+                    if last >= 0:
+                        link[new] = at if length[at] == length[last] + 1 else _split(step, link, length, count, last, w, at)
+                    last = new
+                else:
+                    last = at if length[at] == length[last] + 1 else _split(step, link, length, count, last, w, at)
+                    count[last] += times
         order = sorted(range(len(step)), key=length.__getitem__, reverse=True)
         for v in order[:-1]:
             count[link[v]] += count[v]
         keep = [False] * len(step)
         for v in order:
-            keep[v] = length[v] >= least and count[v] > 1 or any(keep[u] for u in step[v].values())
+            if count[v] > 1:
+                if length[v] >= least:
+                    keep[v] = True
+                else:
+                    for u in step[v].values():
+                        if keep[u]:
+                            keep[v] = True
+                            break
         if not keep[0]:
             return None
         # Suffixes that lead nowhere are passed over; a link is always shorter than its state.
@@ -179,65 +200,76 @@ class Automaton:
             if keep[v]:
                 number[v] = len(kept)
                 kept.append(v)
-        n = len(names)
-        moves = {number[v] * n + w: number[u] for v in kept for w, u in step[v].items() if keep[u]}
-        return cls(names, moves, [number[near[v]] for v in kept], [length[v] for v in kept])
+        moves = [{w: number[u] for w, u in step[v].items() if keep[u]} for v in kept]
+        return cls(moves, [number[near[v]] for v in kept], [length[v] for v in kept])
 
     def to_bytes(self) -> bytes:
-        sizes = np.array([len(self.words), len(self.moves), len(self.link)], "<i8").tobytes()
-        arrays = [np.fromiter(self.moves.keys(), "<i8"), np.fromiter(self.moves.values(), "<i4"),
-                  np.array(self.link, "<i4"), np.array(self.length, "<i4")]
-        return zstandard.compress(b"".join([sizes, *(a.tobytes() for a in arrays), b" ".join(self.words)]), 3)
+        names: dict[bytes, int] = {}
+        words = [names.setdefault(w, len(names)) for moves in self.step for w in moves]
+        arrays = [[len(self.link), len(words)], self.link, self.length, list(map(len, self.step)),
+                  [u for moves in self.step for u in moves.values()], words]
+        return b"".join([*(np.array(a, "<i4").tobytes() for a in arrays), b" ".join(names)])
 
     @classmethod
-    def from_bytes(cls, block: bytes) -> Automaton:
-        raw, at, arrays = zstandard.decompress(block), 24, []
-        _, m, s = np.frombuffer(raw, "<i8", 3).tolist()
-        for kind, n in (("<i8", m), ("<i4", m), ("<i4", s), ("<i4", s)):
-            arrays.append(np.frombuffer(raw, kind, n, at).tolist())
-            at += n * np.dtype(kind).itemsize
-        words = {w: i for i, w in enumerate(raw[at:].split(b" "))}
-        return cls(words, dict(zip(arrays[0], arrays[1], strict=True)), arrays[2], arrays[3])
+    def from_bytes(cls, raw: bytes) -> Automaton:
+        states, moves = np.frombuffer(raw, "<i4", 2).tolist()
+        at, arrays = 8, []
+        for n in (states, states, states, moves, moves):
+            arrays.append(np.frombuffer(raw, "<i4", n, at).tolist())
+            at += 4 * n
+        link, length, sizes, to, names = arrays
+        words = raw[at:].split(b" ")
+        pairs = zip([words[i] for i in names], to, strict=True)
+        return cls([dict(islice(pairs, n)) for n in sizes], link, length)
 
     def statistics(self, words: list[bytes]) -> Iterator[int]:
         """For each word, the length of the longest kept string that ends with it."""
-        names, moves, link, length, n = self.words, self.moves, self.link, self.length, len(self.words)
+        step, link, length = self.step, self.link, self.length
         state = known = 0
         for w in words:
-            name = names.get(w)
-            if name is None:
-                state = known = 0
+            while (to := step[state].get(w)) is None and state:
+                state = link[state]
+                known = length[state]
+            if to is None:
+                known = 0
             else:
-                while (to := moves.get(state * n + name)) is None and state:
-                    state = link[state]
-                    known = length[state]
-                if to is None:
-                    known = 0
-                else:
-                    state, known = to, known + 1
+                state, known = to, known + 1
             yield known
 
 
-def _extend(step: list[dict], link: list[int], length: list[int], count: list[int], last: int, word: int) -> int:
-    """Append a word to the string of state `last`; the state of the longer string."""
-    at = step[last].get(word)
-    if at is None:
-        new = len(step)
-        step.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        count.append(0)
-        while last >= 0 and word not in step[last]:
-            step[last][word] = new
-            last = link[last]
-        if last >= 0:
-            at = step[last][word]
-            link[new] = at if length[at] == length[last] + 1 else _split(step, link, length, count, last, word, at)
-        return new
-    return at if length[at] == length[last] + 1 else _split(step, link, length, count, last, word, at)
-
-
-def _split(step: list[dict], link: list[int], length: list[int], count: list[int], last: int, word: int, at: int) -> int:
+class Shard:
+    """What repeats in a range of grams: an automaton, and regions that are alone with their gram as a whole.
+
+    A region without another of its gram can only repeat in its own copies.
+    """
+
+    def __init__(self, block: bytes):
+        n = int.from_bytes(block[:8], "little")
+        self.alone = set(zstandard.decompress(block[8:8 + n]).split(b"\n"))
+        self.automaton = Automaton.from_bytes(zstandard.decompress(block[8 + n:])) if len(block) > 8 + n else None
+
+    @staticmethod
+    def block(rows: list[tuple[int, bytes, int]], length: int) -> bytes:
+        """Of rows (key, words, occurrences); empty if nothing repeats."""
+        kinds = Counter(key for key, _, _ in rows)
+        alone = [words for key, words, n in rows if kinds[key] == 1 and n > 1]
+        made = Automaton.build([(words.split(b" "), n) for key, words, n in rows if kinds[key] > 1], length)
+        if not alone and not made:
+            return b""
+        first = zstandard.compress(b"\n".join(alone), 3)      # no word holds a line feed
+        return len(first).to_bytes(8, "little") + first + (zstandard.compress(made.to_bytes(), 3) if made else b"")
+
+    def covers(self, words: bytes, length: int) -> list[tuple[int, int]]:
+        """Maximal runs of covered words of a region."""
+        if words in self.alone:
+            return [(0, words.count(b" ") + 1)]
+        if not self.automaton:
+            return []
+        return merged([(e - length, e) for e, n in enumerate(self.automaton.statistics(words.split(b" ")), 1) if n >= length])
+
+
+def _split(step: list[dict], link: list[int], length: list[int], count: list[int], last: int, word: bytes,
+           at: int) -> int:
     """A state of its own for the strings of `at` that are reached from `last`."""
     new = len(step)
     step.append(step[at].copy())
@@ -304,37 +336,44 @@ def _windows(texts: DataFrame, wide: DataFrame, length: int) -> DataFrame:
 
 
 def _strings(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
-    """(shard, k, first, words): the regions with their words, the rows of a shard side by side."""
-    schema = pa.schema([("shard", pa.int32()), ("k", pa.binary()), ("first", pa.int32()), ("words", pa.binary())])
+    """(shard, key, k, first, words, wave): the regions with their words, the rows of a shard side by side.
+
+    Stored by wave; a large shard is split between tasks.
+    """
+    schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("k", pa.binary()), ("first", pa.int32()),
+                        ("words", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            shard, at, first, strings = [], [], [], []
+            shard, keys, at, first, strings = [], [], [], [], []
             for i, (text, found) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 words = text.split()
                 for r in found:
-                    shard.append((r["key"] & (1 << 64) - 1) * shards >> 64)
+                    key, start, size = r["key"], r["first"], r["size"]
+                    shard.append((key * _PRIME & (1 << 64) - 1) * shards >> 64)     # anchors have small hashes
+                    keys.append(key)
                     at.append(i)
-                    first.append(r["first"])
-                    strings.append(b" ".join(words[r["first"]:r["first"] + r["size"]]))
-            yield batch(schema, shard, b.column(0).take(pa.array(at, pa.int64())), first, strings)
+                    first.append(start)
+                    strings.append(b" ".join(words[start:start + size]))
+            yield batch(schema, shard, keys, b.column(0).take(pa.array(at, pa.int64())), first, strings)
 
     made = map_arrow(texts.select("k", "t").join(found.hint("shuffle_hash"), "k"), run, schema)
-    return stored(made.repartitionByRange("shard", "k", "first"))
+    wave = F.floor(F.col("shard") / WAVE_SHARDS).cast("int")
+    return stored(made.withColumn("wave", wave).hint("rebalance", "shard").sortWithinPartitions("wave", "shard"), "wave")
 
 
-def _automata(strings: DataFrame, length: int) -> DataFrame:
+def _automata(strings: DataFrame, shards: int, length: int) -> DataFrame:
     """(shard, block, size) of the shards with a repeat."""
     schema = pa.schema([("shard", pa.int32()), ("block", pa.binary()), ("size", pa.int64())])
 
     def build(t: pa.Table) -> pa.Table:
-        rows = [(w.split(b" "), n) for w, n in zip(t.column("words").to_pylist(), t.column("n").to_pylist(), strict=True)]
-        made = Automaton.build(rows, length)
-        block = made.to_bytes() if made else b""
+        block = Shard.block(list(zip(*(t.column(c).to_pylist() for c in ("key", "words", "n")), strict=True)), length)
         return pa.table([t.column("shard").combine_chunks()[:1], [block], [len(block)]], schema=schema)
 
-    distinct = strings.groupBy("shard", "words").agg(F.count("*").alias("n"))
-    return stored(distinct.groupBy("shard").applyInArrow(build, "shard int, block binary, size long").where("size > 0"))
+    distinct = strings.groupBy("shard", "key", "words").agg(F.count("*").alias("n"))
+    parts = max(shuffle_partitions(strings.sparkSession), shards)
+    blocks = distinct.repartition(parts, "shard").groupBy("shard").applyInArrow(build, "shard int, block binary, size long")
+    return stored(blocks.where("size > 0"))
 
 
 def _waves(automata: DataFrame, shards: int, limit: int) -> Iterator[dict[int, bytes]]:
@@ -358,32 +397,26 @@ def _stream(strings: DataFrame, wave: dict[int, bytes], length: int, path: str)
     schema = pa.schema([("k", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Batches) -> Batches:
-        made: dict[int, Automaton] = {}
-        known: dict[bytes, list] = {}
+        at_shard, made, known = -1, None, {}
         for b in batches:
             at, starts, ends = [], [], []
             for i, (shard, first, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-                key = xxhash.xxh128_digest(raw)
-                cover = known.get(key)
+                if shard != at_shard:                   # rows come by shard
+                    at_shard, made, known = shard, Shard(shared.value[shard]), {}
+                cover = known.get(raw)
                 if cover is None:
-                    if shard not in made:
-                        # Rows come by shard: few are open at a time.
-                        if len(made) > 1:
-                            made.clear()
-                        made[shard] = Automaton.from_bytes(shared.value[shard])
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    cover = known[key] = merged([(e - length, e) for e, n in enumerate(
-                        made[shard].statistics(raw.split(b" ")), 1) if n >= length])
+                    cover = known[raw] = made.covers(raw, length)
                 for a, z in cover:
                     at.append(i)
                     starts.append(first + a)
                     ends.append(first + z)
             yield batch(schema, b.column(1).take(pa.array(at, pa.int64())), starts, ends)
 
-    rows = strings.where(F.col("shard").isin(list(wave)))
+    rows = strings.where((F.col("wave") == min(wave) // WAVE_SHARDS) & F.col("shard").isin(list(wave)))
     map_arrow(rows.select("shard", "k", "first", "words"), run, schema).write.parquet(path)
-    shared.unpersist()
+    shared.destroy()
 
 
 def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE, shard_words: int = SHARD_WORDS,
@@ -394,7 +427,7 @@ def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int
     shards = max(1, -(-words // shard_words))
     strings = _strings(texts, found, shards)
     path, waves = f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}", 0
-    for wave in _waves(_automata(strings, length), shards, wave_bytes):
+    for wave in _waves(_automata(strings, shards, length), shards, wave_bytes):
         _stream(strings, wave, length, f"{path}/wave={waves}")
         waves += 1
     if not waves:

@@ -27,10 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: computed once, safe from lost executors."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """df written to the shared folder, in folders of `by`, and read back: computed once, safe from lost executors."""
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
