@@ -401,3 +401,17 @@ def triage_report(spark, sf):
         F.array_join(F.slice(steps, 1, 5), ";").alias("first_steps"), F.sha2(note, 256).alias("note_digest"))
 
 
+@query(f"""WITH {S.INC} SELECT external_id, '[Final RCA]' || chr(10) || 'Root cause: ' || coalesce(service, 'none') || chr(10)
+  || 'Category: ' || flow || chr(10) || 'Confidence: ' || CAST(round_even((incident_key % 101) / 100.0::DOUBLE * 100, 0) AS INT) || '%' || chr(10)
+  || 'Rollback required: ' || CASE WHEN incident_key % 2 = 0 THEN 'YES — target: ' || CASE WHEN incident_key % 3 = 0 THEN 'latest' ELSE 'v' || incident_key END
+    ELSE 'No' END || chr(10) || chr(10) || 'Resolution steps:' || chr(10)
+  || array_to_string(list_transform(range(1, least(incident_key % 8, 5) + 1), lambda i: i || '. step ' || i), chr(10)) AS note FROM inc""")
+def rca_final_note(spark, sf):
+    """The closing note; incidents have 0 to 7 steps, of which five are shown."""
+    i = D.incidents(spark, sf)
+    k = F.col("incident_key")
+    steps = F.transform(F.when(k % 8 > 0, F.sequence(F.lit(1).cast("bigint"), k % 8)).otherwise(F.array().cast("array<bigint>")),
+                        lambda n: F.concat(F.lit("step "), n.cast("string")))
+    note = rootcause.final_note(F.coalesce("service", F.lit("none")), F.col("flow"), (k % 101) / F.lit(100.0), k % 2 == 0,
+                                F.when(k % 3 != 0, F.concat(F.lit("v"), k.cast("string"))), steps)
+    return i.select("external_id", note.alias("note"))

@@ -1,5 +1,7 @@
 """SQL twins of the domain mapping (sources/domain.py) as reusable table expressions."""
 
+from triagelake.functions.text import SCRUB_RULES
+
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -89,20 +91,8 @@ def words(c: str) -> str:
     return rf"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
 
 
-SCRUB = [
-    (r"\bMRN[-:\s]?\d{4,12}\b", "[MRN REDACTED]"),
-    (r"\bDOB[-:\s]?\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "[DOB REDACTED]"),
-    (r"\bNPI[-:\s]?\d{10}\b", "[NPI REDACTED]"),
-    (r"\bICD-?1[01][-:\s]?[A-Z]\d+\.?\w*\b", "[DIAGNOSIS-CODE REDACTED]"),
-    (r"\b(patient|pt|member)\s*id[-:\s]?\w+\b", "[PATIENT-ID REDACTED]"),
-    (r"\b(member|patient)\s+id[-:\s]+\d{6,}\b", "[PATIENT-ID REDACTED]"),
-    (r"\b\d{3}-\d{2}-\d{4}\b", "[ID REDACTED]"),
-    (r"\b(member|patient)\s+\w+\s+\d{6,}\b", "[PATIENT-ID REDACTED]"),
-]
-
-
 def scrub(c: str) -> str:
-    for p, m in SCRUB:
+    for p, m in SCRUB_RULES:
         c = f"regexp_replace({c}, '{p}', '{m}', 'gi')"
     return c
 

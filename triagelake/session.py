@@ -45,11 +45,16 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    It is what the cluster names in spark.checkpoint.dir; where that is unset (in
-    tests), a folder in the warehouse, which is shared as well.
+    It is what the cluster names in spark.checkpoint.dir; where that is unset, a folder
+    in the warehouse. A warehouse on the machine's own disk will do for a local master only.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if root:
+        return root
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{warehouse}/_scratch"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
