@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -90,6 +91,14 @@ def test_op7(spark, folder, monkeypatch, frequent):
     assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_op7_with_texts_of_equal_hash(spark, folder, monkeypatch):
+    monkeypatch.setattr(suffixes, "text_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    want = [(r[0], *w) for r, w in zip(X.rows(), X.covered([r[1] for r in X.rows()], 200))]
+    got = result(spark, "op7_suffix_dedup", folder)
+    assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
 def check_packing(got, ids):
     """Every id in one piece, sequences gapless and within the capacity."""
     whole, sequences = {}, {}

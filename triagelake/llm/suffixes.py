@@ -2,8 +2,9 @@
 
 A sparse suffix array, sorted by a distributed merge sort that uses common prefixes:
 
-1. Texts are grouped by a 64-bit hash (checked), so that copies are looked at once,
-   and stored in buckets of that hash: later joins move no text.
+1. Texts are grouped by a 64-bit hash, so that copies are looked at once, and stored
+   in buckets of that hash: later joins move no text. A checksum tells texts of equal
+   hash apart; they get numbers of their own.
 2. Anchors: in every window of `length` bytes the gram with the smallest hash (the
    leftmost of equals). Equal windows have their anchor at the same place, so a
    window can only repeat if the gram of its anchor does. Gram counts cover all texts.
@@ -28,12 +29,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.llm.common import Batches, batch, map_arrow, shuffle_partitions, stored, text_bytes
@@ -358,19 +360,45 @@ def _merge_runs(runs: DataFrame, length: int, gram: int) -> DataFrame:
 
 # ---- the whole ---------------------------------------------------------------------
 
-def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(k, t, n) of the distinct texts with their numbers of rows, stored in buckets of k."""
-    spark, text = docs.sparkSession, text_bytes(text_col)
-    rows = docs.select(text.alias("t")).select(F.xxhash64("t").alias("k"), "t", F.crc32("t").alias("c"))
-    distinct = rows.groupBy("k").agg(F.first("t").alias("t"), F.count("*").alias("n"), F.min("c").alias("c"),
-                                     F.max("c").alias("d"))
-    name = f"texts_{uuid.uuid4().hex}"
-    distinct.write.option("compression", "zstd").bucketBy(shuffle_partitions(spark), "k").saveAsTable(name)
-    table = spark.table(name)
-    if table.where("c <> d").limit(1).count():
-        raise ValueError("two texts have the same 64-bit hash")
-    return table.select("k", "t", "n")
+# ---- texts -------------------------------------------------------------------------
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+@contextmanager
+def _distinct_texts(docs: DataFrame, text_col: str):
+    """(k, h, c, t, n) of the distinct texts with their numbers of rows, in buckets of k; dropped at the end.
+
+    A text is known by its hash h and its checksum c, 96 bits. k is h; where different
+    texts share h, they are counted again, each under a number of its own.
+    """
+    spark, name = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
+    rows = docs.select(text_bytes(text_col).alias("t")).select(text_hash(F.col("t")).alias("h"), F.crc32("t").alias("c"), "t")
+
+    def write(df: DataFrame) -> None:
+        df.select("k", "h", "c", "d", "t", "n").write.mode("append").option("compression", "zstd").bucketBy(
+            shuffle_partitions(spark), "k").saveAsTable(name)
+
+    one = [F.first("t").alias("t"), F.count("*").alias("n")]
+    try:
+        write(rows.withColumnRenamed("h", "k").groupBy("k").agg(F.min("c").alias("c"), F.max("c").alias("d"), *one)
+              .withColumn("h", F.col("k")))
+        table = spark.table(name)
+        shared = stored(table.where("c <> d").select("h"))
+        if not shared.isEmpty():
+            apart = rows.join(shared, "h", "left_semi").groupBy("h", "c").agg(*one)
+            write(apart.withColumn("k", F.xxhash64("h", "c")).withColumn("d", F.col("c")))
+            spark.catalog.refreshTable(name)
+            table = spark.table(name)
+            if not table.where("c = d").groupBy("k").agg(F.count("*").alias("m")).where("m > 1").isEmpty():
+                raise ValueError("two texts share three hashes")
+        yield table.where("c = d").select("k", "h", "c", "t", "n")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+# ---- spans -------------------------------------------------------------------------
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """texts (k, t) -> (k, spans): intervals of repeated windows, unmerged."""
@@ -408,16 +436,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
           gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
-    texts = _distinct_texts(docs, text_col)
-    spans = repeated_spans(texts, length, gram)
-    fields = [("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-              ("kept_sha256", pa.string())]
+    fields = [("_h", pa.int64()), ("_c", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+              ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + ([("kept", pa.binary())] if with_text else []))
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             out = []
-            for k, t, n, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, c, t, n, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if n > 1 and len(t) >= length:
                     cut = [(0, len(t))]
                 else:
@@ -427,12 +453,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                     kept.append(t[at:a])
                     at = z
                 rest = b"".join([*kept, t[at:]]) if cut else t
-                row = (k, len(t), len(t) - len(rest), len(cut), hashlib.sha256(rest).hexdigest())
+                row = (h, c, len(t), len(t) - len(rest), len(cut), hashlib.sha256(rest).hexdigest())
                 out.append((*row, rest) if with_text else row)
             if out:
                 yield batch(schema, *zip(*out, strict=True))
 
-    digests = map_arrow(texts.join(spans.hint("shuffle_hash"), "k", "left").select("k", "t", "n", "spans"), run, schema)
-    rows = docs.select(id_col, F.xxhash64(text_bytes(text_col)).alias("_k"))
-    named = stored(digests).withColumnRenamed("k", "_k")
-    return rows.join(named, "_k").drop("_k")
+    with _distinct_texts(docs, text_col) as texts:
+        spans = repeated_spans(texts, length, gram)
+        digests = stored(map_arrow(texts.join(spans.hint("shuffle_hash"), "k", "left").select("h", "c", "t", "n", "spans"),
+                                   run, schema))
+    text = text_bytes(text_col)
+    rows = docs.select(id_col, text_hash(text).alias("_h"), F.crc32(text).alias("_c"))
+    return rows.join(digests, ["_h", "_c"]).drop("_h", "_c")
