@@ -266,6 +266,37 @@ def test_ranking_separates(spark):
     assert (quality.rank(x[:0], np.zeros(0, bool)).scores(x[:2]) == 0.5).all()
 
 
+def test_ranking_is_the_least_pairwise_loss():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, quality.WIDTH))
+    good = x[:, 0] + rng.normal(size=60) > 0
+    r = quality.rank(x, good, 500, seed=5)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    again = np.random.default_rng(5)
+    pairs = list(zip(again.choice(np.flatnonzero(good), 500), again.choice(np.flatnonzero(~good), 500), strict=True))
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(z[a] - z[b]) @ w)) for a, b in pairs) / 500 + quality.RIDGE / 2 * w @ w
+
+    least = loss(r.weights)
+    for i in range(quality.WIDTH):
+        for step in (-1e-3, 1e-3):
+            assert loss(r.weights + step * np.eye(quality.WIDTH)[i]) > least
+
+
+def test_the_fit_sees_a_bounded_number_of_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "rank", lambda x, good, pairs: seen.append(len(x)))
+    # One id holds a third of all rows, another a third under ever new vectors.
+    x = F.transform(F.sequence(F.lit(1), F.lit(quality.WIDTH)), lambda i: (F.col("v") * i).cast("float"))
+    table = (spark.range(3000).select(F.greatest(F.col("id") - 2000, F.lit(0)).alias("doc_id"), F.when(
+        F.col("id") < 1000, 0).otherwise(F.col("id")).alias("v")).select("doc_id", x.alias("x")))
+    labels = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    quality.fit(table, labels, sample_rows=300)
+    quality.fit(table, labels, sample_rows=5000)
+    assert 120 < seen[0] < 400 and seen[1] == 2001
+
+
 def brute_neighbours(rows, queries, k):
     good = [(i, np.array(v, float)) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)
             and len(v) == 8]
