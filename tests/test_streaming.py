@@ -6,6 +6,8 @@ import json
 from pyspark.sql import functions as F
 
 from triagelake.operators import routing, runstate
+from triagelake.sources import sinks
+from triagelake.sources.eventlog import EventLog
 from triagelake.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -150,3 +152,65 @@ def test_live_counters_equal_batch(spark, tmp_path):
     assert last == want and min(a for _, a in want.values()) == 0
     few = drain(jobs.live_counters(e, 200, open_buckets=3), tmp_path, "update", "few")
     assert max((r.bucket, r.completed_total, r.active) for r in few)[1:] == max((b, *v) for b, v in want.items())[1:]
+
+
+def test_retention_equals_batch(spark, tmp_path):
+    """The changes of the stream sum to the rows of the batch form; a hot run, ties, repeated and late rows."""
+    import random
+    from collections import Counter
+    rnd = random.Random(8)
+    rows = [{"event_id": i % 380, "ts": at(rnd.randint(0, 60) + i), "run_id": 1 if i % 3 == 0 else i % 7} for i in range(400)]
+    src = files(tmp_path / "in", [rows[i:i + 80] for i in range(0, 400, 80)])
+    e = jobs.read_events(spark, src, EVENT, files_per_trigger=1)
+    net: Counter = Counter()
+    for r in drain(jobs.retain_per_run(e, 10), tmp_path):
+        net[r.run_id, r.event_id, r.ts] += r.change
+    batch = sinks.retain_per_run(spark.read.schema(EVENT).json(src).select("run_id", "event_id", "ts").distinct(), 10).collect()
+    assert set(net.values()) <= {0, 1}
+    assert {k for k, n in net.items() if n} == {(r.run_id, r.event_id, r.ts) for r in batch}
+
+
+def test_retention_drops_idle_runs(spark, tmp_path):
+    groups = [[{"event_id": 1, "ts": at(0), "run_id": 1}], [{"event_id": 2, "ts": at(9000), "run_id": 2}],
+              [{"event_id": 3, "ts": at(9100), "run_id": 2}]]
+    e = jobs.read_events(spark, files(tmp_path / "in", groups), EVENT, files_per_trigger=1)
+    got = sorted((r.run_id, r.event_id, r.change) for r in drain(jobs.retain_per_run(e), tmp_path))
+    assert got == [(1, 1, -1), (1, 1, 1), (2, 2, 1), (2, 3, 1)]
+
+
+def log_part(path, name, ids, rows=10):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    path.mkdir(exist_ok=True)
+    pq.write_table(pa.table({"event_id": pa.array(ids, pa.int64()), "event": [f"e{i}" for i in ids]}), path / name, row_group_size=rows)
+
+
+def test_event_log_from_an_id_and_after_a_restart(spark, tmp_path):
+    spark.dataSource.register(EventLog)
+    log_part(tmp_path / "log", "a.parquet", range(100))
+    log_part(tmp_path / "log", "b.parquet", range(100, 130))
+
+    def run(**options):
+        # A new reader each time; the checkpoint has the last id.
+        return sorted((r.event_id, r.event) for r in drain(
+            spark.readStream.format("event_log").options(path=str(tmp_path / "log"), **options).load(), tmp_path,
+            name="log" + str(options.get("after", ""))))
+
+    entry = lambda i: (i, f"e{i}")                                                  # noqa: E731
+    assert run(after=41) == [entry(i) for i in range(42, 130)]
+    assert run(after=41) == []
+    log_part(tmp_path / "log", "c.parquet", range(125, 150))
+    assert run(after=41) == [entry(i) for i in range(130, 150)]
+    assert run() == sorted([*map(entry, range(130)), *map(entry, range(125, 150))])
+    assert run(after=500) == []
+
+
+def test_event_log_opens_the_wanted_row_groups_only(tmp_path):
+    from triagelake.sources.eventlog import EventLogReader
+    log_part(tmp_path / "log", "a.parquet", range(100))
+    log_part(tmp_path / "log", "empty.parquet", [])
+    r = EventLogReader({"path": str(tmp_path / "log"), "after": "41"}, ["event_id"])
+    assert r.initialOffset() == {"id": 41} and r.latestOffset() == {"id": 99}
+    parts = r.partitions({"id": 41}, {"id": 59})
+    assert [p.group for p in parts] == [4, 5]
+    assert [i for p in parts for b in r.read(p) for i in b.column(0).to_pylist()] == list(range(42, 60))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from triagelake import schemas
 from triagelake.operators import routing
 from triagelake.operators.runstate import RUN_OF_EVENT
-from triagelake.sources.sinks import append_batch
+from triagelake.sources.sinks import EXPIRE_SECONDS, KEEP_PER_RUN, append_batch
 
 TTL_SECONDS, IDLE_SECONDS = 300, 3600       # fixed values: lock time, context expiry
 SEEN_SECONDS = 24 * 3600                    # how long a polled number stays known
@@ -220,6 +220,35 @@ def run_state(events: DataFrame, idle_seconds: int = IDLE_SECONDS, watermark: st
             .applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout))
 
 
+def retain_per_run(events: DataFrame, keep: int = KEEP_PER_RUN, expire_seconds: int = EXPIRE_SECONDS,
+                   watermark: str = "10 minutes") -> DataFrame:
+    """(run_id, event_id, ts, change): 1 for an entry that is kept from now on, -1 for one that no longer is.
+
+    The entries whose changes sum to 1 are those the batch form keeps. The state of a
+    run is at most `keep` pairs of instant and id; an event-time timer drops the
+    entries of a run that was idle for `expire_seconds`."""
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        old = [tuple(e) for e in json.loads(state.get[0])] if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            new = []
+        else:
+            new = old
+            for pdf in frames:
+                came = zip((pdf["ts"].astype("datetime64[us]").astype("int64")).tolist(), pdf["event_id"].tolist(), strict=True)
+                new = sorted({*new, *came}, reverse=True)[:keep]
+            state.update((json.dumps(new),))
+            due = new[0][0] // 1000 + expire_seconds * 1000
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        gone, came = set(old) - set(new), set(new) - set(old)
+        rows = [(key[0], e, pd.Timestamp(us, unit="us"), c) for found, c in ((gone, -1), (came, 1)) for us, e in sorted(found)]
+        yield pd.DataFrame(rows, columns=["run_id", "event_id", "ts", "change"])
+
+    return (events.select("run_id", "event_id", "ts").withWatermark("ts", watermark).groupBy("run_id")
+            .applyInPandasWithState(step, "run_id bigint, event_id bigint, ts timestamp, change int", "kept string", "append",
+                                    GroupStateTimeout.EventTimeTimeout))
+
+
 def volume(events: DataFrame, width: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Completed and failed runs per tumbling window."""
     return (events.withWatermark("ts", watermark).groupBy(F.window("ts", width)).agg(
