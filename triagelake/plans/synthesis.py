@@ -20,12 +20,13 @@ from triagelake.functions import scoring, text
 from triagelake.functions.vectors import unit
 from triagelake.operators import articles, blocks, cleaning, clusters, density, documents
 from triagelake.operators.keyed import latest_per_key
-from triagelake.session import cut_lineage
+from triagelake.session import cut_counted, cut_lineage
 from triagelake.sources.readers import CLOSED_STATE, closed_incident_scan
 from triagelake.sources.sinks import SnapshotTable
 
 COUNTERS = ["extracted", "filtered", "clustered", "created", "updated", "flagged_for_review", "retired",
             "skipped"]
+OUTCOMES = {"created": "create", "updated": "update", "flagged_for_review": "review"}
 
 
 @dataclass
@@ -66,6 +67,10 @@ class KnowledgeBase:
         self.decisions = SnapshotTable(spark, f"{root}/kb_synthesis_decisions", t["kb_synthesis_decisions"])
 
 
+def _rows():
+    return F.count(F.lit(1))
+
+
 def with_sources(kb: KnowledgeBase, rows: DataFrame) -> DataFrame:
     """Article rows with their sorted list of source incidents, as an export needs it."""
     ids = kb.sources.read().join(rows.select(F.col("id").alias("article_id")), "article_id", "left_semi")
@@ -130,13 +135,12 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
     # An extract without a state column holds closed rows only.
     typed = closed.withColumn("_closed", F.try_to_timestamp("closed_at", F.lit("yyyy-M-d H:m:s")))
     typed = typed if "state" in closed.columns else typed.withColumn("state", F.lit(CLOSED_STATE))
-    raw = cut_lineage(closed_incident_scan(typed, start, end, closed_at="_closed").drop("_closed"))
-    clean = cut_lineage(cleaning.quality_gate(cleaning.prepare_incidents(raw), s.quality_floor))
-    counts["extracted"] = raw.count()
-    kept = clean.count()
-    counts["filtered"] = counts["extracted"] - kept
+    raw, seen = cut_counted(closed_incident_scan(typed, start, end, closed_at="_closed").drop("_closed"), extracted=_rows())
+    counts.update(seen)
+    clean, seen = cut_counted(cleaning.quality_gate(cleaning.prepare_incidents(raw), s.quality_floor), kept=_rows())
+    counts["filtered"] = counts["extracted"] - seen["kept"]
     lap("filter")
-    if kept == 0:
+    if seen["kept"] == 0:
         return
 
     # 5: vectors
@@ -151,10 +155,10 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
     members = cut_lineage(density.cluster_per_team(
         named, "number", "vec", "team", s.min_cluster_size, s.min_samples, s.allow_single_cluster))
     measured = clusters.cohesion(members)
-    good = cut_lineage(clusters.quality_gate(measured, s.min_cohesion)
-                       .join(clusters.signatures(members), "cluster"))
+    good, seen = cut_counted(clusters.quality_gate(measured, s.min_cohesion)
+                             .join(clusters.signatures(members), "cluster"), clustered=_rows())
+    counts.update(seen)
     members = cut_lineage(members.join(good.select("cluster"), "cluster", "left_semi"))
-    counts["clustered"] = good.count()
     lap("cluster")
     if counts["clustered"] == 0:
         _retire(kb, recommendations, as_of, s, counts, kb.articles.read())
@@ -167,9 +171,9 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
         clean.select("number", "short_description", "description", "close_notes", "close_code"), "number"))
     made = (articles.generate(articles.synthesis_prompts(reps), s.generator, parallel=s.parallel_calls)
             if s.generator else articles.extractive_articles(reps))
-    made = cut_lineage(articles.validate_articles(made).join(good, "cluster"))
+    made, seen = cut_counted(articles.validate_articles(made).join(good, "cluster"), skipped=F.count_if(~F.col("valid")))
+    counts.update(seen)
     skipped = made.where(~F.col("valid"))
-    counts["skipped"] = skipped.count()
     lap("synthesize")
 
     # 10-12: dedup against the stored articles and the ones created earlier in this run
@@ -177,12 +181,10 @@ def _run(spark, closed, kb, start, end, s, recommendations, run_id, counts, dura
     arts = embed(embed(arts, "title_text", "embedding_title"), "full_text", "embedding_full")
     arts = cut_lineage(arts.withColumn("u", unit(F.col("embedding_title"))))
     stored = kb.articles.read()
-    decided = _decide(arts, stored)
+    decided, seen = cut_counted(_decide(arts, stored), **{
+        counter: F.count_if(F.col("decision") == decision) for counter, decision in OUTCOMES.items()})
+    counts.update(seen)
     fresh = decided.join(arts, "signature")
-    outcome = {r["decision"]: r["n"] for r in decided.groupBy("decision").agg(F.count("*").alias("n")).collect()}
-    counts["created"] = outcome.get("create", 0)
-    counts["updated"] = outcome.get("update", 0)
-    counts["flagged_for_review"] = outcome.get("review", 0)
 
     stored_now = fresh.where(F.col("decision") != "review")
     incoming = _article_rows(stored_now, s, run_id, as_of)
@@ -259,9 +261,9 @@ def _log_decisions(kb, decided, skipped, merged, run_id, as_of) -> None:
 
 def _retire(kb, recommendations, as_of, s, counts, current) -> None:
     view = current.withColumnRenamed("id", "article_id")
-    gone = cut_lineage(articles.retired_articles(view, recommendations, as_of, s.retire_months, s.retire_count,
-                                                 s.retire_below).select("article_id"))
-    counts["retired"] = gone.count()
+    gone, seen = cut_counted(articles.retired_articles(view, recommendations, as_of, s.retire_months, s.retire_count,
+                                                       s.retire_below).select("article_id"), retired=_rows())
+    counts.update(seen)
     out = articles.retire(view, gone, as_of).withColumnRenamed("article_id", "id")
     kb.articles.commit(out.select(*current.columns))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 RUNTIME_CONF = {
     # One clock for every timestamp; AQE re-plans joins, splits skewed ones and
@@ -68,3 +68,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
+
+
+def cut_counted(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """A reliable checkpoint and aggregates of its rows, observed while it is written."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, *[c.alias(name) for name, c in measures.items()]))
+    return cut, seen.get
