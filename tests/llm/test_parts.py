@@ -1,8 +1,10 @@
 """Parts of the operators on their own."""
 
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -402,6 +404,51 @@ def test_every_letter_as_the_library(name):
         assert ours.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, hex(ord(c))
 
 
+def plain_language(train, text):
+    """Posterior by the definition: word counts, else the longest known gram at each place of a word."""
+    langs = sorted({lang for _, lang in train})
+    words = {lang: Counter(w for t, one in train if one == lang for w in langid.words_of(t)) for lang in langs}
+    known = {w for lang in langs for w, n in words[lang].items() if n > 1}
+    grams = {lang: Counter() for lang in langs}
+    for lang in langs:
+        for w, n in words[lang].items():
+            p = f"<{w}>"
+            for g in {p[a:z] for a in range(len(p)) for z in range(a + 1, min(len(p), a + 4) + 1)}:
+                grams[lang][g] += n
+
+    def log_share(counts, item, kind):
+        totals = {lang: sum(n for i, n in counts[lang].items() if kind(i)) for lang in langs}
+        return [math.log(counts[lang][item] / max(totals[lang], 1) + 0.1 / max(totals.values())) for lang in langs]
+
+    total = [0.0] * len(langs)
+    for w in langid.words_of(text):
+        if w in known:
+            one = log_share(words, w, known.__contains__)
+        else:
+            p, one = f"<{w}>", [0.0] * len(langs)
+            for i in range(len(p)):
+                g = next((p[i:z] for z in range(min(len(p), i + 4), i, -1) if any(p[i:z] in grams[x] for x in langs)), None)
+                if g:
+                    rows = log_share(grams, g, lambda x, n=len(g): len(x) == n)
+                    one = [a + b + (4 - len(g)) * math.log(0.4) for a, b in zip(one, rows)]
+            one = [a / len(p) for a in one]
+        total = [a + b for a, b in zip(total, one)]
+    best = max(range(len(langs)), key=lambda i: total[i])
+    return langs[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+
+def test_language_by_the_definition(spark):
+    rnd = random.Random(12)
+    train = [(X.prose(rnd, 12), "en") for _ in range(12)] + [(X.prose(rnd, 12, "äöüßchgn"), "de") for _ in range(5)] \
+        + [(X.prose(rnd, 12, "abcxyz"), "xx") for _ in range(7)]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    texts = [X.prose(rnd, 3, letters) for letters in ("äöüßchgn", "abcxyz", "chgnxa", "eèq") for _ in range(4)]
+    texts += [train[0][0], train[15][0] + " " + train[20][0], "Ω", "a", "zzzzzz ß"]
+    for text, (lang, score) in zip(texts, model.predict(texts), strict=True):
+        want, p = plain_language(train, text)
+        assert lang == want and abs(score - p) < 1e-9
+
+
 def test_a_rare_language_keeps_its_words(spark):
     """A language with a hundredth of the rows has tables of its own; copies of one text are thinned with the sample."""
     rnd = random.Random(6)
