@@ -174,6 +174,25 @@ def test_tiles_are_matches_without_overlap(item, doc):
         used_d |= set(range(d, d + n))
 
 
+@given(st.integers(5, 60), st.lists(st.integers(1, 59), max_size=8), st.randoms(use_true_random=False))
+@settings(max_examples=300, deadline=None)
+def test_tiles_of_distinct_words_are_the_common_runs(n, cuts, rnd):
+    """Where no word is there twice no matches compete: the tiles are all common runs of seed length or more."""
+    ends = sorted({0, n, *(c for c in cuts if c < n)})
+    parts = [list(range(a, z)) for a, z in itertools.pairwise(ends)]
+    rnd.shuffle(parts)
+    doc = [w for p in parts if rnd.random() < 0.8 for w in [*p, *[-1] * rnd.randint(0, 2)]]
+    runs, at = [], 0
+    while at < len(doc):
+        z = at + 1
+        while z < len(doc) and doc[z] == doc[z - 1] + 1 and doc[at] >= 0:
+            z += 1
+        if doc[at] >= 0 and z - at >= tiling.SEED:
+            runs.append((z - at, doc[at], at))
+        at = z
+    assert sorted(tiling.tiles(np.arange(n), np.array(doc, np.int64))) == sorted(runs)
+
+
 def brute_offsets(group, strings, length):
     out = []
     windows = [{b: (left[:b], s[:length - b]) for b in range(len(left) + 1) if length - b <= len(s)}
