@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from triagelake.operators import articles, chat, intervals, keyed, loganalysis, routing, runstate
@@ -29,14 +30,37 @@ def ttl_events(n=400, seed=5):
     return rows
 
 
-def test_dedup_ttl_small_and_hot_path(spark):
-    rows = ttl_events()
+def dense_events(step, n=900, seed=8):
+    """One key with nearly all rows in a single segment, and a few others."""
+    rnd = random.Random(seed)
+    rows = [(i, "hot", T0 + dt.timedelta(seconds=i * step + rnd.randint(0, step))) for i in range(n)]
+    return rows + [(n + i, rnd.choice("ahiz"), T0 + dt.timedelta(seconds=rnd.randint(0, 3000))) for i in range(200)]
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 23])
+@pytest.mark.parametrize("rows", [ttl_events(), dense_events(1), dense_events(40), dense_events(170), []],
+                         ids=["mixed", "within", "dense", "sparse", "empty"])
+def test_dedup_ttl(spark, rows, partitions):
+    """Keys inside one partition, over some, and with many partitions inside one TTL."""
     df = spark.createDataFrame(rows, "id bigint, k string, ts timestamp")
     want = brute_ttl(rows, 300)
-    assert ("gap", 1003) in want and ("gap", 1001) not in want
-    for limit in (100_000, 10, 0):              # fold only, mixed, pointer doubling only
-        got = routing.dedup_ttl(df, "k", "ts", "id", 300, fold_limit=limit)
-        assert sorted((r.k, r.id) for r in got.collect()) == want, limit
+    if rows == ttl_events():
+        assert ("gap", 1003) in want and ("gap", 1001) not in want
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(before, (str(partitions), "false"), strict=True):
+            spark.conf.set(c, v)
+        got = routing.dedup_ttl(df, "k", "ts", "id", 300).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted((r.k, r.id) for r in got) == want
+
+
+def test_dedup_ttl_nulls_and_ties(spark):
+    rows = [(3, "k", T0), (2, "k", T0), (None, "k", T0), (4, None, T0), (5, "k", None), (6, "k", T0 + dt.timedelta(seconds=300))]
+    df = spark.createDataFrame(rows, "id bigint, k string, ts timestamp")
+    assert sorted((r.k, r.id) for r in routing.dedup_ttl(df, "k", "ts", "id", 300).collect()) == [("k", 2), ("k", 6)]
 
 
 def test_running_sum_slices(spark):

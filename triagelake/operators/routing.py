@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake import schemas
 from triagelake.functions import rules
 from triagelake.functions.evaluate import once
+from triagelake.operators import ttl
 from triagelake.operators.keyed import top_per_key
-from triagelake.session import cut_lineage
 
 EVENT_COLUMNS = ["source", "external_id", "severity", "flow", "title", "host", "service", "dedup_key"]
 
@@ -70,93 +70,12 @@ def unify(problems: DataFrame, tickets: DataFrame) -> DataFrame:
 
 # ---- dedup with a time to live -----------------------------------------------
 
-def dedup_ttl(events: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: int = 300,
-              fold_limit: int = 100_000) -> DataFrame:
+def dedup_ttl(events: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: int = 300) -> DataFrame:
     """Accepted events: the first per key, then the first at least TTL after the last accepted one.
 
-    Equal instants of a key collapse to the smallest id before anything is
-    grouped. Keys with at most `fold_limit` instants are folded in order inside
-    the JVM. Larger keys take `_dedup_hot`, which never gathers a key.
+    Equal instants of a key collapse to the smallest id before anything is sorted.
     """
-    ttl = ttl_seconds * 1_000_000
-    first = events.groupBy(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).agg(
-        F.min(id_col).alias(id_col))
-    sizes = first.groupBy(key).agg(F.count("*").alias("_n"))
-    small = first.join(sizes.where(F.col("_n") <= fold_limit), key, "left_semi")
-    hot = first.join(sizes.where(F.col("_n") > fold_limit), key, "left_semi")
-
-    # collect_list is bounded by fold_limit here.
-    seq = F.array_sort(F.collect_list(F.struct("_t", id_col)))
-    item = f"struct<_t:bigint,{id_col}:{dict(events.dtypes)[id_col]}>"
-    fold = F.aggregate(
-        F.col("_seq"),
-        F.struct(F.lit(None).cast("bigint").alias("last"),
-                 F.array().cast(f"array<{item}>").alias("kept")),
-        lambda acc, x: F.when(
-            acc["last"].isNull() | (x["_t"] - acc["last"] >= ttl),
-            F.struct(x["_t"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-        ).otherwise(acc))
-    kept_small = (small.groupBy(key).agg(seq.alias("_seq"))
-                       .select(key, F.explode(fold["kept"]).alias("_e"))
-                       .select(key, "_e._t", f"_e.{id_col}"))
-    if hot.isEmpty():
-        kept = kept_small
-    else:
-        kept = kept_small.unionByName(_dedup_hot(hot.select(key, "_t", id_col), key, id_col, ttl))
-    return kept.select(key, id_col, F.timestamp_micros("_t").alias(ts))
-
-
-def _dedup_hot(points: DataFrame, key: str, id_col: str, ttl: int) -> DataFrame:
-    """Exact TTL dedup for keys of any size.
-
-    Each instant points to its successor, the first instant at least TTL later,
-    found inside blocks one TTL wide. A block that starts at least TTL after
-    everything before it begins a chain. The accepted instants are those
-    reachable from a chain start, found by pointer doubling: log2(chain length)
-    joins spread over (key, instant), never over the key alone.
-    """
-    pts = points.withColumn("_b", F.floor(F.col("_t") / ttl))
-    blocks = pts.groupBy(key, "_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    along = Window.partitionBy(key).orderBy("_b")           # one row per non-empty block
-    blocks = blocks.select(key, "_b", "_lo", F.lag("_hi").over(along).alias("_prev_hi"))
-    heads = blocks.where(F.col("_prev_hi").isNull() | (F.col("_lo") - F.col("_prev_hi") >= ttl)
-                         ).select(key, F.col("_lo").alias("_t"))
-
-    # Successor: probes at t + TTL land in the next block; the rest of that block
-    # is searched there, else the next non-empty block starts with the answer.
-    probe = pts.select(key, (F.col("_b") + 1).alias("_b"), (F.col("_t") + ttl).alias("_at"),
-                       F.lit(0).alias("_role"), F.col("_t").alias("_from"))
-    target = pts.select(key, "_b", F.col("_t").alias("_at"), F.lit(1).alias("_role"),
-                        F.lit(None).cast("bigint").alias("_from"))
-    ahead = (Window.partitionBy(key, "_b").orderBy("_at", "_role")
-             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = (probe.unionByName(target)
-             .withColumn("_next", F.first(F.when(F.col("_role") == 1, F.col("_at")),
-                                          ignorenulls=True).over(ahead))
-             .where(F.col("_role") == 0).select(key, "_b", "_from", "_next"))
-    fallback = (blocks.select(key, "_b", F.col("_lo").alias("_first"))
-                .unionByName(pts.select(key, (F.col("_b") + 1).alias("_b"),
-                                        F.lit(None).cast("bigint").alias("_first")).distinct())
-                .groupBy(key, "_b").agg(F.max("_first").alias("_first")))
-    later = Window.partitionBy(key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    fallback = fallback.select(key, "_b", F.first("_first", ignorenulls=True).over(later).alias("_after"))
-    jump = (found.join(fallback, [key, "_b"])
-            .select(key, F.col("_from").alias("_t"), F.coalesce("_next", "_after").alias("_to"))
-            .where(F.col("_to").isNotNull()))
-
-    # Only heads and targets of a jump can ever be reached.
-    live = heads.unionByName(jump.select(key, F.col("_to").alias("_t"))).distinct()
-    jump = jump.join(live, [key, "_t"], "left_semi")
-    reached, jump = cut_lineage(heads), cut_lineage(jump)
-    while True:
-        step = reached.join(jump, [key, "_t"]).select(key, F.col("_to").alias("_t"))
-        grown = cut_lineage(reached.unionByName(step).distinct())
-        if grown.count() == reached.count():
-            break
-        reached = grown
-        nxt = jump.select(key, F.col("_t").alias("_to"), F.col("_to").alias("_to2"))
-        jump = cut_lineage(jump.join(nxt, [key, "_to"]).select(key, "_t", F.col("_to2").alias("_to")))
-    return points.join(reached, [key, "_t"], "left_semi")
+    return ttl.accepted(events, key, ts, id_col, ttl_seconds)
 
 
 # ---- tickets, paging, on-call --------------------------------------------------
