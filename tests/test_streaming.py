@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -39,16 +40,51 @@ def at(s):
     return (T0 + dt.timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%S")
 
 
+def exact_dedup(spark, src, tmp_path, schema, **how):
+    e = jobs.read_events(spark, src, schema, files_per_trigger=1)
+    q = jobs.dedup_exact(e, str(tmp_path / "out"), str(tmp_path / "ckpt"), availableNow=True, **how)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    return spark.read.schema(schema).parquet(str(tmp_path / "out/accepted"))
+
+
 def test_exact_dedup(spark, tmp_path):
+    schema = "dedup_key string, ts timestamp, n int"
     seconds = [[0, 200], [299, 301], [650, 900]]
     src = files(tmp_path / "in", [[{"dedup_key": "k", "ts": at(s), "n": s} for s in g] for g in seconds])
-    e = jobs.read_events(spark, src, "dedup_key string, ts timestamp, n int", files_per_trigger=1)
-    got = drain(jobs.dedup_exact(e), tmp_path)
-    assert sorted(r.n for r in got) == [0, 301, 650]
-    batch = spark.read.schema("dedup_key string, ts timestamp, n int").json(src)
+    got = exact_dedup(spark, src, tmp_path, schema, id_col="n")
+    assert sorted(r.n for r in got.collect()) == [0, 301, 650]
+    batch = spark.read.schema(schema).json(src)
     assert sorted(r.n for r in routing.dedup_ttl(batch, "dedup_key", "ts", "n").collect()) == [0, 301, 650]
 
 
+def test_exact_dedup_equals_batch(spark, tmp_path):
+    """A key with most rows, gaps in which the state goes, equal instants, rows without a key or an instant."""
+    rnd = random.Random(4)
+    rows = [{"dedup_key": rnd.choice("hhhhab"), "ts": at(s // 2), "event_id": s, "other": "x"} for s in range(0, 4000, 7)]
+    rows += [{"dedup_key": "gone", "ts": at(0), "event_id": 9001}, {"dedup_key": None, "ts": at(0), "event_id": 9002},
+             {"dedup_key": "h", "ts": None, "event_id": 9003}]
+    rows.sort(key=lambda r: (r["ts"] or "", r["event_id"]))
+    tail = [{"dedup_key": "gone", "ts": at(9000), "event_id": 9004}]
+    schema = "dedup_key string, ts timestamp, event_id bigint, other string"
+    src = files(tmp_path / "in", [rows[:200], rows[200:230], rows[230:], tail])
+    got = exact_dedup(spark, src, tmp_path, schema)
+    batch = routing.dedup_ttl(spark.read.schema(schema).json(src), "dedup_key", "ts", "event_id")
+    want = sorted((r.dedup_key, r.event_id) for r in batch.collect())
+    assert sorted((r.dedup_key, r.event_id) for r in got.collect()) == want and len(want) > 10
+    assert {r.other for r in got.where("event_id < 9000").collect()} == {"x"}
+    state = spark.read.parquet(str(tmp_path / "out/state/batch=3"))
+    assert [r.key for r in state.collect()] == ["gone"]
+
+
+def test_exact_dedup_late_rows(spark, tmp_path):
+    """Late, but within the time allowed: judged against what was accepted. Later than that: left out."""
+    schema = "dedup_key string, ts timestamp, event_id bigint"
+    src = files(tmp_path / "in", [[{"dedup_key": k, "ts": at(s), "event_id": i} for i, (k, s) in enumerate(g, 10 * n)]
+                                  for n, g in enumerate([[("a", 0), ("b", 1000)], [("a", 800), ("c", 600)], [("a", 1050), ("c", 900)]])])
+    assert sorted(r.event_id for r in exact_dedup(spark, src, tmp_path, schema).collect()) == [0, 1, 10, 21]
+
+
 def test_loose_dedup(spark, tmp_path):
     src = files(tmp_path / "in", [[{"number": "A", "ts": at(s)} for s in (0, 100)], [{"number": "B", "ts": at(120)}]])
     e = jobs.read_events(spark, src, "number string, ts timestamp", files_per_trigger=1)

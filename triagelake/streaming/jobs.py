@@ -45,36 +45,44 @@ def route(raw: DataFrame, value: str = "value") -> DataFrame:
             .unionByName(routing.route_ticket_events(b.select("p", value, *keep), value, keep)))
 
 
-def dedup_exact(events: DataFrame, key: str = "dedup_key", ts: str = "ts",
-                ttl_seconds: int = TTL_SECONDS, watermark: str = "5 minutes") -> DataFrame:
-    """First event per key, then the first at least TTL after the last accepted one.
-
-    State is one instant per key and is freed by an event-time timer."""
-    fields = events.schema
-    names = fields.names
-
-    def step(k, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us", tz="UTC") if state.exists else None
-        # Rows of one key in one micro-batch; the trigger bounds their number.
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values(ts, kind="stable")
-        keep = []
-        for at in pdf[ts]:
-            t = at.tz_localize("UTC") if at.tzinfo is None else at
-            ok = last is None or (t - last).total_seconds() >= ttl_seconds
-            keep.append(ok)
-            if ok:
-                last = t
-        state.update((int(last.value // 1000),))
-        due = int(last.value // 1_000_000) + ttl_seconds * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pdf[keep][names]
-
-    return (events.withWatermark(ts, watermark).groupBy(key)
-            .applyInPandasWithState(step, fields, "last bigint", "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+def dedup_exact(events: DataFrame, path: str, checkpoint: str, key: str = "dedup_key", ts: str = "ts", id_col: str = "event_id",
+                ttl_seconds: int = TTL_SECONDS, late_seconds: int = 300, **trigger):
+    """Start a query that stores the first event per key, then the first at least TTL after the last accepted one.
+
+    Each micro-batch goes through the batch operator, so a key with a third of its rows is
+    spread over many tasks. What is carried on is a table of the last accepted instant of
+    each key, one folder per batch (`path/state`, the accepted rows in `path/accepted`); a
+    replayed batch reads the state before it and replaces its own folders. An event later
+    than `late_seconds` behind the newest one of the batches before is left out, and a key's
+    instant goes when no event can fall within its TTL any more. Rows without a key or an
+    instant are left out; of equal instants of a key the smallest id stays.
+    """
+    def state(spark: SparkSession, batch_id: int) -> DataFrame | None:
+        return spark.read.parquet(f"{path}/state/batch={batch_id}") if batch_id >= 0 else None
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark, us = batch.sparkSession, F.unix_micros(F.col(ts).cast("timestamp"))
+        ttl, late = ttl_seconds * 1_000_000, late_seconds * 1_000_000
+        rows = batch.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+        fresh, newest, before = rows, rows.agg(F.max(us)).first()[0], state(spark, batch_id - 1)
+        if before is not None:
+            earlier = before.agg(F.max("newest")).first()[0]
+            newest = max((n for n in (newest, earlier) if n is not None), default=None)
+            last = before.select(F.col("key").alias("_key"), "last")
+            fresh = (rows.where(us >= (earlier - late if earlier is not None else -2**62)).join(last, F.col(key) == F.col("_key"), "left")
+                     .where(F.col("last").isNull() | (us >= F.col("last") + ttl)).drop("_key", "last"))
+        kept = routing.dedup_ttl(fresh, key, ts, id_col, ttl_seconds)
+        named = kept.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id"))
+        same = (F.col(key) == F.col("_key")) & (F.col(ts).cast("timestamp") == F.col("_ts")) & F.col(id_col).eqNullSafe(F.col("_id"))
+        append_batch(rows.join(named, same, "left_semi").dropDuplicates([key, ts, id_col]), batch_id, f"{path}/accepted")
+
+        seen = spark.read.schema(rows.schema).parquet(f"{path}/accepted/batch={batch_id}").select(F.col(key).alias("key"), us.alias("last"))
+        seen = seen if before is None else seen.unionByName(before.select("key", "last"))
+        after = seen.groupBy("key").agg(F.max("last").alias("last")).withColumn("newest", F.lit(newest).cast("bigint"))
+        append_batch(after.where(F.col("last") + ttl > F.col("newest") - late), batch_id, f"{path}/state")
+
+    w = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
+    return (w.trigger(**trigger) if trigger else w).start()
 
 
 def dedup_loose(events: DataFrame, key: str, ts: str = "ts", window: str = "5 minutes") -> DataFrame:
