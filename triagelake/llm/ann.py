@@ -6,12 +6,16 @@ a bounded sample, all nodes sorted in). Then, round by round, every node joins i
 neighbours, forward and reverse, with each other: a neighbour of a neighbour that is
 nearer than a node's worst neighbour takes its place. Only pairs with an edge that
 is new since the last round are looked at, and only improvements are shuffled. A
-node with many reverse neighbours is split into buckets. Distances are sums of
-squared differences in double precision; building ends when few edges change.
+node with many reverse neighbours has them split into buckets, anew in each round, so
+that any two of them come to meet. Distances are sums of squared differences in double
+precision; building ends when few edges change.
 
 Search. A query starts at its own node, where its vector is indexed, and at the
-nearest of a fixed number of pivots. Each round opens the nearest unopened nodes of
-its beam and adds their neighbours, until all of the beam is opened.
+nearest of some pivots. Each round opens the nearest unopened nodes of
+its beam and adds their neighbours, until all of the beam is opened. Trees, pivots and
+beam grow with the logarithm of the number of vectors. Vectors and links are tables in
+buckets of their node, so that a round shuffles what it asks for and not them; the
+tables are named `ann_...`, stand in the warehouse and are dropped with the index.
 
 Rows: vectors that are null, empty, zero, of another length than most (ties: the
 longer), or hold a null or non-finite component take no part, as candidate or as
@@ -22,6 +26,7 @@ candidates than asked for are all returned. Empty tables give empty results.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import Batches, arrow_type, batch, map_arrow, stored
+from triagelake.llm.common import Batches, arrow_type, batch, map_arrow, shuffle_partitions, stored
 
 NEIGHBOURS = 32         # edges of a node
 TREES = 4
@@ -41,13 +46,34 @@ ROUNDS = 8
 CHANGED = 0.005         # share of new edges at which building ends
 BEAM, OPENED = 160, 24  # nodes a query keeps, and opens in a round
 PIVOTS = 256
+GROWS_FROM = 25_000     # vectors from which trees, beam and pivots grow
+
+
+def grown(base: int, n: int) -> int:
+    """`base`, and an eighth of it for each doubling of the number of vectors."""
+    return round(base * (1 + math.log2(max(n, GROWS_FROM) / GROWS_FROM) / 8))
 
 
 @dataclass
 class Index:
     members: DataFrame      # (node, id): every indexed row
     nodes: DataFrame        # (node, v): vector in double precision
-    graph: DataFrame        # (node, nb)
+    links: DataFrame        # (node, nb), both ways
+    size: int               # nodes
+    tables: tuple[str, ...]
+
+    def drop(self) -> None:
+        """Drop the tables; what was not stored yet cannot be computed any more."""
+        for name in self.tables:
+            self.members.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _by_node(df: DataFrame) -> str:
+    """The name of a table of df in buckets of `node`, a file each."""
+    spark, name = df.sparkSession, f"ann_{uuid.uuid4().hex}"
+    buckets = shuffle_partitions(spark)
+    df.repartition(buckets, "node").write.bucketBy(buckets, "node").saveAsTable(name)
+    return name
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -77,9 +103,9 @@ def vectors_of(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """(node, v), distinct vectors named by their smallest id."""
-    return stored(rows.groupBy("v").agg(F.min("id").alias("node")).select("node", "v"))
+def _nodes(rows: DataFrame) -> str:
+    """The table (node, v) of distinct vectors named by their smallest id."""
+    return _by_node(rows.groupBy("v").agg(F.min("id").alias("node")).select("node", "v"))
 
 
 # ---- first neighbours --------------------------------------------------------------
@@ -186,8 +212,8 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def _local_join(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Improvements found among the neighbours of each node."""
+def _local_join(graph: DataFrame, nodes: DataFrame, k: int, salt: int) -> DataFrame:
+    """Improvements found among the neighbours of each node; `salt` deals many neighbours to other buckets."""
     radius = graph.groupBy("node").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("radius"))
     both = graph.select(F.col("node").alias("u"), F.col("nb").alias("node"), "new") \
         .unionAll(graph.select(F.col("nb").alias("u"), "node", "new")) \
@@ -197,7 +223,7 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         .where(F.col("any") > 0).drop("any")
     seen = nodes.select("node", "v").join(radius, "node")
     rows = both.join(buckets, "u").join(seen, "node") \
-        .withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets")))
+        .withColumn("bucket", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("buckets")))
     groups = rows.groupBy("u", "bucket").agg(F.collect_list(F.struct("node", "new", "radius", "v")).alias("g"))
 
     def join(batches: Batches) -> Batches:
@@ -227,25 +253,29 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEIGHBOURS,
           trees: int = TREES, rounds: int = ROUNDS) -> Index:
-    """Index every usable row."""
+    """Index every usable row; `drop()` the index when it is not needed any more."""
     rows = stored(usable(vectors, id_col, vec_col))
-    nodes = _nodes(rows)
+    table = _nodes(rows)
+    nodes = rows.sparkSession.table(table)
     n = nodes.count()
     members = rows.join(nodes.select("node", "v"), "v").select("node", "id")
-    graph = stored(_nearest(_first_edges(nodes, max(n, 1), k, trees), k))
-    for _ in range(rounds):
+    graph = stored(_nearest(_first_edges(nodes, max(n, 1), k, grown(trees, n)), k))
+    for r in range(rounds):
         known = graph.withColumn("new", F.lit(0))
-        graph = stored(_nearest(known.unionByName(_local_join(graph, nodes, k)), k))
+        graph = stored(_nearest(known.unionByName(_local_join(graph, nodes, k, r)), k))
         if graph.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0] <= CHANGED * k * n:
             break
-    return Index(members, nodes, graph.select("node", "nb"))
+    there = graph.select("node", "nb")
+    links = _by_node(there.unionAll(there.select(F.col("nb").alias("node"), F.col("node").alias("nb"))))
+    return Index(members, nodes, rows.sparkSession.table(links), n, (table, links))
 
 
 # ---- search ------------------------------------------------------------------------
 
 def search(index: Index, queries: DataFrame, k: int = 10, beam: int = BEAM, opened: int = OPENED) -> DataFrame:
     """queries (query_id, v) -> (query_id, node, d): the beam of each query at the end."""
-    pivots = index.nodes.orderBy(F.xxhash64("node")).limit(PIVOTS).select("node", "v").collect()
+    beam = grown(beam, index.size)
+    pivots = index.nodes.orderBy(F.xxhash64("node")).limit(grown(PIVOTS, index.size)).select("node", "v").collect()
     if not pivots:
         return queries.sparkSession.createDataFrame([], "query_id long, node long, d double")
     names = np.array([p["node"] for p in pivots])
@@ -276,7 +306,6 @@ def search(index: Index, queries: DataFrame, k: int = 10, beam: int = BEAM, open
     asked = stored(queries.select("query_id", "v"))
     own = queries.join(index.nodes.select("node", "v"), "v").select("query_id", "node")
     first = own.unionByName(map_arrow(queries.select("query_id", "v"), starts, start_schema)).distinct()
-    links = stored(index.graph.unionByName(index.graph.select(F.col("nb").alias("node"), F.col("node").alias("nb"))))
     by_distance = Window.partitionBy("query_id").orderBy("d", "node")
     state = stored(measured(first))
     for _ in range(math.ceil(4 * beam / opened)):
@@ -284,7 +313,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, beam: int = BEAM, open
             .where(F.col("_r") <= opened).select("query_id", "node")
         marked = state.join(unopened.withColumn("_o", F.lit(1)), ["query_id", "node"], "left") \
             .select("query_id", "node", "d", F.greatest("done", F.coalesce("_o", F.lit(0))).alias("done"))
-        found = unopened.join(links, "node").select("query_id", F.col("nb").alias("node")).distinct() \
+        found = unopened.join(index.links, "node").select("query_id", F.col("nb").alias("node")).distinct() \
             .join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
         merged = marked.unionByName(measured(found))
         state = stored(merged.withColumn("_r", F.row_number().over(by_distance)).where(F.col("_r") <= beam).drop("_r"))
@@ -297,6 +326,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
                k: int = 10, **how) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows found for each row of `queries`."""
     index = build(vectors, id_col, vec_col)
+    try:
+        return stored(_ranked(index, queries, id_col, vec_col, k, how))
+    finally:
+        index.drop()
+
+
+def _ranked(index: Index, queries: DataFrame, id_col: str, vec_col: str, k: int, how: dict) -> DataFrame:
     asked = stored(usable_like(queries, index, id_col, vec_col))
     beam = search(index, asked, k, **how)
     # Of equal vectors only the k + 1 smallest ids can be among the k nearest others.
