@@ -1,6 +1,7 @@
 """Block search, cluster measures and density clustering against numpy brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,37 @@ def test_search_with_cells_and_parts(spark, blobs):
         assert {(r.pid, r.cid, r["rank"]) for r in got.collect()} == want
 
 
+def test_copies_of_a_vector_do_not_grow_with_the_parts(spark):
+    """A vector travels once for each part of the other side, so small blocks do not make many parts."""
+    rng = np.random.default_rng(4)
+    v = prep(spark, unit(np.eye(8)[0] + 0.1 * rng.normal(size=(900, 8))))
+    lay = blocks.Layout(v.select("grp", "cid", "u"), block=16, pivots=3, grouped=False)
+    probes = v.select("grp", F.col("cid").alias("pid"), "u").withColumn("reach", F.lit(blocks.reach_of(0.6)))
+    sent = lay.pairs(probes).applyInArrow(
+        lambda l, r: pa.table({"n": [l.num_rows + r.num_rows]}), "n bigint").agg(F.sum("n")).first()[0]
+    assert sent <= 900 * 3 * blocks.FEW + 900 * blocks.FEW
+
+
+@pytest.mark.parametrize("earlier", [False, True])
+def test_best_rows_of_long_parts(earlier):
+    """Several blocks of rows and columns with many equal scores: the first ids win, as by a full sort."""
+    rng = np.random.default_rng(5)
+    u = unit(rng.normal(size=(40, 3)))[rng.integers(0, 40, 2 * blocks.COLS + 300)]
+    ids = np.array([f"v{i:05d}" for i in range(len(u))])
+    mixed = rng.permutation(len(u))
+    schema = pa.schema([("grp", pa.string()), ("pid", pa.string()), ("cid", pa.string()), ("score", pa.float64())])
+    side = lambda name, at: pa.table({"grp": ["g"] * len(at), name: ids[at].tolist(), "u": u[at].tolist()})
+    kernel = blocks.topk_kernel(7, 0.3, True, schema, earlier_only=earlier)
+    got = kernel(side("pid", mixed[:1300]), side("cid", mixed)).to_pylist()
+    want = set()
+    s = np.round(u @ u.T, 12)
+    for i in mixed[:1300]:
+        ok = (s[i] >= 0.3) & (np.arange(len(u)) < i if earlier else np.arange(len(u)) != i)
+        at = np.flatnonzero(ok)
+        want |= {(ids[i], ids[j]) for j in at[np.lexsort((at, -s[i][at]))[:7]]}
+    assert {(r["pid"], r["cid"]) for r in got} == want and len(got) == len(want)
+
+
 def test_knn_by_group(spark, blobs):
     grp = ["a" if i % 3 else "b" for i in range(len(blobs))]
     got = blocks.knn(prep(spark, blobs, grp), 4, block=16, pivots=5).collect()

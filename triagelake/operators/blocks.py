@@ -2,10 +2,12 @@
 
 Every vector belongs to the cell of its nearest pivot (a fixed number of
 pivots). A probe visits only the cells its search angle can reach by the
-triangle inequality on angles, so nothing is lost. A cell is cut into parts of
-at most BLOCK vectors and probes into parts alike; one task multiplies one
-pair of parts with numpy and emits only the best rows. No task holds more than
-one pair of parts, whatever share of the rows a cell holds.
+triangle inequality on angles, so nothing is lost. A cell of more than BLOCK
+vectors is cut into parts and probes into parts alike; one task takes one pair
+of parts, multiplies it with numpy a block at a time and emits only the best
+rows. No task holds more than one pair of parts, whatever share of the rows a
+cell holds. A vector travels once for every part of the other side, so parts
+are few (FEW) as long as they fit a task (TILE_NUMBERS).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.evaluate import once
@@ -26,6 +28,9 @@ from triagelake.session import cut_lineage
 
 BLOCK = 2048
 PIVOTS = 64
+FEW = 2                # parts of a cell that is longer than a block, while these fit a task
+TILE_NUMBERS = 1 << 21 # vector components of one part: 16 MB
+ROWS, COLS, FIRST = 1024, 2048, 64    # of the products inside a task
 BROADCAST_ROWS = 200_000      # cell statistics are broadcast up to this many rows
 ANGLE_SLACK = 1e-5     # wider than the angle error of a cosine rounded to 12 digits
 
@@ -38,6 +43,16 @@ def matrix(col: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(arr), -1)
 
 
+def tile_rows(width: int | None, block: int) -> int:
+    """Rows of vectors of that many components that one part may have."""
+    return max(block, TILE_NUMBERS // max(1, width or 1))
+
+
+def part_count(n: Column, block: int, tile: int) -> Column:
+    """Parts of n rows: those of `block` rows, but no more than FEW while parts fit a tile."""
+    return F.least(F.ceil(n / block), F.greatest(F.lit(FEW), F.ceil(n / tile))).cast("int")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side whose row count was checked."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -84,7 +99,8 @@ class Layout:
 
     def __init__(self, corpus: DataFrame, block: int = BLOCK, pivots: int = PIVOTS, grouped: bool = True):
         self.block, self.grouped = block, grouped
-        n = corpus.count()
+        n, width = corpus.agg(F.count("*"), F.max(F.size("u"))).first()
+        self.tile = tile_rows(width, block)
         # pivots=0: no pruning, for vectors that are not of unit length.
         self.pivots = choose_pivots(corpus, pivots) if n > block and pivots else None
         if self.pivots is None:
@@ -92,7 +108,7 @@ class Layout:
         else:
             placed = _place(corpus, self.pivots, keep_all=False)
         stats = placed.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.max("ang").alias("radius"))
-        stats = stats.withColumn("subs", F.ceil(F.col("n") / block).cast("int"))
+        stats = stats.withColumn("subs", part_count(F.col("n"), block, self.tile))
         if grouped:
             self.stats = cut_lineage(stats)
             self.stat_rows = self.stats.count()
@@ -127,7 +143,7 @@ class Layout:
     def pairs(self, probes: DataFrame, own_cell_only: bool = False):
         """Cogrouped parts (grp, cell, sub, part): probes left, corpus right."""
         v = self.visits(probes, own_cell_only)
-        need = F.ceil(F.col("_n") / self.block).cast("int").alias("parts")
+        need = part_count(F.col("_n"), self.block, self.tile).alias("parts")
         if self.grouped:
             load = small(v.groupBy("grp", "cell").agg(F.count("*").alias("_n")).select("grp", "cell", need),
                          self.stat_rows)
@@ -147,27 +163,60 @@ class Layout:
         return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 
+def _best(u: np.ndarray, pid: np.ndarray, v: np.ndarray, cid: np.ndarray, k: int, min_score: float,
+          exclude_self: bool, upto: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the best k columns of each row; of equal scores the first columns.
+
+    A block of columns only yields what beats a row's k-th score so far. The blocks grow, so
+    that the first one, which has nothing to beat, is small. Columns from `upto` on do not count.
+    """
+    n = len(u)
+    score, col = np.full((n, k), -np.inf), np.full((n, k), -1)
+    at, width = 0, FIRST
+    while at < len(v):
+        # A rounded score that is larger than another is so by a step of the rounding.
+        s = u @ v[at:at + width].T
+        hit = s > np.maximum(min_score - 1e-12, score[:, -1] + 4e-13)[:, None]
+        if upto is not None:
+            hit &= np.arange(at, at + s.shape[1]) < upto[:, None]
+        r, c = np.divmod(np.flatnonzero(hit), s.shape[1])
+        x = np.round(s[r, c], 12)
+        keep = (x >= min_score) & (x > score[r, -1]) & np.isfinite(x)
+        if exclude_self:
+            keep &= pid[r] != cid[at + c]
+        r, c, x = r[keep], c[keep] + at, x[keep]
+        if len(r):
+            rows = np.unique(r)
+            of = np.concatenate([np.repeat(rows, k), r])
+            x, c = np.concatenate([score[rows].ravel(), x]), np.concatenate([col[rows].ravel(), c])
+            order = np.lexsort((c, -x, of))
+            take = order[np.searchsorted(of[order], rows)[:, None] + np.arange(k)]
+            score[rows], col[rows] = x[take], c[take]
+        at, width = at + width, min(2 * width, COLS)
+    row, rank = np.nonzero(col >= 0)
+    return row, col[row, rank], score[row, rank]
+
+
 def topk_kernel(k: int, min_score: float, exclude_self: bool, schema: pa.Schema,
                  earlier_only: bool = False):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
         right = right.take(pc.sort_indices(right["cid"]))
-        s = np.round(matrix(left["u"]) @ matrix(right["u"]).T, 12)
-        if exclude_self or earlier_only:
-            pid = left["pid"].to_numpy()
-            cid = right["cid"].to_numpy()
-            s[(pid[:, None] <= cid[None, :]) if earlier_only else (pid[:, None] == cid[None, :])] = -np.inf
-        kk = min(k, s.shape[1])
-        best = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-        score = np.take_along_axis(s, best, axis=1)
-        keep = (score >= min_score) & np.isfinite(score)
-        row, col = np.nonzero(keep)
-        return pa.table({
-            "grp": left["grp"].take(pa.array(row)),
-            "pid": left["pid"].take(pa.array(row)),
-            "cid": right["cid"].take(pa.array(best[row, col])),
-            "score": pa.array(score[row, col])}, schema=schema)
+        u, v = matrix(left["u"]), matrix(right["u"])
+        pid, cid = left["pid"].to_numpy(), right["cid"].to_numpy()
+        upto = np.searchsorted(cid, pid) if earlier_only else None
+        rows, cols, scores = [], [], []
+        for i in range(0, len(u), ROWS):
+            part = slice(i, i + ROWS)
+            row, col, score = _best(u[part], pid[part], v, cid, k, min_score, exclude_self,
+                                    None if upto is None else upto[part])
+            rows.append(row + i)
+            cols.append(col)
+            scores.append(score)
+        row, col = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        return pa.table({"grp": left["grp"].take(row), "pid": left["pid"].take(row),
+                         "cid": right["cid"].take(col), "score": pa.array(np.concatenate(scores))}, schema=schema)
     return run
 
 
@@ -216,10 +265,17 @@ def _first_kernel(min_score: float, schema: pa.Schema):
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
         right = right.take(pc.sort_indices(right["cid"]))
-        near = np.round(matrix(left["u"]) @ matrix(right["u"]).T, 12) >= min_score
-        hit = np.flatnonzero(near.any(axis=1))
+        u, v = matrix(left["u"]), matrix(right["u"])
+        first = np.full(len(u), -1)
+        for i in range(0, len(u), ROWS):
+            for j in range(0, len(v), COLS):
+                open_ = i + np.flatnonzero(first[i:i + ROWS] < 0)
+                near = np.round(u[open_] @ v[j:j + COLS].T, 12) >= min_score
+                hit = np.flatnonzero(near.any(axis=1))
+                first[open_[hit]] = j + near[hit].argmax(axis=1)
+        hit = np.flatnonzero(first >= 0)
         return pa.table({"pid": left["pid"].take(pa.array(hit)),
-                         "first": right["cid"].take(pa.array(near[hit].argmax(axis=1)))}, schema=schema)
+                         "first": right["cid"].take(pa.array(first[hit]))}, schema=schema)
     return run
 
 

@@ -285,6 +285,11 @@ def silhouette(members: DataFrame, group: str) -> DataFrame:
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
         if l.num_rows == 0 or r.num_rows == 0:
             return schema.empty_table()
+        # The products of one step fit a part.
+        rows = max(1, blocks.TILE_NUMBERS // r.num_rows)
+        return pa.concat_tables([some(l.slice(i, rows), r) for i in range(0, l.num_rows, rows)])
+
+    def some(l: pa.Table, r: pa.Table) -> pa.Table:
         u = matrix(l["u"])
         d = 1 - u @ matrix(r["u"]).T
         own = l["own"].to_numpy()[:, None] == r["cid"].to_numpy()[None, :]

@@ -110,8 +110,10 @@ def search(index: IvfIndex, probes: DataFrame, k: int, min_score: float, visits:
     left = visited(index, probes, visits)
     keys = ["grp", "cell"]
 
+    tile = blocks.tile_rows(corpus.agg(F.max(F.size("u"))).first()[0], block)
+
     def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        return df.groupBy(*keys).agg(blocks.part_count(F.count("*"), block, tile).alias(name))
 
     # A few numbers for every cell and group that both sides have.
     need = parts(left, "parts").join(parts(corpus, "subs"), keys)
