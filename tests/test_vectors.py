@@ -150,6 +150,19 @@ def test_tree_paths_agree(spark, blobs):
     assert small == large
 
 
+def test_tree_by_pairs_and_by_rounds(spark, blobs):
+    """Pairs of parts, merged in steps, and Boruvka rounds give the tree of one task; pairs need few jobs."""
+    grp = ["a" if i % 3 else "b" for i in range(len(blobs))]
+    v = density.cut_lineage(prep(spark, blobs, grp))
+    small = tree_set(density.spanning_tree(v))
+    spark.sparkContext.setJobGroup("pairs", "pairs")
+    pairs = tree_set(density.spanning_tree(v, team_limit=0, block=6, pivots=4))         # up to 14 parts
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("pairs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert pairs == small and jobs < 60
+    assert tree_set(density.spanning_tree(v, team_limit=0, block=32, pivots=4, pair_limit=0)) == small
+
+
 def blob_rows(dim, seed=0):
     rng = np.random.default_rng(seed)
     a = np.eye(dim)[0]

@@ -2,8 +2,9 @@
 
 1. core distance: distance to the min_samples-th other vector (pruned block search);
 2. minimum spanning tree of the mutual reachability max(core_a, core_b, d(a, b)):
-   small teams in one numpy pass per team, larger teams by Boruvka rounds over
-   pruned blocks; both use the same total order of edges, so the trees agree;
+   small teams in one numpy pass per team, larger teams from the trees of all
+   pairs of their parts, the largest by Boruvka rounds over pruned blocks; all
+   use the same total order of edges, so the trees agree;
 3. the n - 1 tree edges of a team give the condensed tree and its excess-of-mass
    clusters.
 
@@ -25,6 +26,8 @@ from triagelake.session import cut_lineage
 
 MIN_CLUSTER_SIZE, MIN_SAMPLES = 5, 3     # fixed values
 TEAM_LIMIT = 2048                        # vectors of a team one task may hold
+PAIR_LIMIT = 131_072                     # vectors of a team whose parts are taken by pairs
+FOLD = 8                                 # parts that become one when trees are merged
 EDGE_LIMIT = 1_000_000                   # tree edges of a team one task may hold
 MAX_LAMBDA = 1e12
 DIGITS = 12
@@ -57,30 +60,49 @@ def reachability_edges(vectors: DataFrame, k: int, min_samples: int = MIN_SAMPLE
 
 # ---- spanning tree: small teams ---------------------------------------------------
 
+def _distances(u: np.ndarray) -> np.ndarray:
+    d = u @ u.T
+    np.round(d, DIGITS, out=d)
+    np.subtract(1.0, d, out=d)
+    return np.round(d, DIGITS, out=d)
+
+
 def _prim(u: np.ndarray, ids: np.ndarray, min_samples: int):
     """Spanning tree under the total order (weight, lower id, upper id). ids are sorted."""
-    n = len(u)
-    d = np.round(1.0 - np.round(u @ u.T, DIGITS), DIGITS)
+    d = _distances(u)
     np.fill_diagonal(d, np.inf)
-    k = min(min_samples, n - 1)
-    core = np.partition(d, k - 1, axis=1)[:, k - 1]
-    w = np.maximum(np.maximum(core[:, None], core[None, :]), d)
+    k = min(min_samples, len(u) - 1)
+    lo, hi, w = _grow(d, np.partition(d, k - 1, axis=1)[:, k - 1])
+    return ids[lo], ids[hi], w
+
+
+def _grow(d: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower, upper, weight) of the tree of all points of a distance matrix, which becomes the reachability."""
+    n = len(d)
+    np.maximum(d, core[:, None], out=d)
+    np.maximum(d, core[None, :], out=d)
     best, lo, hi = np.full(n, np.inf), np.full(n, n), np.full(n, n)
     outside = np.ones(n, dtype=bool)
     at, edges = 0, []
     idx = np.arange(n)
     for _ in range(n - 1):
-        outside[at] = False
-        a, b = np.minimum(idx, at), np.maximum(idx, at)
-        better = (w[at] < best) | ((w[at] == best) & ((a < lo) | ((a == lo) & (b < hi))))
+        outside[at], best[at] = False, np.inf
+        w = d[at]
+        better = w < best
+        ties = np.flatnonzero((w == best) & outside)
+        if len(ties):
+            a, b = np.minimum(ties, at), np.maximum(ties, at)
+            better[ties] = (a < lo[ties]) | ((a == lo[ties]) & (b < hi[ties]))
         better &= outside
-        best[better], lo[better], hi[better] = w[at][better], a[better], b[better]
-        cand = idx[outside]
-        pick = cand[np.lexsort((hi[cand], lo[cand], best[cand]))[0]]
+        np.copyto(best, w, where=better)
+        np.copyto(lo, np.minimum(idx, at), where=better)
+        np.copyto(hi, np.maximum(idx, at), where=better)
+        low = np.flatnonzero(best == best.min())
+        pick = low[0] if len(low) == 1 else low[np.lexsort((hi[low], lo[low]))[0]]
         edges.append((lo[pick], hi[pick], best[pick]))
         at = pick
     e = np.array(edges)
-    return ids[e[:, 0].astype(int)], ids[e[:, 1].astype(int)], e[:, 2]
+    return e[:, 0].astype(int), e[:, 1].astype(int), e[:, 2]
 
 
 def _kinds(vectors: DataFrame):
@@ -105,6 +127,72 @@ def _tree_small(vectors: DataFrame, min_samples: int) -> DataFrame:
     return vectors.select("grp", "cid", "u").groupBy("grp").applyInArrow(run, ddl)
 
 
+# ---- spanning tree: parts by pairs --------------------------------------------------
+
+def _forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges that join two components when they are taken in order."""
+    ids, x, y, w = _in_order(a, b, w)
+    up, keep = list(range(len(ids))), []
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for e, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        p, q = root(i), root(j)
+        if p != q:
+            up[p] = q
+            keep.append(e)
+    x, y = x[keep], y[keep]
+    return ids[np.minimum(x, y)], ids[np.maximum(x, y)], w[keep]
+
+
+def _tree_pairs(vectors: DataFrame, min_samples: int, rows: int, block: int, pivots: int) -> DataFrame:
+    """Trees of all pairs of a team's parts, merged.
+
+    An edge of the tree is in the tree of any two parts that hold its ends, because a
+    path of lighter edges there would be one in the team as well. A task holds two parts, or
+    the trees of FOLD parts with FOLD others.
+    """
+    ddl, schema = _kinds(vectors)
+    keyed = pa.schema([schema.field("grp"), ("i", pa.int32()), ("j", pa.int32()), *list(schema)[1:]])
+    keyed_ddl = ddl.replace(", a ", ", i int, j int, a ", 1)
+
+    def table(t: pa.Table, a, b, w) -> pa.Table:
+        n = len(w)
+        return pa.table({c: t[c].slice(0, 1).take(pa.array(np.zeros(n, np.int64))) for c in ("grp", "i", "j")}
+                        | {"a": a.tolist(), "b": b.tolist(), "w": w}, schema=keyed)
+
+    def pair(t: pa.Table) -> pa.Table:
+        if t.num_rows < 2:
+            return keyed.empty_table()
+        t = t.sort_by("cid")
+        ids = t["cid"].to_numpy()
+        lo, hi, w = _grow(_distances(matrix(t["u"])), np.round(1.0 - t["least"].to_numpy(), DIGITS))
+        return table(t, ids[lo], ids[hi], w)
+
+    def merge(t: pa.Table) -> pa.Table:
+        return table(t, *_forest(t["a"].to_numpy(), t["b"].to_numpy(), t["w"].to_numpy()))
+
+    least = blocks.knn(vectors, min_samples, block, pivots).groupBy("grp", F.col("pid").alias("cid")).agg(
+        F.min("score").alias("least"))
+    sizes = cut_lineage(vectors.groupBy("grp").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts")))
+    side = sizes.agg(F.max("parts")).first()[0] or 1
+    own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+    dealt = vectors.select("grp", "cid", "u").join(least, ["grp", "cid"]).join(sizes, "grp").withColumn("own", own)
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("own")) | (F.col("parts") == 1))
+    dealt = dealt.withColumn("other", F.explode(others)).select(
+        "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "u", "least")
+    tree = dealt.groupBy("grp", "i", "j").applyInArrow(pair, keyed_ddl)
+    while side > 1:
+        side = -(-side // FOLD)
+        tree = tree.withColumns({c: F.floor(F.col(c) / FOLD).cast("int") for c in ("i", "j")}) \
+            .groupBy("grp", "i", "j").applyInArrow(merge, keyed_ddl)
+    return tree.drop("i", "j")
+
+
 # ---- spanning tree: teams of any size ----------------------------------------------
 
 def _edge(a, b, w):
@@ -116,30 +204,39 @@ def _foreign_kernel(ddl_types):
     schema = pa.schema([("grp", ddl_types["grp"]), ("comp", ddl_types["id"]), ("w", pa.float64()),
                         ("lo", ddl_types["id"]), ("hi", ddl_types["id"]), ("other", ddl_types["id"])])
 
+    def lightest(comp, w, lo, hi, other):
+        """The first edge of each component in the order of edges."""
+        o = np.lexsort((hi, lo, w, comp))
+        o = o[np.flatnonzero(np.diff(comp[o], prepend=-1))]
+        return comp[o], w[o], lo[o], hi[o], other[o]
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        right = right.sort_by("cid")
-        d = np.round(1.0 - np.round(matrix(left["u"]) @ matrix(right["u"]).T, DIGITS), DIGITS)
-        w = np.maximum(np.maximum(left["core"].to_numpy()[:, None], right["core"].to_numpy()[None, :]), d)
-        ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
-        w[ca[:, None] == cb[None, :]] = np.inf
-        pid, cid = left["pid"].to_numpy(), right["cid"].to_numpy()
-        best: dict = {}
-        low = w.min(axis=1)
-        for i in np.flatnonzero(np.isfinite(low)):
-            # Ties of one row: every candidate at the minimum, ordered by the pair.
-            js = np.flatnonzero(w[i] == low[i])
-            pairs = [((min(pid[i], cid[j]), max(pid[i], cid[j])), cb[j]) for j in js]
-            (lo, hi), oc = min(pairs, key=lambda p: p[0])
-            e = (low[i], lo, hi, oc)
-            if ca[i] not in best or e[:3] < best[ca[i]][:3]:
-                best[ca[i]] = e
-        g = left["grp"][0].as_py()
-        return pa.table({"grp": [g] * len(best), "comp": list(best),
-                         "w": [e[0] for e in best.values()], "lo": [e[1] for e in best.values()],
-                         "hi": [e[2] for e in best.values()], "other": [e[3] for e in best.values()]},
-                        schema=schema)
+        n = left.num_rows
+        # Numbers in the order of the ids stand for them.
+        ids, at = np.unique(np.concatenate([left["pid"].to_numpy(), right["cid"].to_numpy()]), return_inverse=True)
+        comps, of = np.unique(np.concatenate([left["comp"].to_numpy(), right["comp"].to_numpy()]), return_inverse=True)
+        u, v = matrix(left["u"]), matrix(right["u"])
+        core_u, core_v = left["core"].to_numpy(), right["core"].to_numpy()
+        best = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64, np.int64)]
+        for i in range(0, n, blocks.ROWS):
+            r = slice(i, min(n, i + blocks.ROWS))
+            for j in range(0, len(v), blocks.COLS):
+                c = slice(j, j + blocks.COLS)
+                ca, cb = of[r], of[n:][c]
+                w = np.round(1.0 - np.round(u[r] @ v[c].T, DIGITS), DIGITS)
+                w = np.maximum(np.maximum(core_u[r][:, None], core_v[c][None, :]), w)
+                w[ca[:, None] == cb[None, :]] = np.inf
+                low = w.min(axis=1)
+                # Ties of one row: every candidate at the minimum, ordered by the pair.
+                x, y = np.nonzero((w == low[:, None]) & np.isfinite(low)[:, None])
+                a, b = at[r][x], at[n:][c][y]
+                found = lightest(ca[x], low[x], np.minimum(a, b), np.maximum(a, b), cb[y])
+                best = lightest(*[np.concatenate(p) for p in zip(best, found, strict=True)])
+        comp, w, lo, hi, other = best
+        return pa.table({"grp": [left["grp"][0].as_py()] * len(w), "comp": comps[comp].tolist(), "w": w,
+                         "lo": ids[lo].tolist(), "hi": ids[hi].tolist(), "other": comps[other].tolist()}, schema=schema)
     return run
 
 
@@ -225,15 +322,19 @@ def _merge(label: DataFrame, pick: DataFrame) -> DataFrame:
 
 
 def spanning_tree(vectors: DataFrame, min_samples: int = MIN_SAMPLES, team_limit: int = TEAM_LIMIT,
-                  block: int = blocks.BLOCK, pivots: int = blocks.PIVOTS) -> DataFrame:
+                  block: int = blocks.BLOCK, pivots: int = blocks.PIVOTS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(grp, a, b, w): n - 1 edges per team, a < b."""
-    sizes = vectors.groupBy("grp").agg(F.count("*").alias("n"))
-    large = cut_lineage(sizes.where(F.col("n") > team_limit).select("grp"))
+    sizes = cut_lineage(vectors.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > team_limit))
+    large = sizes.select("grp")
     if large.isEmpty():
         return _tree_small(vectors, min_samples)
-    fits = vectors.join(large, "grp", "left_anti")
-    rest = cut_lineage(vectors.join(large, "grp", "left_semi"))
-    return _tree_small(fits, min_samples).unionByName(_tree_large(rest, min_samples, block, pivots))
+    tree = _tree_small(vectors.join(large, "grp", "left_anti"), min_samples)
+    by_pairs, by_rounds = F.col("n") <= pair_limit, F.col("n") > pair_limit
+    for which, grow in ((by_pairs, lambda v: _tree_pairs(v, min_samples, min(block, TEAM_LIMIT), block, pivots)),
+                        (by_rounds, lambda v: _tree_large(v, min_samples, block, pivots))):
+        if not sizes.where(which).isEmpty():
+            tree = tree.unionByName(grow(cut_lineage(vectors.join(sizes.where(which).select("grp"), "grp", "left_semi"))))
+    return tree
 
 
 # ---- cluster tree ----------------------------------------------------------------
@@ -454,7 +555,8 @@ def cluster_per_team(vectors: DataFrame, id_col: str, vec_col: str, team_col: st
     named = vectors.withColumn("_team", F.when(F.length(team_col) > 0, F.col(team_col))
                                .otherwise("_unknown"))
     v = cut_lineage(eligible(blocks.prepare(named, id_col, vec_col, "cid", "_team"), min_cluster_size))
-    tree = spanning_tree(v, min_samples, team_limit, block, pivots)
+    # The sizes of the trees are counted first, so the trees are stored.
+    tree = cut_lineage(spanning_tree(v, min_samples, team_limit, block, pivots))
     lab = cut_lineage(labels_from_tree(tree, min_cluster_size, allow_single, edge_limit))
     return (lab.join(v.select("grp", F.col("cid").alias("number"), "u"), ["grp", "number"])
                .select(F.col("grp").alias("team"), "number",
