@@ -118,6 +118,22 @@ def test_cohesion_paths_agree(spark, blobs):
     assert single.cohesion == 1.0 and single.n == 1
 
 
+def test_cohesion_of_parts_of_several_blocks(spark, monkeypatch):
+    """Few parts whatever the limit; their products are made in blocks, a third of the rows are copies."""
+    monkeypatch.setattr(clusters.blocks, "ROWS", 8)
+    monkeypatch.setattr(clusters.blocks, "COLS", 8)
+    rng = np.random.default_rng(6)
+    u = unit(np.concatenate([np.tile(np.eye(6)[0], (20, 1)), rng.normal(size=(41, 6))]))
+    a, b = (sorted(np.concatenate(list(clusters._cosine_blocks(u, v, same)))) for v, same in ((u, True), (u[:30], False)))
+    s = np.round(u @ u.T, 12)
+    assert np.allclose(a, sorted(s[np.triu_indices(61, 1)])) and np.allclose(b, sorted(s[:, :30].ravel()))
+    got = clusters.cohesion(members(spark, u, ["x"] * 61), limit=4).first()
+    assert got.cohesion == pytest.approx(np.median(s[np.triu_indices(61, 1)]), abs=1e-11)
+    parts = spark.createDataFrame([(3,), (61,), (40_000,), (3_000_000,)], "n long").select(
+        blocks.part_count(F.col("n"), 4, blocks.tile_rows(64, 4)).alias("p"))
+    assert [r.p for r in parts.collect()] == [1, 2, 2, 92]
+
+
 def test_medoid_and_representatives(spark):
     rng = np.random.default_rng(1)
     u = unit(rng.normal(size=8)[None, :] + 0.1 * rng.normal(size=(9, 8)))

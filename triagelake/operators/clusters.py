@@ -94,15 +94,25 @@ def cohesion(members: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
 
 def _cosines(a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
     """Cosines of all pairs of two blocks, of one block each pair once."""
-    s = np.round(a @ b.T, DIGITS)
-    return s[np.triu_indices(len(s), k=1)] if same else s.ravel()
+    return np.concatenate([np.zeros(0), *_cosine_blocks(a, b, same)])
+
+
+def _cosine_blocks(a: np.ndarray, b: np.ndarray, same: bool):
+    """The same a bounded number of pairs at a time."""
+    rows = blocks.COLS if same else blocks.ROWS
+    for i in range(0, len(a), rows):
+        for j in range(i if same else 0, len(b), blocks.COLS):
+            s = np.round(a[i:i + rows] @ b[j:j + blocks.COLS].T, DIGITS)
+            yield s[np.triu_indices(len(s), k=1, m=s.shape[1])] if same and i == j else s.ravel()
 
 
 def _cohesion_large(members: DataFrame, sizes: DataFrame, limit: int, kind: str) -> DataFrame:
     """Exact median by selection over block pairs: each pass narrows the two middle
     ranks to one bin of the last one, and a last pass counts what lies below the final
     bins and the values in them, of which rounding leaves few. Tasks emit counts, never pairs."""
-    nb = F.ceil(F.col("n") / limit).cast("int")
+    # A row travels once for every part of its cluster, so parts are few and products are made a block at a time.
+    tile = blocks.tile_rows(members.agg(F.max(F.size("u"))).first()[0], limit)
+    nb = blocks.part_count(F.col("n"), limit, tile)
     m = members.select("cluster", "number", "u").join(sizes.withColumn("nb", nb).drop("n"), "cluster")
     m = m.withColumn("b", F.pmod(F.xxhash64("number"), F.col("nb")).cast("int"))
     left = m.select("cluster", "u", "number", F.col("b").alias("i"),
@@ -122,16 +132,14 @@ def _cohesion_large(members: DataFrame, sizes: DataFrame, limit: int, kind: str)
     def count(l: pa.Table, r: pa.Table) -> pa.Table:
         if l.num_rows == 0 or r.num_rows == 0:
             return schema.empty_table()
-        v = _cosines(matrix(l["u"]), matrix(r["u"]), l["i"][0].as_py() == l["j"][0].as_py())
-        rows = {"w": [], "bin": [], "c": []}
-        for w in (0, 1):
-            lo, hi = l[f"lo{w}"][0].as_py(), l[f"hi{w}"][0].as_py()
-            k = np.floor((v - lo) / ((hi - lo) / BINS)).astype(np.int64)
-            k = k[(k >= 0) & (k < BINS)]
-            bins, cs = np.unique(k, return_counts=True)
-            rows["w"] += [w] * len(bins)
-            rows["bin"] += bins.tolist()
-            rows["c"] += cs.tolist()
+        spans = [(l[f"lo{w}"][0].as_py(), l[f"hi{w}"][0].as_py()) for w in (0, 1)]
+        counts = np.zeros((2, BINS), np.int64)
+        for v in _cosine_blocks(matrix(l["u"]), matrix(r["u"]), l["i"][0].as_py() == l["j"][0].as_py()):
+            for w, (lo, hi) in enumerate(spans):
+                k = np.floor((v[(v >= lo) & (v <= hi)] - lo) / ((hi - lo) / BINS)).astype(np.int64)
+                counts[w] += np.bincount(k[k < BINS], minlength=BINS)
+        w, bins = np.nonzero(counts)
+        rows = {"w": w.astype(np.int32), "bin": bins.astype(np.int32), "c": counts[w, bins]}
         names = [l["cluster"][0].as_py()] * len(rows["w"])
         return pa.table({"cluster": names, **rows}, schema=schema)
 
@@ -141,14 +149,18 @@ def _cohesion_large(members: DataFrame, sizes: DataFrame, limit: int, kind: str)
         """Counts of the values within lo..hi, and of all smaller ones as null."""
         if l.num_rows == 0 or r.num_rows == 0:
             return exact.empty_table()
-        v = _cosines(matrix(l["u"]), matrix(r["u"]), l["i"][0].as_py() == l["j"][0].as_py())
+        spans = [(l[f"lo{w}"][0].as_py(), l[f"hi{w}"][0].as_py()) for w in (0, 1)]
+        below, inside = [0, 0], [[np.zeros(0)], [np.zeros(0)]]
+        for v in _cosine_blocks(matrix(l["u"]), matrix(r["u"]), l["i"][0].as_py() == l["j"][0].as_py()):
+            for w, (lo, hi) in enumerate(spans):
+                below[w] += int((v < lo).sum())
+                inside[w].append(v[(v >= lo) & (v <= hi)])
         rows = {"w": [], "v": [], "c": []}
         for w in (0, 1):
-            lo, hi = l[f"lo{w}"][0].as_py(), l[f"hi{w}"][0].as_py()
-            found, n = np.unique(v[(v >= lo) & (v <= hi)], return_counts=True)
+            found, n = np.unique(np.concatenate(inside[w]), return_counts=True)
             rows["w"] += [w] * (1 + len(found))
             rows["v"] += [None, *found.tolist()]
-            rows["c"] += [int((v < lo).sum()), *n.tolist()]
+            rows["c"] += [below[w], *n.tolist()]
         return pa.table({"cluster": [l["cluster"][0].as_py()] * len(rows["w"]), **rows}, schema=exact)
 
     def over_pairs(fn, ddl: str, margin: float = 0.0) -> DataFrame:
