@@ -98,6 +98,23 @@ def test_disclosures_against_brute_force(spark):
     assert want and signed and got == pytest.approx(want)
 
 
+def test_all_words_of_a_source_count(spark):
+    """Near copies are one source with the words of each; n(t) is freed of just the rows that have the word."""
+    around = " ".join(["the text of the office"] * 3)
+    near = [f"{w} {around} jo.zorro@corp.example {around}" for w in ("alpha", "zorro", "gamma", "gamma", "gamma")]
+    other = [f"{w} beside jo.zorro@corp.example" for w in ("alpha zorro gamma", "once alpha zorro")]
+    docs = near + other + [f"the text of the office {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.term: r.disclosure for r in pii.disclosures(df, pii._scan(df, "doc_id", "text"), least=0.1, error=1e9).collect()}
+    n, n_c, z = len(docs), 3, 1.0
+    for word, n_ct in (("alpha", 3), ("zorro", 3), ("gamma", 2)):
+        p = n_ct / n_c
+        low = (p + z * z / (2 * n_c) - z * (p * (1 - p) / n_c + z * z / (4 * n_c * n_c)) ** 0.5) / (1 + z * z / n_c)
+        n_t = n_ct + (word == "zorro") * 5      # the five others have it in the address
+        n_t -= (word == "zorro") * 1            # one of them is among the rows that have the word
+        assert got[pii._key(word)] == pytest.approx(np.log(n * low / n_t) / np.log(n / n_c)), word
+
+
 def test_clashing_columns(spark):
     """Columns named like the operators' own keep their values, and one row of a group stays."""
     docs = spark.createDataFrame([(1, "some words to keep jo@corp.example", i, i, "a", "b", "c") for i in range(3)],

@@ -5,8 +5,8 @@
 2. Every word outside the base spans is a term t. Over all rows, n(c), n(t) and
    n(c, t) count sources with the entity, with the term, and with both, wherever they
    stand. A source is a row; rows with the same values in the same surroundings
-   (copies, and near copies that differ elsewhere) are one, and n(t) also counts words
-   inside values. PMI(c; t) = log(N p(t|c) / n(t)) is what t tells
+   (copies, and near copies that differ elsewhere) are one, which has the words of all
+   of them, and n(t) also counts words inside values. PMI(c; t) = log(N p(t|c) / n(t)) is what t tells
    about c, of the IC(c) = log(N / n(c)) there is to know. p(t|c) is the lower Wilson
    bound of n(c, t) / n(c) at `z` standard errors.
 3. The share PMI / IC is the disclosure. It counts where there is evidence that c and t
@@ -209,17 +209,21 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", z:
                 least: float = GENERALISE, error: float = ERROR) -> DataFrame:
     """(term, disclosure) of all terms that tell `least` or more about an entity, with evidence."""
     n = float(max(scanned.count(), 1))
-    # One row stands for a source. Entities of the same sources have the same counts, so one stands for all of them.
-    alike = scanned.where(F.size("entities") > 0).groupBy("source").agg(
-        F.count("*").alias("m"), F.min_by(F.struct("entities", "terms", "spelled"), "_h").alias("row"))
-    texts = stored(alike.select("source", "m", "row.*"))
-    judged = texts.agg(F.sum(F.size("entities").cast("double") * F.size("terms"))).first()[0] or 1.0
-    held = texts.select("source", "m", F.explode("entities").alias("entity"))
+    # Rows of a source have the same values; their words may differ. Copies of a text are counted once, with their number.
+    texts = stored(scanned.where(F.size("entities") > 0).groupBy("source", "_h").agg(
+        F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("entities", "terms", "spelled")]))
+    sources = stored(texts.groupBy("source").agg(
+        F.sum("m").alias("m"), F.min_by(F.struct("entities", "spelled"), "_h").alias("row")).select("source", "m", "row.*"))
+    words = stored(texts.select("source", "m", F.explode("terms").alias("term")).groupBy("source", "term").agg(
+        F.sum("m").alias("rows")).join(term_frequencies(docs, text_col), "term"))
+    judged = words.groupBy("source").count().join(sources, "source").agg(
+        F.sum(F.size("entities").cast("double") * F.col("count"))).first()[0] or 1.0
+    # Entities of the same sources have the same counts, so one stands for all of them.
+    held = sources.select("source", "m", F.explode("entities").alias("entity"))
     where = held.groupBy("entity").agg(
         F.count("*").alias("n_c"), F.sum("m").alias("m_c"), F.min("source").alias("low"), F.max("source").alias("high"),
         F.bit_xor("source").alias("xor"), F.sum(F.col("source").cast("decimal(20,0)")).alias("sum"))
     one = where.groupBy("n_c", "m_c", "low", "high", "xor", "sum").agg(F.min("entity").alias("entity"))
-    words = stored(texts.select("source", F.explode("terms").alias("term")).join(term_frequencies(docs, text_col), "term"))
     n_c, n_ct = F.col("n_c").cast("double"), F.col("n_ct").cast("double")
     # A term in more sources than this tells less than `least` even if it is in every source of the entity.
     most = n * n_c / (n_c + z * z) * F.pow(n_c / n, F.lit(least)) * (1 + 1e-9)
@@ -227,12 +231,11 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", z:
     n_t = F.greatest(n_ct, F.col("n_t") - F.col("rows") + n_ct)
     both = words.join(held.join(one.select("entity", "n_c", "m_c"), "entity"), "source")
     pairs = both.where(F.col("n_t") - F.col("m_c") <= most).groupBy("entity", "term").agg(
-        F.count("*").alias("n_ct"), F.sum("m").alias("rows"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
+        F.count("*").alias("n_ct"), F.sum("rows").alias("rows"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
     evident = pairs.where((F.col("n_ct") > 1) & (_likelihood_ratio(n, n_c, n_t, n_ct) >= 2 * math.log(judged / error)))
     # The second sign needs the pairs of a value and its own words only, for every entity.
-    own = texts.select("m", "terms", F.explode("spelled").alias("s")).where(
-        F.array_contains("terms", F.col("s.term"))).groupBy("s.entity", "s.term").agg(
-        F.count("*").alias("n_ct"), F.sum("m").alias("rows"))
+    own = sources.select("source", F.explode("spelled").alias("s")).select("source", "s.entity", "s.term").join(
+        words, ["source", "term"]).groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.sum("rows").alias("rows"))
     signed = own.join(where.select("entity", "n_c"), "entity").join(words.select("term", "n_t").distinct(), "term")
     rate = n_ct / n_c
     bound = (rate + z * z / (2 * n_c) - z * F.sqrt(rate * (1 - rate) / n_c + z * z / (4 * n_c * n_c))) / (1 + z * z / n_c)
