@@ -322,6 +322,40 @@ def test_ranking_is_the_least_pairwise_loss():
             assert loss(r.weights + step * np.eye(quality.WIDTH)[i]) > least
 
 
+@pytest.mark.parametrize("bad", [0, 3, 900])
+def test_the_fit_takes_all_labelled_rows(spark, monkeypatch, bad):
+    """Mean, steps and cut are those of all rows, with one kind rare or missing; a row beyond any sample moves them."""
+    monkeypatch.setattr(quality, "BUCKET", 256)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, quality.WIDTH)).astype(np.float32)
+    good = np.arange(3000) >= bad
+    x[~good, 4] -= 2
+    x[-1, 7] = 1e6
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, x array<float>").repartition(5)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    r = quality.fit(table, labels)
+    if not bad:
+        assert r.prior == 1.0
+        return
+    assert np.allclose(r.mean, x.astype(float).mean(0)) and np.allclose(r.scale, x.astype(float).std(0) + 1e-6)
+    u = np.sort(r.utilities(x.astype(float)))
+    assert r.cut == pytest.approx((u[bad - 1] + u[bad]) / 2, abs=1e-9) and (bad < 9 or r.weights[4] > 0.5)
+    from triagelake.llm.common import stored
+    known = stored(table.join(labels, "doc_id").select(F.col("quality").alias("_good"), "x", F.xxhash64("doc_id", "x").alias("_h")))
+    d = np.concatenate([quality._differences(p.good, p.bad, r.mean, r.scale) for p in quality._dealt(known, 3000 - bad, bad).collect()])
+    assert len(d) >= quality.PARTNERS * (3000 - bad)
+    assert np.abs(quality.RIDGE * r.weights - d.T @ (1 / (1 + np.exp(d @ r.weights))) / len(d)).max() < 1e-6
+
+
+def test_values_at_a_rank(spark):
+    for values in ([1.0, 1.0, 1.0], [0.5, 1e-9, 1e9, 1e9, -3.0], [1.0] * 50 + [1.0 + 1e-15] * 3 + [-1e300, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "u double")
+        want = sorted(values)
+        for k in range(1, len(values)):
+            if k % 7 == 1 or k > 48:
+                assert quality._at_rank(df, k) == (want[k - 1] + want[k]) / 2
+
+
 def test_the_fit_sees_a_bounded_number_of_rows(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality, "rank", lambda x, good, pairs: seen.append(len(x)))

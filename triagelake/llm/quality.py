@@ -2,14 +2,15 @@
 
 Every document gets a vector of surface features. In a preference pair a good
 document beats a bad one with probability 1 / (1 + exp(-w (x_good - x_bad))); w
-minimises the logistic loss over pairs drawn from the labelled rows. The utility
+minimises the logistic loss over pairs of the labelled rows. The utility
 w x is cut at the quantile of the labelled utilities that matches the share of bad
 labels, and the score is 1 / (1 + exp(-(w x - cut + log(p / (1 - p))))), which is p
 (CUT_SCORE) at the cut.
 
-The fit sees at most about `sample_rows` labelled rows, chosen by a hash of id and
-features (equal rows of an id count once), and `pairs` pairs; both are parameters.
-Features and scores cover all rows.
+The fit sees every labelled row (equal rows of an id count once): they are dealt to
+buckets by a hash, and in its bucket each is paired with PARTNERS of the other kind.
+Mean, spread, each Newton step and the cut are taken over all of them by Spark; the
+driver gets sums. A caller may ask for a fit on a sample of bounded size instead.
 
 Rows: a null or empty text has the feature vector of an empty text and gets a
 score. Repeated rows are scored each; labels of an id that disagree count as good.
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.common import Batches, arrow_type, batch, map_arrow, stored, text_or_empty
 
-SAMPLE_ROWS = 20_000
-PAIRS = 50_000
+PAIRS = 50_000                # of a fit on a sample
+BUCKET, PARTNERS, LEAST = 2048, 4, 16   # rows of a bucket, pairs of a row, rows of the rarer kind in a bucket, about
+STEPS = 15
+BINS = 4096
 CUT_SCORE = 0.3
 RIDGE = 1e-2
 
@@ -125,12 +128,121 @@ def rank(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = RID
     return Ranking(mean, scale, w, float((u[k - 1] + u[k]) / 2))
 
 
+def _sums(table: DataFrame, fn, width: int) -> np.ndarray:
+    """The sum of fn(batch), an array of `width` numbers, over all rows; a row per task goes to the driver."""
+    schema = pa.schema([("s", pa.list_(pa.float64()))])
+
+    def run(batches: Batches) -> Batches:
+        total = np.zeros(width)
+        for b in batches:
+            if b.num_rows:
+                total += fn(b)
+        yield batch(schema, [total])
+
+    # In one order, so that the sums do not depend on that of the tasks.
+    return np.array(sorted(r["s"] for r in map_arrow(table, run, schema).collect())).reshape(-1, width).sum(0)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, WIDTH)
+
+
+def _dealt(known: DataFrame, good: int, bad: int) -> DataFrame:
+    """(good, bad): the vectors of each bucket by kind, as bytes of floats.
+
+    A kind that is too rare for all buckets has its rows in several of them.
+    """
+    buckets = -(-(good + bad) // BUCKET)
+    copies = {kind: max(1, -(-LEAST * buckets // n)) for kind, n in ((1, good), (0, bad))}
+    times = F.when(F.col("_good") > 0, copies[1]).otherwise(copies[0])
+    place = F.pmod(F.xxhash64("_h", "_t"), F.lit(buckets)).cast("int")
+    rows = known.withColumn("_t", F.explode(F.sequence(F.lit(1), times))).select(place.alias("_b"), "_good", "_h", "x")
+    schema = pa.schema([("good", pa.binary()), ("bad", pa.binary())])
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_h").combine_chunks()
+        x, good = _rows(pa.concat_arrays(t["x"].chunks)).astype("<f4"), t["_good"].to_numpy() > 0
+        return pa.table([[x[good].tobytes()], [x[~good].tobytes()]], schema=schema)
+
+    return rows.groupBy("_b").applyInArrow(pack, "good binary, bad binary")
+
+
+def _differences(good: bytes, bad: bytes, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised good less bad vectors of the pairs of a bucket."""
+    g, b = (np.clip((np.frombuffer(v, "<f4").reshape(-1, WIDTH) - mean) / scale, -8, 8) for v in (good, bad))
+    if not len(g) or not len(b):
+        return np.zeros((0, WIDTH))
+    i = np.arange(max(len(g), len(b)))
+    return np.concatenate([g[i % len(g)] - b[(i + t) % len(b)] for t in range(PARTNERS)])
+
+
+def _at_rank(values: DataFrame, k: int) -> float:
+    """The mean of the k-th and the next of all `u`, by narrower and narrower histograms."""
+    low, high = values.agg(F.min("u"), F.max("u")).first()
+    left = k - 1
+    while high > low and (high - low) / BINS > 0:
+        place = F.floor((F.col("u") - low) / ((high - low) / BINS))
+        bins = values.where(F.col("u").between(low, high)).groupBy(place.alias("at")).agg(
+            F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high")).orderBy("at").collect()
+        i = 0
+        while left >= bins[i]["n"]:
+            left -= bins[i]["n"]
+            i += 1
+        if left == bins[i]["n"] - 1:
+            return (bins[i]["high"] + bins[i + 1]["low"]) / 2
+        low, high = bins[i]["low"], bins[i]["high"]
+    return (low + high) / 2
+
+
+def rank_all(known: DataFrame, ridge: float = RIDGE) -> Ranking:
+    """The utility fitted on every row of (_good, _h, x): Newton steps on the pairwise logistic loss."""
+    def counted(b: pa.RecordBatch) -> np.ndarray:
+        good = b.column(0).to_numpy() > 0
+        return np.concatenate([[good.sum(), (~good).sum()], _rows(b.column(1)).sum(0)])
+
+    good, bad, *total = _sums(known.select("_good", "x"), counted, 2 + WIDTH)
+    if not good or not bad:
+        share = float(good / (good + bad)) if good + bad else 0.5
+        return Ranking(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, share)
+    mean = np.array(total) / (good + bad)
+    spread = _sums(known.select("x"), lambda b: ((_rows(b.column(0)) - mean) ** 2).sum(0), WIDTH)
+    scale = np.sqrt(spread / (good + bad)) + 1e-6
+    packed = stored(_dealt(known, int(good), int(bad)))
+    w = np.zeros(WIDTH)
+    for _ in range(STEPS):
+        def part(b: pa.RecordBatch, w: np.ndarray = w) -> np.ndarray:
+            out = np.zeros(1 + WIDTH + WIDTH * WIDTH)
+            for g, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                d = _differences(g, l, mean, scale)
+                p = 1.0 / (1.0 + np.exp(np.clip(d @ w, -500, 500)))     # that the loser is preferred
+                out += np.concatenate([[len(d)], d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+            return out
+
+        pairs, *sums = _sums(packed, part, 1 + WIDTH + WIDTH * WIDTH)
+        sums = np.array(sums) / max(pairs, 1)
+        step = np.linalg.solve(ridge * np.eye(WIDTH) + sums[WIDTH:].reshape(WIDTH, WIDTH), ridge * w - sums[:WIDTH])
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    found = Ranking(mean, scale, w, 0.0)
+    schema = pa.schema([("u", pa.float64())])
+
+    def utilities(batches: Batches) -> Batches:
+        for b in batches:
+            yield batch(schema, found.utilities(_rows(b.column(0))))
+
+    found.cut = _at_rank(stored(map_arrow(known.select("x"), utilities, schema)), int(bad))
+    return found
+
+
 def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-        sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS) -> Ranking:
-    """Fit on the labelled rows of a feature table."""
+        sample_rows: int | None = None, pairs: int = PAIRS) -> Ranking:
+    """Fit on all labelled rows of a feature table; with `sample_rows` on a sample of about so many, by `pairs` drawn pairs."""
     labels = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()) \
         .groupBy(id_col).agg(F.max(label_col).alias("_good"))
     known = table.join(labels, id_col).select("_good", "x", F.xxhash64(id_col, "x").alias("_h"))
+    if sample_rows is None:
+        return rank_all(stored(known.dropDuplicates(["_h"])))
     n = known.count()
     if n > sample_rows:
         known = known.where(F.pmod(F.col("_h"), F.lit(1_000_000)) < 1_000_000 * sample_rows // n)
