@@ -72,6 +72,25 @@ def brute(docs, queries, k):
     return sorted(out)
 
 
+def test_hits_of_common_terms_are_not_shuffled(spark, tmp_path):
+    """Postings are dealt by document once; every query asks for a word of all documents."""
+    docs = spark.range(400).select("id", F.concat(F.lit("the of and w"), F.col("id") % 50).alias("t"))
+    index = postings.build(docs, "id", "t", str(tmp_path / "p"))
+    queries = spark.range(20).select(F.col("id").alias("q"), F.concat(F.lit("the of and w"), F.col("id")).alias("t"))
+    weights = postings._weights(index, queries, "q", "t").localCheckpoint()
+    scored = postings._scored_by_document(index, weights)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query" not in plan and "hashpartitioning(doc" in plan
+    assert scored.count() == 20 * 400
+
+
+@pytest.mark.parametrize("common", [0.1, 1.0])
+def test_postings_for_many_queries(spark, tmp_path, monkeypatch, common):
+    """Without the broadcast, by candidates."""
+    monkeypatch.setattr(postings, "BROADCAST_ROWS", 0)
+    test_postings(spark, tmp_path, monkeypatch, common)
+
+
 @pytest.mark.parametrize("common", [0.0, 0.1, 0.6, 1.0])
 def test_postings(spark, tmp_path, monkeypatch, common):
     """Rare words, a word of almost all documents, queries of common words only, unknown words, nulls, copies."""

@@ -3,11 +3,13 @@
 Building counts the words of each document once: postings (term, doc, n) and the
 documents' lengths, stored as Parquet. A table of queries is scored by joins.
 
-Common terms have postings in a large share of all documents, and many queries have
-them. They are not joined with all of these: candidates come from the other terms of
-a query, and its common terms are looked up for the candidates only. That is exact
-where the k-th best candidate scores at least what the common terms can give together;
-the few queries where it does not are scored with all of their terms.
+The terms of up to BROADCAST_ROWS query rows go to every task, and postings are dealt by
+document: all of a document's scores are summed where its postings are, and a task sends the
+k best of each query. Larger tables of queries meet the postings by term. Common terms have
+postings in a large share of all documents, so they are not joined with all of these:
+candidates come from the other terms of a query, and its common terms are looked up for the
+candidates only. That is exact where the k-th best candidate scores at least what the common
+terms can give together; the few queries where it does not are scored with all of their terms.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from triagelake.functions import scoring, text
 from triagelake.functions.vectors import dot, unit
 from triagelake.operators.keyed import top_per_key
 from triagelake.operators.search import recency
-from triagelake.session import cut_lineage
+from triagelake.session import cut_counted, cut_lineage
 
 K1, B = 1.2, 0.75
 COMMON = 0.1                # share of documents from which a term is common
+BROADCAST_ROWS = 200_000    # (query, term) rows that are sent to every task
 
 
 @dataclass
@@ -52,8 +55,8 @@ def build(docs: DataFrame, doc_id: str, content: str, path: str) -> Postings:
     words = docs.select(F.col(doc_id).alias("doc"), terms(F.coalesce(content, F.lit(""))).alias("w"))
     words.select("doc", F.size("w").alias("length")).write.parquet(f"{path}/lengths")
     counts = words.select("doc", F.explode("w").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("n"))
-    # A term's rows lie together; those of a frequent one span several files.
-    counts.repartitionByRange("term", "doc").write.parquet(f"{path}/postings")
+    # A term's rows lie together in each file; counting has dealt the rows already.
+    counts.sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
     return Postings(docs.sparkSession, path)
 
 
@@ -78,6 +81,13 @@ def _scored(index: Postings, weights: DataFrame) -> DataFrame:
     return hits.withColumn("part", _part(index)).groupBy("query", "doc").agg(F.sum("part").alias("score"))
 
 
+def _scored_by_document(index: Postings, weights: DataFrame) -> DataFrame:
+    """The same for few weights: rows of a document stay in their task."""
+    asked = index.postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi").repartition("doc")
+    hits = asked.join(index.lengths.repartition("doc"), "doc").join(F.broadcast(weights), "term")
+    return hits.withColumn("part", _part(index)).groupBy("query", "doc").agg(F.sum("part").alias("score"))
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each query. Scores are rounded first, so that the order of a sum decides no tie."""
     return top_per_key(scored.withColumn("score", F.round("score", 9)), ["query"], [F.col("score").desc(), F.col("doc")], k)
@@ -85,7 +95,10 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 def scores(index: Postings, queries: DataFrame, query_id: str, content: str, k: int) -> DataFrame:
     """(query, doc, score, rank): the k best documents with a term of each query; ties to the smaller document."""
-    weights = cut_lineage(_weights(index, queries, query_id, content))
+    weights, seen = cut_counted(_weights(index, queries, query_id, content), n=F.count(F.lit(1)))
+    if seen["n"] <= BROADCAST_ROWS:
+        # Stored, since rows and peaks are both taken from it.
+        return cut_lineage(_best(_scored_by_document(index, weights), k))
     rare, common = weights.where(~F.col("common")), weights.where("common")
     candidates = _scored(index, rare)
     # Common terms of a query, for its candidates only.
