@@ -13,6 +13,7 @@ from triagelake.llm import langid, packing, pii, simhash, tiling
 from triagelake.llm.common import documents, settings, stored
 
 MIN_CONFIDENCE = 0.5
+PIECES = 200_000      # pieces a worker of the last stage remembers; it still holds what the stages before left
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in the packed sequences."""
     settings(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=PIECES)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.llm.common import Batches, arrow_type, batch, map_arrow, stored, text_or_empty
-from triagelake.llm.tokens import encoder
+from triagelake.llm.tokens import CACHE, encoder
 
 CAPACITY = 2048
 END_ID = 1
@@ -77,17 +77,17 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[Patter
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                  capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+                  capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, part, rank[, ids]): the pieces of every document.
 
-    rank counts the pieces of equal length inside the task `part`.
+    rank counts the pieces of equal length inside the task `part`. A worker keeps the ids of `cache` words.
     """
     fields = [(id_col, arrow_type(docs, id_col)), ("start", pa.int64()), ("length", pa.int64()),
               ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())]
     schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
 
     def run(batches: Batches) -> Batches:
-        part, ranks, enc = TaskContext.get().partitionId(), Counter(), encoder(tokenizer)
+        part, ranks, enc = TaskContext.get().partitionId(), Counter(), encoder(tokenizer, cache)
         for b in batches:
             out = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -105,14 +105,14 @@ def encode_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+         capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece.
 
     The driver holds the histogram, of at most `capacity` bins, and the patterns,
     whose number depends on the bins and not on the number of documents.
     """
     spark = docs.sparkSession
-    pieces = stored(encode_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids))
+    pieces = stored(encode_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids, cache))
     by_part = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     # Ranks: the pieces of equal length in earlier parts come first. A length has one row per part here.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,6 +16,7 @@ import numpy as np
 import regex
 import tokenizers
 
+CACHE = 700_000        # pieces a worker remembers
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _TOUCHING = ["  ", " \n", "\n ", "\n\n"]
@@ -66,7 +67,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """ids of whole texts; `path` is a tokenizers file, `cache` the number of cached pieces."""
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = CACHE):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -162,7 +163,7 @@ class Encoder:
         return np.frombuffer(self.encode_bytes(text), self.dtype)
 
 
-def encoder(path: str, cache: int = 700_000) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """One encoder for all tasks of a Python worker.
 
     Task functions travel by value and bring their own copy of this module, so
