@@ -1,5 +1,7 @@
 """Block search, cluster measures and density clustering against numpy brute force."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -179,6 +181,15 @@ def test_tree_by_pairs_and_by_rounds(spark, blobs):
     assert tree_set(density.spanning_tree(v, team_limit=0, block=32, pivots=4, pair_limit=0)) == small
 
 
+def test_rounds_keep_size_estimates_short(spark, blobs):
+    """Spark's estimate of a plan's size does not double its digits with every round and pointer jump."""
+    v = density.cut_lineage(prep(spark, blobs, ["a"] * len(blobs)))
+    tree = density.spanning_tree(v, team_limit=0, block=32, pivots=4, pair_limit=0)
+    size = tree._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    power = re.search(r"E\+(\d+)", size)
+    assert tree.count() == len(blobs) - 1 and (not power or int(power[1]) < 1000), size
+
+
 def blob_rows(dim, seed=0):
     rng = np.random.default_rng(seed)
     a = np.eye(dim)[0]

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from triagelake.operators import blocks
 from triagelake.operators.blocks import matrix
 from triagelake.operators.keyed import ordinal
-from triagelake.session import cut_lineage
+from triagelake.session import cut_lineage, cut_round
 
 MIN_CLUSTER_SIZE, MIN_SAMPLES = 5, 3     # fixed values
 TEAM_LIMIT = 2048                        # vectors of a team one task may hold
-PAIR_LIMIT = 131_072                     # vectors of a team whose parts are taken by pairs
+PAIR_LIMIT = 32_768                      # vectors of a team whose parts are taken by pairs
 FOLD = 8                                 # parts that become one when trees are merged
 EDGE_LIMIT = 1_000_000                   # tree edges of a team one task may hold
 MAX_LAMBDA = 1e12
@@ -287,10 +287,10 @@ def _tree_large(vectors: DataFrame, min_samples: int, block: int, pivots: int, k
         found = layout.pairs(probes).applyInArrow(_foreign_kernel(types), ddl)
         pick = found.groupBy("grp", "comp").agg(
             F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("grp", "comp", "e.*")
-        pick = cut_lineage(pick)
+        pick = cut_round(pick)
         chosen = pick.select("grp", F.col("lo").alias("a"), F.col("hi").alias("b"), "w").distinct()
         tree = chosen if tree is None else tree.unionByName(chosen)
-        label = cut_lineage(_merge(label, pick))
+        label = cut_round(_merge(label, pick))
     ddl_edges, _ = _kinds(vectors)
     if tree is None:
         return vectors.sparkSession.createDataFrame([], ddl_edges)
@@ -311,7 +311,7 @@ def _merge(label: DataFrame, pick: DataFrame) -> DataFrame:
     ptr = cut_lineage(ptr)
     while True:
         up = ptr.select("grp", F.col("comp").alias("to"), F.col("to").alias("to2"))
-        jumped = cut_lineage(ptr.join(up, ["grp", "to"], "left").select(
+        jumped = cut_round(ptr.join(up, ["grp", "to"], "left").select(
             "grp", "comp", F.coalesce("to2", "to").alias("to2"), "to"))
         moved = jumped.where(F.col("to") != F.col("to2")).limit(1).count()
         ptr = jumped.select("grp", "comp", F.col("to2").alias("to"))
@@ -519,11 +519,11 @@ def _labels_large(tree: DataFrame, min_size: int, allow_single: bool, edge_limit
         touched = e.select("grp", F.explode(F.array("ca", "cb")).alias("comp")).distinct()
         mine = state.join(touched, ["grp", "comp"], "left_semi")
         mine = mine.select(*[F.col(c).alias(c) for c in mine.columns])
-        got = cut_lineage(e.groupBy("grp").cogroup(mine.groupBy("grp")).applyInPandas(step, out_ddl))
+        got = cut_round(e.groupBy("grp").cogroup(mine.groupBy("grp")).applyInPandas(step, out_ddl))
         moved = got.where("kind = 'map'").select("grp", "comp", "root")
-        label = cut_lineage(label.join(moved, ["grp", "comp"], "left").select(
+        label = cut_round(label.join(moved, ["grp", "comp"], "left").select(
             "grp", "point", F.coalesce("root", "comp").alias("comp")))
-        state = cut_lineage(state.join(touched, ["grp", "comp"], "left_anti").unionByName(
+        state = cut_round(state.join(touched, ["grp", "comp"], "left_anti").unionByName(
             got.where("kind = 'state'").select(*state.columns)))
         j = got.where("kind = 'join'").select("grp", F.col("comp").alias("number"), "cid")
         c = got.where("kind = 'end'").select("grp", "cid", "parent", "chosen")
@@ -540,7 +540,7 @@ def _labels_large(tree: DataFrame, min_size: int, allow_single: bool, edge_limit
     while not tops.where(F.col("ptr").isNotNull()).isEmpty():
         above = tops.select("grp", F.col("cid").alias("ptr"), F.col("ptr").alias("ptr2"),
                             F.col("best").alias("best2"))
-        tops = cut_lineage(tops.join(above, ["grp", "ptr"], "left").select(
+        tops = cut_round(tops.join(above, ["grp", "ptr"], "left").select(
             "grp", "cid", F.col("ptr2").alias("ptr"), F.coalesce("best2", "best").alias("best")))
     return joined.join(tops.where(F.col("best").isNotNull()), ["grp", "cid"]).select(
         "grp", "number", F.col("best").alias("label"))

@@ -70,6 +70,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint for a table that goes from one round of a loop to the next.
+
+    A plain checkpoint keeps the size Spark estimated for its plan. Every join multiplies the
+    sizes of its sides, so in a loop that joins a table with itself the digits of that number
+    double each round until they fill the driver's memory. This one starts without an estimate.
+    """
+    cut = cut_lineage(df)._jdf
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(cut.toJavaRDD(), cut.schema()), df.sparkSession)
+
+
 def cut_counted(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
     """A reliable checkpoint and aggregates of its rows, observed while it is written."""
     seen = Observation()
