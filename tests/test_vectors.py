@@ -181,6 +181,35 @@ def test_tree_by_pairs_and_by_rounds(spark, blobs):
     assert tree_set(density.spanning_tree(v, team_limit=0, block=32, pivots=4, pair_limit=0)) == small
 
 
+def test_rounds_against_one_task(spark):
+    """Groups far apart, copies and strays: several rounds, in which few vectors are searched, give the tree of one task."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(9, 12)) * 2
+    u = unit(np.array([centres[i % 9] + rng.choice([0.02, 0.2, 0.6]) * rng.normal(size=12) for i in range(180)]
+                      + [centres[0]] * 7))
+    grp = ["a" if i % 4 else "b" for i in range(len(u))]
+    v = density.cut_lineage(prep(spark, u, grp))
+    searched, pairs = [], blocks.Layout.pairs
+
+    def counted(self, probes, *rest):
+        if "comp" in probes.columns:
+            searched.append(probes.count())
+        return pairs(self, probes, *rest)
+
+    blocks.Layout.pairs = counted
+    try:
+        got = tree_set(density._tree_large(v, 3, 16, 8, k=4))
+    finally:
+        blocks.Layout.pairs = pairs
+    want = set()
+    for g in "ab":
+        at = [i for i, x in enumerate(grp) if x == g]
+        a, b, w = density._prim(u[at], np.array([f"v{i:04d}" for i in at]), 3)
+        want |= {(g, x, y, round(z, 9)) for x, y, z in zip(a.tolist(), b.tolist(), w.tolist())}
+    assert got == want
+    assert len(searched) > 2 and searched[0] < len(u) / 2, searched
+
+
 def test_rounds_keep_size_estimates_short(spark, blobs):
     """Spark's estimate of a plan's size does not double its digits with every round and pointer jump."""
     v = density.cut_lineage(prep(spark, blobs, ["a"] * len(blobs)))

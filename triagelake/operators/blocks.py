@@ -121,11 +121,16 @@ class Layout:
             "sub", F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int")).drop("subs", "ang")
 
     def visits(self, probes: DataFrame, own_cell_only: bool = False) -> DataFrame:
-        """Probe rows repeated for every cell within `reach` (an angle) of the probe."""
+        """Probe rows repeated for every cell within `reach` (an angle) of the probe.
+
+        Where the statistics have `only`, the one component of a cell, probes of that `comp` leave it out."""
         placed = probes if self.pivots is None else _place(probes, self.pivots, keep_all=True)
         if self.grouped:
-            st = small(self.stats.select("grp", F.col("cell").alias("_c"), "radius", "subs"), self.stat_rows)
+            only = [c for c in self.stats.columns if c == "only"]
+            st = small(self.stats.select("grp", F.col("cell").alias("_c"), "radius", "subs", *only), self.stat_rows)
             out = placed.join(st, "grp")
+            if only:
+                out = out.where(~F.col("only").eqNullSafe(F.col("comp"))).drop("only")
         elif not self.cells:
             return placed.select("*", F.lit(0).alias("cell"), F.lit(0).alias("subs")).where(F.lit(False))
         else:

@@ -217,21 +217,26 @@ def _foreign_kernel(ddl_types):
         # Numbers in the order of the ids stand for them.
         ids, at = np.unique(np.concatenate([left["pid"].to_numpy(), right["cid"].to_numpy()]), return_inverse=True)
         comps, of = np.unique(np.concatenate([left["comp"].to_numpy(), right["comp"].to_numpy()]), return_inverse=True)
-        u, v = matrix(left["u"]), matrix(right["u"])
-        core_u, core_v = left["core"].to_numpy(), right["core"].to_numpy()
+        # Rows of a component lie together, so that most blocks without a foreign row are seen as such.
+        x, y = np.argsort(of[:n], kind="stable"), np.argsort(of[n:], kind="stable")
+        u, v = matrix(left["u"])[x], matrix(right["u"])[y]
+        core_u, core_v = left["core"].to_numpy()[x], right["core"].to_numpy()[y]
+        of_u, of_v, at_u, at_v = of[:n][x], of[n:][y], at[:n][x], at[n:][y]
         best = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64, np.int64)]
         for i in range(0, n, blocks.ROWS):
             r = slice(i, min(n, i + blocks.ROWS))
             for j in range(0, len(v), blocks.COLS):
                 c = slice(j, j + blocks.COLS)
-                ca, cb = of[r], of[n:][c]
+                ca, cb = of_u[r], of_v[c]
+                if ca[0] == ca[-1] == cb[0] == cb[-1]:
+                    continue
                 w = np.round(1.0 - np.round(u[r] @ v[c].T, DIGITS), DIGITS)
                 w = np.maximum(np.maximum(core_u[r][:, None], core_v[c][None, :]), w)
                 w[ca[:, None] == cb[None, :]] = np.inf
                 low = w.min(axis=1)
                 # Ties of one row: every candidate at the minimum, ordered by the pair.
                 x, y = np.nonzero((w == low[:, None]) & np.isfinite(low)[:, None])
-                a, b = at[r][x], at[n:][c][y]
+                a, b = at_u[r][x], at_v[c][y]
                 found = lightest(ca[x], low[x], np.minimum(a, b), np.maximum(a, b), cb[y])
                 best = lightest(*[np.concatenate(p) for p in zip(best, found, strict=True)])
         comp, w, lo, hi, other = best
@@ -241,74 +246,92 @@ def _foreign_kernel(ddl_types):
 
 
 def _tree_large(vectors: DataFrame, min_samples: int, block: int, pivots: int, k: int = 8) -> DataFrame:
-    """Boruvka: each round adds the lightest outgoing edge of every component.
+    """Boruvka: each round adds the lightest outgoing edge of every component but the largest.
 
-    Known neighbour edges bound that edge, the bound prunes the cells a vector
-    has to visit, and components merge by pointer jumping. At most log2(n)
-    rounds; every round is cut by a reliable checkpoint.
+    An edge that is in no list of k neighbours weighs at least as much as the end of both ends'
+    lists (`horizon`). So a vector is searched only if its list ends before the lightest known
+    edge of its component; that bound also prunes the cells it has to visit. Known edges are
+    kept between components only, one for each pair. Components merge by pointer jumping. At
+    most log2(n) rounds; every round is cut by a reliable checkpoint.
     """
     t = dict(vectors.dtypes)
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     types = {"grp": arrow[t["grp"]], "id": arrow[t["cid"]]}
     layout = blocks.Layout(vectors.select("grp", "cid", "u"), block, pivots)
-    near = cut_lineage(blocks.knn(vectors, max(k, min_samples), layout=layout))
-    core = near.where(F.col("rank") <= min_samples).groupBy("grp", "pid").agg(
-        F.round(1 - F.min("score"), DIGITS).alias("core"))
-    nodes = cut_lineage(vectors.join(core.withColumnRenamed("pid", "cid"), ["grp", "cid"])
-                        .withColumn("comp", F.col("cid")))
-    placed = cut_lineage(layout.corpus)
-    other_core = core.select("grp", F.col("pid").alias("cid"), F.col("core").alias("core_b"))
-    known = cut_lineage(near.join(core, ["grp", "pid"]).join(other_core, ["grp", "cid"]).select(
-        "grp", "pid", "cid",
-        F.greatest("core", "core_b", F.round(1 - F.col("score"), DIGITS)).alias("w")))
+    k = max(k, min_samples)
+    near = cut_lineage(blocks.knn(vectors, k, layout=layout))
+    ends = near.groupBy("grp", F.col("pid").alias("cid")).agg(
+        F.round(1 - F.min(F.when(F.col("rank") <= min_samples, F.col("score"))), DIGITS).alias("core"),
+        # A list of fewer than k holds all others; no edge weighs 3.
+        F.when(F.count("*") < k, 3.0).otherwise(F.round(1 - F.min("score"), DIGITS)).alias("horizon"))
+    nodes = cut_lineage(vectors.join(ends, ["grp", "cid"]))
+    placed, stats = cut_lineage(layout.corpus), layout.stats
+    core = nodes.select("grp", F.col("cid").alias("pid"), "core")
+    other_core = nodes.select("grp", "cid", F.col("core").alias("core_b"))
+    known = near.join(core, ["grp", "pid"]).join(other_core, ["grp", "cid"]).select(
+        "grp", F.least("pid", "cid").alias("ca"), F.greatest("pid", "cid").alias("cb"),
+        F.greatest("core", "core_b", F.round(1 - F.col("score"), DIGITS)).alias("w"),
+        F.least("pid", "cid").alias("lo"), F.greatest("pid", "cid").alias("hi"))
 
     ddl = f"grp {t['grp']}, comp {t['cid']}, w double, lo {t['cid']}, hi {t['cid']}, other {t['cid']}"
-    label = nodes.select("grp", "cid", "comp")
+    edge = F.struct("w", "lo", "hi", "other")
+    label = nodes.select("grp", "cid", F.col("cid").alias("comp"))
     tree = None
     while True:
-        comps = label.select("grp", "comp").distinct()
-        open_grps = comps.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("grp")
-        open_grps = cut_lineage(open_grps)
+        sizes = label.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+        open_grps = sizes.groupBy("grp").agg(F.count("*").alias("c"), F.max(F.struct("n", "comp")).alias("most"))
+        open_grps = cut_round(open_grps.where(F.col("c") > 1).select("grp", F.col("most.comp").alias("most")))
         if open_grps.isEmpty():
             break
-        now = nodes.drop("comp").join(label, ["grp", "cid"]).join(open_grps, "grp", "left_semi")
-        a = label.select("grp", F.col("cid").alias("pid"), F.col("comp").alias("ca"))
-        b = label.select("grp", "cid", F.col("comp").alias("cb"))
-        bound = (known.join(a, ["grp", "pid"]).join(b, ["grp", "cid"])
-                 .where(F.col("ca") != F.col("cb"))
-                 .groupBy("grp", F.col("ca").alias("comp")).agg(F.min("w").alias("bound")))
-        probes = now.join(bound, ["grp", "comp"], "left").select(
-            "grp", F.col("cid").alias("pid"), "u", "core", "comp",
+        known = cut_round(known.groupBy("grp", "ca", "cb").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select(
+            "grp", "ca", "cb", "e.*"))
+        both = known.withColumnsRenamed({"ca": "comp", "cb": "other"}).unionByName(
+            known.withColumnsRenamed({"cb": "comp", "ca": "other"}))
+        best = cut_round(both.join(open_grps, "grp").where(F.col("comp") != F.col("most")).groupBy("grp", "comp").agg(
+            F.min(edge).alias("e")).select("grp", "comp", "e.*"))
+        now = nodes.join(label, ["grp", "cid"]).join(open_grps, "grp")
+        probes = now.where(F.col("comp") != F.col("most")).join(
+            best.select("grp", "comp", F.col("w").alias("bound")), ["grp", "comp"], "left").select(
+            "grp", F.col("cid").alias("pid"), "u", "core", "horizon", "comp",
             F.coalesce("bound", F.lit(2.0)).alias("bound"))
-        # An edge of a weighs at least its core distance.
-        probes = probes.where(F.col("core") <= F.col("bound")).withColumn(
-            "reach", F.acos(F.greatest(F.lit(-1.0), 1 - F.col("bound")))).drop("bound")
+        probes = probes.where(F.col("horizon") <= F.col("bound")).withColumn(
+            "reach", F.acos(F.greatest(F.lit(-1.0), 1 - F.col("bound")))).drop("bound", "horizon")
         layout.corpus = placed.join(now.select("grp", "cid", "core", "comp"), ["grp", "cid"])
-        found = layout.pairs(probes).applyInArrow(_foreign_kernel(types), ddl)
-        pick = found.groupBy("grp", "comp").agg(
-            F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("grp", "comp", "e.*")
+        # Cells that hold one component only have nothing for that component.
+        lone = layout.corpus.groupBy("grp", "cell").agg(F.min("comp").alias("only"), F.max("comp").alias("last"))
+        layout.stats = cut_round(stats.join(lone, ["grp", "cell"]).withColumn(
+            "only", F.when(F.col("only") == F.col("last"), F.col("only"))).drop("last"))
+        found = layout.pairs(cut_lineage(probes)).applyInArrow(_foreign_kernel(types), ddl)
+        pick = best.unionByName(found).groupBy("grp", "comp").agg(F.min(edge).alias("e")).select("grp", "comp", "e.*")
         pick = cut_round(pick)
-        chosen = pick.select("grp", F.col("lo").alias("a"), F.col("hi").alias("b"), "w").distinct()
+        chosen = pick.groupBy("grp", F.col("lo").alias("a"), F.col("hi").alias("b")).agg(F.min("w").alias("w"))
         tree = chosen if tree is None else tree.unionByName(chosen)
-        label = cut_round(_merge(label, pick))
+        root = _roots(pick)
+        label = cut_round(label.join(root, ["grp", "comp"], "left").select(
+            "grp", "cid", F.coalesce("to", "comp").alias("comp")))
+        for end in ("ca", "cb"):
+            known = known.join(root.withColumnRenamed("comp", end), ["grp", end], "left").withColumn(
+                end, F.coalesce("to", end)).drop("to")
+        known = known.where(F.col("ca") != F.col("cb")).select(
+            "grp", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "w", "lo", "hi")
     ddl_edges, _ = _kinds(vectors)
     if tree is None:
         return vectors.sparkSession.createDataFrame([], ddl_edges)
     return tree.distinct()
 
 
-def _merge(label: DataFrame, pick: DataFrame) -> DataFrame:
-    """New component labels: hook every component to its partner, then jump to the root.
+def _roots(pick: DataFrame) -> DataFrame:
+    """(grp, comp, to): hook every component to its partner, then jump to the root.
 
     Under a total order of edges the only cycles are pairs that chose each other;
-    the smaller id of such a pair becomes the root.
+    the smaller id of such a pair becomes the root. A component without an edge is one as well.
     """
     hook = pick.select("grp", "comp", F.col("other").alias("to"))
     back = hook.select("grp", F.col("comp").alias("to"), F.col("to").alias("back"))
     ptr = hook.join(back, ["grp", "to"], "left").select(
         "grp", "comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")),
                               F.col("comp")).otherwise(F.col("to")).alias("to"))
-    ptr = cut_lineage(ptr)
+    ptr = cut_round(ptr)
     while True:
         up = ptr.select("grp", F.col("comp").alias("to"), F.col("to").alias("to2"))
         jumped = cut_round(ptr.join(up, ["grp", "to"], "left").select(
@@ -316,9 +339,7 @@ def _merge(label: DataFrame, pick: DataFrame) -> DataFrame:
         moved = jumped.where(F.col("to") != F.col("to2")).limit(1).count()
         ptr = jumped.select("grp", "comp", F.col("to2").alias("to"))
         if not moved:
-            break
-    return label.join(ptr, ["grp", "comp"], "left").select(
-        "grp", "cid", F.coalesce("to", "comp").alias("comp"))
+            return ptr
 
 
 def spanning_tree(vectors: DataFrame, min_samples: int = MIN_SAMPLES, team_limit: int = TEAM_LIMIT,
