@@ -60,8 +60,8 @@ def reachability_edges(vectors: DataFrame, k: int, min_samples: int = MIN_SAMPLE
 
 # ---- spanning tree: small teams ---------------------------------------------------
 
-def _distances(u: np.ndarray) -> np.ndarray:
-    d = u @ u.T
+def _distances(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    d = u @ v.T
     np.round(d, DIGITS, out=d)
     np.subtract(1.0, d, out=d)
     return np.round(d, DIGITS, out=d)
@@ -69,7 +69,7 @@ def _distances(u: np.ndarray) -> np.ndarray:
 
 def _prim(u: np.ndarray, ids: np.ndarray, min_samples: int):
     """Spanning tree under the total order (weight, lower id, upper id). ids are sorted."""
-    d = _distances(u)
+    d = _distances(u, u)
     np.fill_diagonal(d, np.inf)
     k = min(min_samples, len(u) - 1)
     lo, hi, w = _grow(d, np.partition(d, k - 1, axis=1)[:, k - 1])
@@ -170,7 +170,8 @@ def _tree_pairs(vectors: DataFrame, min_samples: int, rows: int, block: int, piv
             return keyed.empty_table()
         t = t.sort_by("cid")
         ids = t["cid"].to_numpy()
-        lo, hi, w = _grow(_distances(matrix(t["u"])), np.round(1.0 - t["least"].to_numpy(), DIGITS))
+        u = matrix(t["u"])
+        lo, hi, w = _grow(_distances(u, u), np.round(1.0 - t["least"].to_numpy(), DIGITS))
         return table(t, ids[lo], ids[hi], w)
 
     def merge(t: pa.Table) -> pa.Table:
@@ -230,8 +231,9 @@ def _foreign_kernel(ddl_types):
                 ca, cb = of_u[r], of_v[c]
                 if ca[0] == ca[-1] == cb[0] == cb[-1]:
                     continue
-                w = np.round(1.0 - np.round(u[r] @ v[c].T, DIGITS), DIGITS)
-                w = np.maximum(np.maximum(core_u[r][:, None], core_v[c][None, :]), w)
+                w = _distances(u[r], v[c])
+                np.maximum(w, core_u[r][:, None], out=w)
+                np.maximum(w, core_v[c][None, :], out=w)
                 w[ca[:, None] == cb[None, :]] = np.inf
                 low = w.min(axis=1)
                 # Ties of one row: every candidate at the minimum, ordered by the pair.
